@@ -11,9 +11,9 @@ function, the shingle hash itself, gives the sketch: the ``KEPT`` least values.
    little else.
 2. Documents with equal sets become one class, of which the smallest id stands in the lists.
 3. Pairs. In each list the smallest member is tested with all others; linked documents become components.
-   Where a list then holds several components, the members outside its leader's component are tested with
-   all members of other components, in rounds of bounded size until none is left. Members of one component
-   need no more tests.
+   Where lists still hold several components, the full sets of their members are joined on exact prefixes
+   (``exact_prefixes``, sure to hold a common member of any two that link) between different components, in
+   rounds of bounded size. Members of one component need no more tests.
 4. Tests. The estimate from the union sketch (its k least values, those in both) drops pairs below
    ``ESTIMATE``; the others are confirmed on their full sets, made again from the texts of just these documents.
 
@@ -38,8 +38,8 @@ SHARED = 44
 ESTIMATE = 0.5
 #: Ids that are broadcast at most (16 MB); more go through a shuffle join.
 SMALL_IDS = 1_000_000
-#: Pairs that one list gives in a round, about.
-ROUND_PAIRS = 2_000_000
+#: Pairs that a round of the exact join looks at, at most about.
+ROUND_PAIRS = 200_000_000
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -127,11 +127,31 @@ def confirmed(pairs: DataFrame, base: DataFrame, docs: DataFrame, text: str, wid
     agreed = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
     likely = cut(both.filter(agreed >= ESTIMATE * F.size(union)).select("a", "b"), "likely")
     sets = full_sets(_narrowed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), ids(likely)), text, width)
-    both = _with_side(_with_side(likely, sets, "a", "members"), sets, "b", "members")
+    return linked(likely, sets, percent)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar."""
+    both = _with_side(_with_side(pairs, sets, "a", "members"), sets, "b", "members")
     inter = F.size(F.array_intersect("members_a", "members_b"))
     return both.filter(100 * inter >= percent * (F.size("members_a") + F.size("members_b") - inter)).select("a", "b").distinct()
 
 
+def exact_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, id, n, short): the rarest members of each full set, without those that no other set holds.
+
+    Of two linked sets the larger holds their rarest common member among its first n - ceil(t n) + 1, the
+    smaller among its first n - ceil(2 t / (1 + t) n) + 1, the ``short`` ones: its overlap is at least that.
+    """
+    rows = sets.select(F.col("doc_id").alias("id"), F.size("members").cast("long").alias("n"), F.explode("members").alias("v"))
+    common = rows.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    held = rows.join(common, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # one document's set a row
+    alone = F.col("n") - F.size("held")
+    first = lambda need: (F.col("n") - F.ceil(need) + 1 - alone).cast("int")
+    enter = held.select("id", "n", first(F.col("n") * (2 * percent) / (100 + percent)).alias("short"), F.slice("held", F.lit(1), F.greatest(first(F.col("n") * percent / 100), F.lit(0))).alias("held"))
+    return enter.select("id", "n", "short", F.posexplode("held").alias("at", "h")).select(F.col("h.v").alias("v"), "id", "n", (F.col("at") < F.col("short")).alias("short"))
+
+
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, comp): the least id that each end of an edge reaches. Least labels spread along the edges and
     jump to the label's own label; ``known`` labels of an earlier call count as edges."""
@@ -173,25 +193,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
     tested = cut(stars, "stars")
     label = components(confirmed(tested, base, docs, text, width, kept, percent))
 
-    turn = 0
-    while True:
-        owned = lists.join(label, lists["id"] == label["doc_id"], "left").select("v", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        span = owned.groupBy("v").agg(F.min(F.struct("id", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-        rest = owned.join(span, "v").select("v", "id", "n", "comp", "size", F.col("lead.id").alias("lead"), (F.col("comp") != F.col("lead.comp")).alias("minor"))
-        rest = cut(rest, "rest")
-        minors = rest.filter("minor").groupBy("v").agg(F.count("*").alias("minors"))
-        rounds = F.ceil(F.col("minors") * F.col("size") / ROUND_PAIRS)
-        some = rest.filter("minor").join(minors, "v").filter(F.pmod(F.xxhash64("id"), rounds) == turn).select("v", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-        other = rest.filter("id != lead").select("v", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), "minor")
-        pairs = some.join(other, "v").filter((F.col("xc") != F.col("yc")) & alike("xn", "yn"))
-        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        last = rest.filter("minor").join(minors, "v").agg(F.max(rounds)).first()[0] or 0
-        if pairs.limit(1).count():
-            label = components(confirmed(pairs, base, docs, text, width, kept, percent), label)
-        drop_cut(rest, pairs)
-        turn += 1
-        if turn >= last:
-            break
+    owned = lists.join(label, lists["id"] == label["doc_id"], "left").select("v", "id", F.coalesce("comp", "id").alias("comp"))
+    open_lists = owned.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
+    left = cut(lists.join(open_lists, "v", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    sets = cut(full_sets(_narrowed(texts, left), text, width), "sets")
+    entries = cut(exact_prefixes(sets, percent), "entries")
+    total = entries.groupBy("v").agg((F.sum(F.col("short").cast("long")) * F.count("*")).alias("most")).agg(F.sum("most")).first()[0] or 0
+    rounds = -(-total // ROUND_PAIRS)
+    for turn in range(rounds):
+        owner = label.select(F.col("doc_id").alias("o"), "comp")
+        e = entries.join(owner, entries["id"] == owner["o"], "left").select("v", "id", "n", "short", F.coalesce("comp", "id").alias("comp"))
+        x = e.filter(F.col("short") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)).select("v", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
+        y = e.select("v", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
+        larger = (F.col("yn") > F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("y") > F.col("x")))
+        pairs = x.join(y, "v").filter((F.col("xc") != F.col("yc")) & larger & alike("xn", "yn"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        links = cut(linked(pairs, sets, percent), "links")
+        if links.limit(1).count():
+            label = components(links, label)
+        drop_cut(links)
     out = classes.join(label.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -61,7 +61,7 @@ def test_against_brute_force(spark, seed):
 
 
 def test_many_copies_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(N, "ROUND_PAIRS", 40)
+    monkeypatch.setattr(N, "ROUND_PAIRS", 5000)
     monkeypatch.setattr(N, "SMALL_IDS", 3)
     r = random.Random(9)
     base = [f"w{r.randrange(900)}" for _ in range(200)]
