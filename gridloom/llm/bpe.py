@@ -25,11 +25,17 @@ from pyspark.sql import functions as F
 #: No pair here that has a rank.
 NONE = 1 << 62
 #: Words kept in each of the two generations of a worker's memory.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Pre-token split of the public rank files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space other than one blank or line feed between two words, with the word after it.
 _ODD = regex.compile(r"(?:\s{2,}|[^\S\n ]|\A\s)\S*|\s\Z")
+_WHITE = regex.compile(r"\s").match
+
+
+def white(char: str) -> bool:
+    """White space by the pattern's own definition, which is narrower than ``str.isspace``."""
+    return char.isspace() and _WHITE(char) is not None
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,84 +124,85 @@ class Generations:
 
 
 class WordCoder:
-    """Packed ids of whole texts from the packed ids of pre-tokens.
+    """Packed ids of whole texts from the packed ids of chunks.
 
-    A blank or line feed between two words always starts a new pre-token, so words can be looked up one by
-    one; other white space goes through the pattern together with the word behind it.
+    A blank or line feed between two words always starts a new pre-token, so texts are looked up chunk by chunk:
+    a word with the blank or line feed before it. A text where white space comes in other forms is split into
+    regular stretches and into runs of white space with the word behind them, which go through the pattern.
     ``encode_pieces`` gives the packed ids of a list of pre-tokens.
     """
 
     def __init__(self, encode_pieces, size: int = REMEMBERED):
         self.split = regex.compile(PATTERN).findall
         self.encode_pieces = encode_pieces
-        self.spaced, self.bare = Generations(size), Generations(size)
-        (self.newline,) = encode_pieces(["\n"])
+        self.chunks = Generations(size)
 
     @staticmethod
-    def _lines(text: str) -> list[tuple[bool, str, list[str]]]:
-        """(after a line feed, first word, words after a blank) for each line of each regular stretch."""
-        out, at = [], 0
+    def _keys(text: str) -> list[str]:
+        """Chunks of a regular stretch of text. The first is as it stands; the others lack their blank."""
+        return text.replace("\n", " \n").split(" ")
+
+    def _pieces(self, key: str) -> list[str] | None:
+        """Pre-tokens of a chunk, nothing where white space at its border may belong to its neighbour."""
+        word = key[1:] if key[:1] == "\n" else key
+        if not word or white(word[0]) or white(word[-1]):
+            return None
+        if word.isalpha():
+            return [" " + word] if word is key else ["\n", word]
+        if word[-1] in ".,!?;:" and word[:-1].isalpha():
+            return [" " + word[:-1], word[-1]] if word is key else ["\n", word[:-1], word[-1]]
+        return self.split(" " + word if word is key else key)
+
+    def _learn(self, keys: set[str], loose: set[str]) -> dict[str, bytes]:
+        """Put the chunks of ``keys`` into memory (None: not regular); the packed ids of the ``loose`` strings."""
+        found = {k: self._pieces(k) for k in self.chunks.unknown(keys)}
+        pieces = {k: self.split(k) for k in loose}
+        wanted = {p for f in found.values() if f for p in f} | {p for f in pieces.values() for p in f}
+        own = [p for p in wanted if not (p[0] == " " and len(p) > 1 and p[1].isalpha())]
+        words = self.chunks.unknown({p[1:] for p in wanted if p[0] == " " and len(p) > 1 and p[1].isalpha()})
+        now = self.chunks.now
+        packed = self.encode_pieces(own + [" " + w for w in words])
+        at = dict(zip(own, packed))
+        now.update(zip(words, packed[len(own) :]))
+        value = lambda f: b"".join([at[p] if p in at else now[p[1:]] for p in f])
+        for k, f in found.items():
+            if k not in now:
+                now[k] = None if f is None else value(f)
+        return {k: value(f) for k, f in pieces.items()}
 
-        def regular(stretch: str) -> None:
-            for i, line in enumerate(stretch.split("\n")):
-                words = line.split(" ")
-                out.append((i > 0, words[0], words[1:]))
+    def packed_many(self, texts: list[str]) -> list[bytes]:
+        self.chunks.turn()
+        known = self.chunks.now.get
+        keys = [self._keys(t) if t else [""] for t in texts]
+        found = [list(map(known, k)) for k in keys]
+        unknown = {k for ks, f in zip(keys, found) if None in f for k, v in zip(ks, f) if v is None}
+        unknown.discard("")
+        first = self._learn(unknown, {k[0] for k in keys if k[0]})
+        now = self.chunks.now
+        out = []
+        for text, ks, f in zip(texts, keys, found):
+            if not text:
+                out.append(b"")
+                continue
+            if None in f:
+                f = [now.get(k) if v is None else v for k, v in zip(ks, f)]
+            f[0] = first[ks[0]] if ks[0] and not white(ks[0][0]) and not white(ks[0][-1]) else None
+            out.append(self._irregular(text) if None in f else b"".join(f))
+        return out
 
+    def _irregular(self, text: str) -> bytes:
+        stretches, at = [], 0
         for m in _ODD.finditer(text):
             if m.start() > at:
-                regular(text[at : m.start()])
-            out.append((False, m[0], []))
+                stretches.append((True, text[at : m.start()]))
+            stretches.append((False, m[0]))
             at = m.end()
         if at < len(text):
-            regular(text[at:])
-        return out
-
-    def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        new_spaced, new_bare = self.spaced.unknown(spaced), self.bare.unknown(bare)
-        chunks = [" " + w for w in new_spaced] + new_bare
-        found = [self.split(c) for c in chunks]
-        parts_spaced, parts_bare = set(), set()
-        for f in found:
-            for p in f:
-                if p[0] == " " and len(p) > 1 and p[1] != " ":
-                    parts_spaced.add(p[1:])
-                else:
-                    parts_bare.add(p)
-        todo_spaced, todo_bare = self.spaced.unknown(parts_spaced), self.bare.unknown(parts_bare)
-        packed = self.encode_pieces([" " + w for w in todo_spaced] + todo_bare)
-        now_s, now_b = self.spaced.now, self.bare.now
-        now_s.update(zip(todo_spaced, packed))
-        now_b.update(zip(todo_bare, packed[len(todo_spaced) :]))
-        for k, (chunk, f) in enumerate(zip(chunks, found)):
-            value = b"".join([now_s[p[1:]] if p[0] == " " and len(p) > 1 and p[1] != " " else now_b[p] for p in f])
-            if k < len(new_spaced):
-                now_s[chunk[1:]] = value
-            else:
-                now_b[chunk] = value
-
-    def packed_many(self, texts: list[str]) -> list[bytes]:
-        self.spaced.turn()
-        self.bare.turn()
-        plans = [self._lines(t) if t else [] for t in texts]
-        spaced, bare = set(), {"\n"}
-        for plan in plans:
-            for _, first, words in plan:
-                bare.add(first)
-                spaced.update(words)
-        bare.discard("")
-        self._learn(spaced, bare)
-        now_s, now_b, newline = self.spaced.now, self.bare.now, self.newline
-        out = []
-        for plan in plans:
-            parts: list[bytes] = []
-            for after_feed, first, words in plan:
-                if after_feed:
-                    parts.append(newline)
-                if first:
-                    parts.append(now_b[first])
-                parts.extend([now_s[w] for w in words])
-            out.append(b"".join(parts))
-        return out
+            stretches.append((True, text[at:]))
+        keys = [self._keys(s) if regular else [s] for regular, s in stretches]
+        first = self._learn({k for ks in keys for k in ks[1:]}, {ks[0] for ks in keys if ks[0]})
+        now = self.chunks.now
+        return b"".join([part for ks in keys for part in (first[ks[0]] if ks[0] else b"", *[now[k] for k in ks[1:]])])
 
 
 #: Pre-tokens of more bytes than this are merged one by one, the others many at a time.
