@@ -126,36 +126,33 @@ def best_filling(price: np.ndarray, capacity: int) -> list[int]:
 
 
 def configuration_program(need: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional numbers of each filling that cover ``need``: multiplicative weights on the covering rows."""
+    """Fractional numbers of each filling, by multiplicative weights on the covering rows (one for each length).
+
+    A round adds the best filling as often as it takes to cover its scarcest length once, then makes the lengths it
+    holds cheaper by how much of their demand that was. At the end each filling is scaled by its most covered
+    length, so nothing is filled beyond its demand; what stays uncovered is the remainder of the rounding.
+    """
     lengths = sorted(need)
     demand = np.array([need[x] for x in lengths], dtype=float)
     index = {x: k for k, x in enumerate(lengths)}
-    bound = max(1.0, float((demand * lengths).sum()) / capacity)  # sequences that the tokens alone would fill
     log_weight = np.zeros(len(lengths))
     total = np.zeros(len(lengths))  # cover of each length, as a part of its demand
     used: dict[tuple[int, ...], float] = {}
-    step = np.sqrt(np.log(len(lengths) + 1) / rounds)
+    step = 0.5
     for _ in range(rounds):
         weight = np.exp(log_weight - log_weight.max())
         price = np.zeros(capacity + 1)
-        price[lengths] = weight / weight.sum() / demand
+        # worth by tokens: all fillings tie while nothing is covered, and full ones win
+        price[lengths] = weight * lengths
         filling = tuple(best_filling(price, capacity))
         cover = np.zeros(len(lengths))
         for x in filling:
-            cover[index[x]] += bound / demand[index[x]]
-        # as many as cover its scarcest length once at most: wide steps would only cycle
-        portion = min(1.0, 1.0 / cover.max())
-        used[filling] = used.get(filling, 0.0) + portion
-        total += portion * cover
-        log_weight -= step * portion * cover
-    low = total.min()
-    if low <= 0:  # a length that no filling took yet: cover it alone
-        for k in np.flatnonzero(total <= 0):
-            alone = (lengths[k],) * (capacity // lengths[k])
-            used[alone] = used.get(alone, 0.0) + 1.0
-            total[k] += bound * len(alone) / demand[k]
-        low = total.min()
-    return [(f, bound * x / low) for f, x in used.items()]
+            cover[index[x]] += 1.0 / demand[index[x]]
+        amount = 1.0 / cover.max()
+        used[filling] = used.get(filling, 0.0) + amount
+        total += amount * cover
+        log_weight -= step * amount * cover
+    return [(f, x / max(1.0, max(total[index[y]] for y in f))) for f, x in used.items()]
 
 
 def best_fit(need: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
