@@ -55,19 +55,18 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     ids = nodes.select("tree_id", "msg_id", "parent_id", "score")
     # up: the message at the jump's distance; total: scores from here up to just below it; hops: messages so
-    jumps = [cut(_on_parent(ids, ids.select("tree_id", "msg_id"), "parent_id", "left").select("tree_id", "msg_id", F.col("r_msg_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")), "jump")]
+    tables = [cut(_on_parent(ids, ids.select("tree_id", "msg_id"), "parent_id", "left").select("tree_id", "msg_id", F.col("r_msg_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")), "jump")]
+    jumps = [tables[0].filter(F.col("up").isNotNull())]
+    rooted = tables[0].filter(F.col("up").isNull())
     open_before = None
-    while True:
-        last = jumps[-1]
-        still = last.filter(F.col("up").isNotNull()).count()
-        if still == 0 or still == open_before:
-            break
+    while (still := jumps[-1].count()) and still != open_before:  # only messages that have not met their root go on
         open_before = still
-        step = _on_parent(last, last, "up", "left").select(
+        step = _on_parent(jumps[-1], jumps[-1].unionByName(rooted), "up", "left").select(
             "tree_id", "msg_id", F.col("r_up").alias("up"), (F.col("total") + F.coalesce("r_total", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("r_hops", F.lit(0))).alias("hops")
         )
-        jumps.append(cut(step, "jump"))
-    rooted = jumps[-1].filter(F.col("up").isNull())
+        tables.append(cut(step, "jump"))
+        jumps.append(tables[-1].filter(F.col("up").isNotNull()))
+        rooted = rooted.unionByName(tables[-1].filter(F.col("up").isNull()))
     parents = ids.filter(F.col("parent_id").isNotNull()).select("tree_id", F.col("parent_id").alias("msg_id")).distinct()
     leaves = _on_parent(rooted, parents, "msg_id", "left_anti")
     rank = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("hops"), "msg_id")
@@ -75,13 +74,13 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     path = cut(path.select("tree_id", "branch", "msg_id", F.col("hops").alias("place")), "path")
     parts = [path]
     for k, jump in enumerate(jumps[:-1]):
-        above = _on_parent(path, jump.filter(F.col("up").isNotNull()).select("tree_id", "msg_id", "up"), "msg_id", "inner")
+        above = _on_parent(path, jump.select("tree_id", "msg_id", "up"), "msg_id", "inner")
         above = above.select("tree_id", "branch", F.col("r_up").alias("msg_id"), (F.col("place") - (1 << k)).alias("place"))
         path = cut(path.unionByName(above), "path")
         parts.append(path)
     out = _on_parent(path, nodes.select("tree_id", "msg_id", "role", "text"), "msg_id", "inner")
     out = out.select("tree_id", "branch", "place", F.col("r_role").alias("role"), F.col("r_text").alias("text"))
-    drop_cut(*jumps, *parts[:-1])
+    drop_cut(*tables, *parts[:-1])
     return out
 
 
