@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, fingerprints, neardup, packing, quality_rules, substring
+from gridloom.llm import bpe, chat, fingerprints, neardup, packing, pii, quality_rules, substring
 from gridloom.llm.shared import read_table
 
 
@@ -46,6 +46,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("tree_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -54,6 +62,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_pii_spans": op9_pii_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
