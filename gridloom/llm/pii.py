@@ -33,6 +33,8 @@ SAMPLE_TOKENS = 60_000
 BELIEF = 0.6
 #: Least weight of a skip potential: repeats agree unless their own evidence is stronger.
 LINK = 6.0
+#: Weight of the label that a base span gives its tokens.
+EVIDENCE = 20.0
 FEATURES = 1 << 12
 STEPS = 80
 SWEEPS = 10
@@ -130,11 +132,17 @@ def edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
 
 
 def token_labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
+    """Label of each token: the kind of the first base span that it touches."""
     out, k = [0] * len(spans), 0
     for start, kind, end in base:
-        for k, (a, b) in enumerate(spans):
-            if a < end and start < b and not out[k]:
-                out[k] = kind + 1
+        while k and spans[k - 1][1] > start:
+            k -= 1
+        while k < len(spans) and spans[k][1] <= start:
+            k += 1
+        j = k
+        while j < len(spans) and spans[j][0] < end:
+            out[j] = out[j] or kind + 1
+            j += 1
     return out
 
 
@@ -172,9 +180,12 @@ class Field:
             skip = min(1.5 * LINK, max(LINK, skip - 0.5 * gs / np.sqrt(square[2])))
         return cls(unary, chain, skip)
 
-    def beliefs(self, feats: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
-        """Label beliefs of each token by loopy belief propagation."""
+    def beliefs(self, feats: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], known: list[int] | None = None) -> np.ndarray:
+        """Label beliefs of each token by loopy belief propagation; labels in ``known`` other than 0 are evidence."""
         phi = self.unary[np.array(feats)].sum(axis=1)
+        for k, label in enumerate(known or []):
+            if label:
+                phi[k, label] += EVIDENCE
         if not chain and not skip:
             phi = np.exp(phi - phi.max(axis=1, keepdims=True))
             return phi / phi.sum(axis=1, keepdims=True)
@@ -218,7 +229,7 @@ def further_spans(text: str, base: list[tuple[int, int, int]], field: Field, bel
     if not spans:
         return []
     chain, skip = edges(text, spans)
-    b = field.beliefs(features(text, spans), chain, skip)
+    b = field.beliefs(features(text, spans), chain, skip, token_labels(spans, base))
     best, sure = b.argmax(axis=1).tolist(), (b.max(axis=1) >= belief).tolist()
     taken, at, out = sorted((s, e) for s, _, e in base), 0, []
     runs: list[list[int]] = []
