@@ -46,7 +46,7 @@ def corpus():
         text.insert(17, r.choice(["in 1999", "room 12", "v2", "7 cats"]))
         rows.append((i, " ".join(text)))
     rows.append((900, "call (415) 555-1234 today, lorem ipsum 12 cats in 1999"))
-    rows.append((901, "+1 (415) 555-9876 lorem ipsum dolor sit amet magna and 555-9876 again"))
+    rows.append((901, "+1 (415) 555-9876 lorem ipsum dolor sit amet magna and (415) 555-9876 again"))
     rows += [(902, None), (903, ""), (904, "no digits here")]
     return rows
 
