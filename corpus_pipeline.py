@@ -1,12 +1,53 @@
-"""The corpus pipeline: STAGES over documents, each stage written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: STAGES over documents, each stage written as Parquet and read again as the next one's input.
+
+Quality rules reject documents, near-dedup keeps the first document of each group (five-word shingles, similarity 0.8),
+substring dedup cuts passages of 50 words and more that an earlier document has, personal data gives way to
+its kind in brackets, and packing turns the rest into token pieces placed in sequences. All stages but the last return
+the columns of ``documents``; texts that change get their new length. ORACLE_SQL is None: the verdict of the
+rules, the field of the personal data and the packing have no SQL form; tests/llm checks each stage by brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import neardup, packing, pii, quality_rules, substring
 from gridloom.llm.shared import cut, read_table
 
-STAGES: list = []
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_first(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(substring.remove(docs))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(pii.redact(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("pii", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 ORACLE_SQL = None
 

@@ -65,11 +65,12 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, words, and the base counts of every document."""
+def base_columns(docs: DataFrame, text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, ``carry``, words, and the base counts of every document."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(
         "doc_id",
+        *carry,
         words_of(t).alias("words"),
         F.length(F.translate(t, WORD_BREAKS, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -123,11 +124,19 @@ def score(words: Column, weight: list[int]) -> Column:
     return let(_tails(words), of)
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, base counts, base_failed, score and kept of every document."""
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, base counts, base_failed, score and kept of every document, and the columns ``carry``."""
     weight = weights(docs, labels, text)
-    d = base_columns(docs, text)
+    d = base_columns(docs, text, carry)
     d = d.select("*", F.round(F.coalesce(score(F.col("words"), weight), F.lit(0.0)) / 1e6, 9).alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    d = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score")
+    d = d.drop("words").withColumn("base_failed", failed)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"]
+    d = d.select(*names, *[c for c in d.columns if c not in names])
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns, without a shuffle."""
+    judged = judge(docs, labels, text, (F.struct("*").alias("__row"),))
+    return judged.filter("kept").select("__row.*")
