@@ -53,8 +53,10 @@ register(
 )
 
 
-def _rolling(name, f, window=5, inputs=1, least=1, **more):
-    """f(stage, frame aggregate, columns, parameters); a result needs min_periods complete samples."""
+def _rolling(name, f, window=5, inputs=1, least=1, before=None, after=None):
+    """f(stage, frame aggregate, columns, parameters); a result needs min_periods complete samples.
+
+    ``before`` and ``after``: parameters that come before and after the window."""
 
     def build(s, *columns, window, min_periods, axis, **p):
         over = s.last(axis, window)
@@ -63,7 +65,7 @@ def _rolling(name, f, window=5, inputs=1, least=1, **more):
         need = max(min_periods or window, least)
         return F.when(agg(F.count(whole)) >= need, f(s, agg, *columns, axis=axis, **p))
 
-    register(Operator(name, (NUMERIC,) * inputs, build, params={"window": window, "min_periods": None, "axis": 0} | more, lookback=_history, check=check_axis))
+    register(Operator(name, (NUMERIC,) * inputs, build, params={**(before or {}), "window": window, **(after or {}), "min_periods": None, "axis": 0}, lookback=_history, check=check_axis))
 
 
 def _argument(s, agg, x, axis, largest):
@@ -102,15 +104,24 @@ def _pairs(s, agg, x, y):
 
 
 def _moments(s, pairs, stat):
-    n = F.size(pairs)
-    mean = {c: s.temp(F.try_divide(_sum(pairs, lambda v, c=c: v[c]), n.cast("double"))) for c in "xy"}
-    centred = lambda a, b: F.try_divide(_sum(pairs, lambda v: (v[a] - mean[a]) * (v[b] - mean[b])), n.cast("double"))
+    n = F.size(pairs).cast("double")
+
+    def mean_of(f):
+        return F.try_divide(_sum(pairs, f), n)
+
+    mean = {"x": s.temp(mean_of(lambda v: v["x"])), "y": s.temp(mean_of(lambda v: v["y"]))}
     if stat == "mean":
         return mean["x"]
-    variance = {c: s.temp(clamped(centred(c, c), F.try_divide(_sum(pairs, lambda v, c=c: v[c] * v[c]), n.cast("double")), mean[c])) for c in "xy"}
+
+    def variance(c):
+        return s.temp(clamped(mean_of(lambda v: (v[c] - mean[c]) * (v[c] - mean[c])), mean_of(lambda v: v[c] * v[c]), mean[c]))
+
+    vx = variance("x")
     if stat == "std":
-        return F.sqrt(variance["x"])
-    return F.when((n >= 2) & (variance["x"] > 0) & (variance["y"] > 0), fin(F.try_divide(centred("x", "y"), F.sqrt(variance["x"]) * F.sqrt(variance["y"]))))
+        return F.sqrt(vx)
+    vy = variance("y")
+    shared = mean_of(lambda v: (v["x"] - mean["x"]) * (v["y"] - mean["y"]))
+    return F.when((n >= 2) & (vx > 0) & (vy > 0), fin(F.try_divide(shared, F.sqrt(vx) * F.sqrt(vy))))
 
 
 def _rank_corr(s, agg, x, y, axis):
@@ -141,20 +152,20 @@ _rolling("ts_min", lambda s, agg, x, axis: agg(F.min(x)))
 _rolling("ts_max", lambda s, agg, x, axis: agg(F.max(x)))
 _rolling("ts_max_to_min", lambda s, agg, x, axis: agg(F.max(x)) - agg(F.min(x)))
 _rolling("ts_median", lambda s, agg, x, axis: agg(F.percentile(x, 0.5)))
-_rolling("ts_quantile", lambda s, agg, x, axis, quantile: agg(F.percentile(x, float(quantile))), window=10, quantile=0.5)
+_rolling("ts_quantile", lambda s, agg, x, axis, quantile: agg(F.percentile(x, float(quantile))), window=10, after={"quantile": 0.5})
 _rolling("ts_argmin", lambda s, agg, x, axis: _argument(s, agg, x, axis, False))
 _rolling("ts_argmax", lambda s, agg, x, axis: _argument(s, agg, x, axis, True))
 _rolling("ts_rank", _rank)
 _rolling("ts_cumprod", lambda s, agg, x, axis: fin(agg(F.product(1 + x))))
 _rolling("ts_tbeta", _slope_on_time, least=2)
-_rolling("ts_ewm_mean", lambda s, agg, x, axis, halflife: _ewm(s, agg, x, axis, halflife, False), window=10, halflife=5)
-_rolling("ts_ewm_std", lambda s, agg, x, axis, halflife: _ewm(s, agg, x, axis, halflife, True), window=10, halflife=5)
+_rolling("ts_ewm_mean", lambda s, agg, x, axis, halflife: _ewm(s, agg, x, axis, halflife, False), window=10, before={"halflife": 5})
+_rolling("ts_ewm_std", lambda s, agg, x, axis, halflife: _ewm(s, agg, x, axis, halflife, True), window=10, before={"halflife": 5})
 _rolling("ts_corr", lambda s, agg, x, y, axis: corr(x, y, agg), inputs=2, least=2)
 _rolling("ts_cov", lambda s, agg, x, y, axis: cov(x, y, agg), inputs=2, least=2)
 _rolling("ts_beta", lambda s, agg, x, y, axis: beta(x, y, agg), inputs=2, least=2)
 _rolling("ts_rankcorr", _rank_corr, inputs=2, least=2)
 for _name in ("mean", "std", "corr"):
-    _rolling(f"ts_split_{_name}", _split(_name), inputs=2, top=1)
+    _rolling(f"ts_split_{_name}", _split(_name), inputs=2, after={"top": 1})
 
 # --- the step axis ---------------------------------------------------------------------------
 
