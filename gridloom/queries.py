@@ -368,3 +368,85 @@ family(
     asset="cb",
     select="m.date, m.asset, m.step",
 )
+
+
+# --- sources, sinks and the stream --------------------------------------------------------------
+
+
+def source_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest order value of a customer's stand-in at each shipment, 1 where there is none yet."""
+    from gridloom.sources.builders import as_of
+
+    items = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("key"), "l_shipdate")
+    orders = _table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), "o_orderdate", "o_totalprice")
+    out = as_of(items, orders, "key", "l_shipdate", "o_orderdate", "o_totalprice", "factor", 1.0)
+    return out.select("l_orderkey", "l_linenumber", "key", F.round("factor", 6).alias("factor"))
+
+
+def source_any_flag(spark: SparkSession, sf: str) -> DataFrame:
+    from gridloom.sources.builders import any_flag
+
+    t = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 1).alias("a"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("b"))
+    return any_flag(t, "l_orderkey", "l_linenumber", ("a", "b")).select(F.col("date").alias("l_orderkey"), F.col("code").alias("l_linenumber"), "untradable")
+
+
+def source_point_in_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's last three orders as reports, the oldest at step 0."""
+    from pyspark.sql import Window
+
+    from gridloom.sources.builders import point_in_time
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    t = _table(spark, sf, "orders").select(F.lit("20990101").alias("d"), "o_custkey", F.date_add(F.to_date("o_orderdate"), 30).alias("pub"), F.to_date("o_orderdate").alias("ended"), F.row_number().over(w).alias("rank"), "o_totalprice")
+    return point_in_time(t, "d", "o_custkey", "pub", "ended", "rank", "o_totalprice", 3, 10)
+
+
+def source_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """A configured table end to end: a whitelist of fields, a filter, a default for absent rows."""
+    from gridloom.sources.catalog import Catalog
+
+    orders = {"path": f"{sf}/orders.parquet", "asset": "stk", "date": "o_orderdate", "code": "o_custkey", "fields": ["o_totalprice"], "filter": "o_orderkey % 7 = 0 AND o_custkey <= 40"}
+    catalog = Catalog(spark, {"orders": orders})
+    p = catalog.panels["orders"]
+    once = lambda t=p.table: t().groupBy("date", "code").agg(F.max("o_totalprice").alias("o_totalprice"))
+    p.table, p.defaults, p.checked = once, {"o_totalprice": 0.0}, True
+    provider = catalog.provider()
+    days = provider.calendar()
+    out = Engine(spark, provider).compute(FormulaBatch.from_lines('total = ts_sum(get_lf("stk", "o_totalprice"), 3, min_periods=1)'), Domain(days[0], days[-1]))
+    return rounded(out, ["total"])
+
+
+def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-hour bars by event type, from a stream over the events file."""
+    import os
+    import uuid
+
+    from gridloom.streaming.bars import step_bars
+
+    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"bars_{os.getpid()}_{uuid.uuid4().hex[:8]}"
+    bars = step_bars(events, "ts", "event_type", "value")
+    q = bars.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyyMMddHH").alias("start"), "code", F.round("x", 6).alias("x"), "y")
+
+
+QUERIES |= {f.__name__: f for f in (source_as_of, source_any_flag, source_point_in_time, source_catalog, stream_bars)}
+ORACLE_SQL |= {
+    "source_as_of": """
+        WITH o AS (SELECT o_custkey AS key, o_orderdate, max(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+        SELECT l_orderkey, l_linenumber, l_suppkey AS key, round(coalesce(v, 1), 6) AS factor FROM lineitem l ASOF LEFT JOIN o ON l.l_suppkey = o.key AND l.l_shipdate >= o.o_orderdate
+    """,
+    "source_any_flag": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' OR l_linestatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS untradable FROM lineitem",
+    "source_point_in_time": """
+        SELECT '20990101' AS date, o_custkey AS code, CAST(3 - r AS INT) AS step, o_totalprice
+        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3
+    """,
+    "source_catalog": """
+        WITH r AS (SELECT strftime(o_orderdate, '%Y%m%d') AS date, o_custkey AS asset, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey <= 40 GROUP BY 1, 2),
+        g AS (SELECT date, asset, coalesce(v, 0) AS v FROM (SELECT DISTINCT date FROM r) CROSS JOIN (SELECT DISTINCT asset FROM r) LEFT JOIN r USING (date, asset))
+        SELECT date, asset, 0 AS step, round(sum(v) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS total FROM g
+    """,
+    "stream_bars": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y%m%d%H') AS start, event_type AS code, round(sum(value), 6) AS x, count(*) AS y FROM events GROUP BY 1, 2",
+}
