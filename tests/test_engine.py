@@ -1,0 +1,167 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.engine import Engine
+from gridloom.formula import FormulaBatch
+from gridloom.operators import REGISTRY, CompileError, Operator
+from gridloom.plans.compiler import Domain
+from gridloom.sources.panel import Panel, SourceError, TableProvider, memory_provider
+from gridloom.sources.repository import FactorRepository, RepositoryProvider
+
+DAYS = ["20240102", "20240103", "20240104", "20240105", "20240108", "20240109"]
+X = [[3, 10], [1, None], [2, 30], [5, 40], [4, None], [6, 60]]
+R = [[1, 5], [3, 5], [2, 5], [2, 5], [5, 5], [4, 5]]
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    return Engine(spark, memory_provider(spark, DAYS, {"stk": [1, 2]}, {"stk.1d.x": X, "stk.1d.r": R, "stk.1d.m": [[1, 0]] * 6, "stk.1d.c": [[0, 1]] * 6}, {"stk.1d.m": "mask", "stk.1d.c": "code"}))
+
+
+def run(engine, formulas, start=DAYS[0], end=DAYS[-1], **domain):
+    batch = FormulaBatch.from_text('x = source("stk.1d.x")\nr = source("stk.1d.r")\nm = source("stk.1d.m")\nc = source("stk.1d.c")', {k: f"out = {v}" for k, v in formulas.items()})
+    rows = engine.compute(batch, Domain(start, end, **domain)).collect()
+    return {k: {(r.date, r.asset): r[k] for r in rows} for k in formulas}
+
+
+def column(values, asset):
+    return [values[d, asset] for d in DAYS]
+
+
+def test_134_operators():
+    assert len(REGISTRY) == 134
+
+
+def test_exact_vectors(engine):
+    got = run(engine, {"lo": "ts_argmin(x, 3)", "hi": "ts_argmax(x, 3)", "rk": "ts_rank(r, 3)"})
+    assert column(got["lo"], 1) == [None, None, 1, 2, 2, 1]
+    assert column(got["hi"], 1) == [None, None, 2, 0, 1, 0]
+    assert column(got["rk"], 1) == [None, None, 0.5, 0.25, 1, 0.5]
+    assert column(got["rk"], 2) == [None, None, 0.5, 0.5, 0.5, 0.5]
+
+
+def test_missing_values(engine):
+    got = run(engine, {"full": "ts_mean(x, 2)", "some": "ts_mean(x, 2, min_periods=1)", "w": "where(x > 20, r, 7)", "p": "x ** 0", "q": "1 ** x", "z": "x / (r - r)", "s": "ts_sum(x, 1)", "fill": "ts_ffill(x, 1)"})
+    assert column(got["full"], 2) == [None, None, None, 35, None, None]
+    assert column(got["some"], 2) == [10, 10, 30, 35, 40, 60]
+    assert got["w"]["20240103", 2] is None and got["w"]["20240102", 2] == 7 and got["w"]["20240104", 2] == 5
+    assert set(got["p"].values()) == {1.0} and got["q"]["20240103", 2] == 1.0 and set(got["z"].values()) == {None}
+    assert column(got["s"], 2)[1] is None and column(got["fill"], 2) == [10, 10, 30, 40, 40, 60]
+
+
+def test_three_valued_logic(spark):
+    rows = [(a, b) for a in (1, 0, None) for b in (1, 0, None)]
+    p = memory_provider(spark, DAYS[:1], {"stk": list(range(9))}, {"stk.1d.a": [[a for a, _ in rows]], "stk.1d.b": [[b for _, b in rows]]}, {"stk.1d.a": "mask", "stk.1d.b": "mask"})
+    batch = FormulaBatch.from_text('a = source("stk.1d.a")\nb = source("stk.1d.b")', {"n": "o = mask_not(a)", "k": "o = mask_and(a, b)", "u": "o = mask_or(a, b)"})
+    got = {r.asset: r for r in Engine(spark, p).compute(batch, Domain(DAYS[0], DAYS[0])).collect()}
+    for i, (a, b) in enumerate(rows):
+        assert got[i].n == (None if a is None else a == 0)
+        assert got[i].k == (False if 0 in (a, b) else None if None in (a, b) else True)
+        assert got[i].u == (True if 1 in (a, b) else None if None in (a, b) else False)
+
+
+def test_a_reduced_value_is_one_sample(engine):
+    got = run(engine, {"n": "cs_count(cs_mean(x))", "m": "member_mean(x, m)", "g": "group_mean(x, c)", "b": "x - cs_mean(x)", "gr": "cs_gauss_rank(r)"})
+    assert set(got["n"].values()) == {1.0}
+    assert got["m"]["20240104", 2] == 2 and got["g"]["20240104", 2] == 30
+    assert got["b"]["20240104", 1] == -14
+    assert got["gr"]["20240102", 1] == 0.0 and got["gr"]["20240102", 2] == pytest.approx(2.6930, abs=1e-3) or math.isclose(math.erf(got["gr"]["20240102", 2]), 0.999999, abs_tol=1e-5)
+
+
+def test_history_and_chunks_do_not_change_results(engine):
+    batch = FormulaBatch.from_text('x = source("stk.1d.x")', {"f": "o = ts_mean(delay(x, 1), 3, min_periods=1)", "z": "o = cs_zscore(ts_sum(x, 2, min_periods=1))"})
+    plan = engine.compile(batch, Domain(DAYS[3], DAYS[5]))
+    assert plan.lookback == 3 and plan.dates == DAYS and plan.first == 3
+    whole = sorted(map(tuple, engine.compute(batch, Domain(DAYS[1], DAYS[5])).collect()))
+    for n in (1, 2, 10):
+        assert sorted(tuple(r) for part in engine.stream(batch, Domain(DAYS[1], DAYS[5]), n) for r in part.collect()) == whole
+
+
+def test_equal_terms_are_one(engine):
+    batch = FormulaBatch.from_text('x = source("stk.1d.x")', {"a": "o = ts_mean(x)", "b": "m = ts_mean(x, 5, axis=0)\no = m", "c": "o = ts_mean(x, 5) + 1"})
+    plan = engine.compile(batch, Domain(DAYS[0], DAYS[5]))
+    assert plan.outputs["a"] is plan.outputs["b"] and sum(t.op == "ts_mean" for t in plan.order) == 1
+
+
+@pytest.mark.parametrize(
+    "formula",
+    [
+        "ts_mean(x, 0)", "ts_mean(x, 3, min_periods=4)", "delay(x, -1)", "delay(x, 1, axis=3)", "ffill(x)", "x + m", "mask_not(x)", "cs_mean(x, r)", "group_mean(x, r)", "nothing(x)", "ts_mean()", "ts_mean(x, window=r)", "ts_mean(x, 2, 1, 0, 5)",
+        "cs_quantile(x, q=2)", "winsorize(x, lower=0.9, upper=0.1)", 'cs_corr(x, r, method="odd")', "location(x, axis=0)", "select_by_pos(x, 0)", "select_by_pos(x, 5, keepdims=True)", "get_step(x, 1)", "slice_step(x, 1, 1)", 'resample(x, "1d", "mean")', "c > 1", "1 + 2", "intraday_flat_mean(x)",
+        'source("stk.1d.unknown")', "select_asset(x, 99)", "select_index_feature(x, 1)", "ts_mean(x, window=2, window_days=3)",
+    ],
+)
+def test_compile_errors(engine, formula):
+    with pytest.raises(CompileError):
+        engine.compile(FormulaBatch.from_text('x = source("stk.1d.x")\nr = source("stk.1d.r")\nm = source("stk.1d.m")\nc = source("stk.1d.c")', {"f": f"out = {formula}"}), Domain(DAYS[0], DAYS[5]))
+
+
+def test_asset_axis(engine):
+    got = run(engine, {"s": "cs_sum(x)"}, assets=[2, 1])
+    assert got["s"]["20240102", 1] == 13
+    for bad in ([], [1, 1], [3]):
+        with pytest.raises(CompileError):
+            run(engine, {"s": "x"}, assets=bad)
+
+
+def test_custom_operator(spark, engine):
+    double = Operator("double_it", ("numeric",), lambda s, x, by: x * by, params={"by": 2.0})
+    own = Engine(spark, engine.provider, {"double_it": double})
+    assert run(own, {"d": "double_it(x)"})["d"]["20240102", 2] == 20
+
+
+def test_steps_and_lookup(spark):
+    deep = [[[1, 2, 3, 4], [None, None, 1, None]], [[5, 6, 7, 8], [None] * 4]]
+    p = memory_provider(spark, DAYS[:2], {"stk": [11, 22], "cb": [101, 102, 103]}, {"stk.60min.p": deep, "cb.1d.underlying_stk": [[1, 0, None], [1, 0, None]]}, {"cb.1d.underlying_stk": "code"})
+    e = Engine(spark, p)
+    batch = FormulaBatch.from_text('p = source("stk.60min.p")', {"sum": "o = step_sum(p)", "kurt": "o = step_kurtosis(p)", "mean": "o = step_mean(p)"})
+    got = {(r.date, r.asset): r for r in e.compute(batch, Domain(DAYS[0], DAYS[1])).collect()}
+    assert got[DAYS[1], 22]["sum"] == 0.0 and got[DAYS[1], 22]["mean"] is None and got[DAYS[0], 11]["kurt"] == pytest.approx(-1.2)
+    bonds = e.compute(FormulaBatch.from_lines('o = project_stk_to_cb(step_mean(source("stk.60min.p")))'), Domain(DAYS[0], DAYS[1], asset="cb")).collect()
+    assert {(r.date, r.asset): r.o for r in bonds} == {(DAYS[0], 101): 1.0, (DAYS[0], 102): 2.5, (DAYS[0], 103): None, (DAYS[1], 101): None, (DAYS[1], 102): 6.5, (DAYS[1], 103): None}
+    finer = e.compute(FormulaBatch.from_lines('o = align_frequency(source("stk.60min.p"), "30min", "ffill")'), Domain(DAYS[0], DAYS[0], freq="30min")).filter("asset = 11").orderBy("step").collect()
+    assert [r.o for r in finer] == [1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_saved_factors(spark, engine, tmp_path):
+    repo = FactorRepository(spark, f"file://{tmp_path}/factors")
+    domain = Domain(DAYS[0], DAYS[-1])
+    repo.save(engine.compute(FormulaBatch.from_lines("s = ts_sum(source('stk.1d.x'), 2, min_periods=1)"), domain), "s", domain, 1)
+    with pytest.raises(Exception, match="already exists"):
+        repo.save(engine.compute(FormulaBatch.from_lines("s = source('stk.1d.x')"), domain), "s", domain, 1)
+    e = Engine(spark, RepositoryProvider(engine.provider, repo))
+    got = e.compute(FormulaBatch.from_lines("d = load_factor('s') - source('stk.1d.x')"), domain).collect()
+    assert {(r.date, r.asset): r.d for r in got}[DAYS[2], 2] == 0 and {(r.date, r.asset): r.d for r in got}[DAYS[2], 1] == 1
+
+
+def test_rows_that_break_their_shape(spark):
+    def provider(rows, kind="numeric", steps=1):
+        df = spark.createDataFrame(rows, "date string, code bigint, step int, v double")
+        return TableProvider(spark, {"p": Panel(lambda: df, "stk", "1d", steps, {"v": kind}, {}, ("v",), checked=True)})
+
+    batch = FormulaBatch.from_lines("o = source('stk.1d.v')")
+    for rows, kind, steps in (([("20240102", 1, 0, 1.0)] * 2, "numeric", 1), ([("20240102", 1, 0, 0.5)], "mask", 1), ([("20240102", 1, 0, 1.5)], "code", 1), ([("20240102", 1, 9, 1.0)], "numeric", 4)):
+        with pytest.raises(SourceError):
+            Engine(spark, provider(rows, kind, steps)).compute(batch, Domain("20240102", "20240102", steps=steps if steps > 1 else None))
+    inf = Engine(spark, provider([("20240102", 1, 0, float("inf")), ("20240102", 2, 0, float("nan"))])).compute(batch, Domain("20240102", "20240102"))
+    assert [r.o for r in inf.collect()] == [None, None]
+
+
+def test_order_and_partitions_do_not_matter(spark):
+    rows = [(d, a, float((i * 7 + a * 3) % 11)) for i, d in enumerate(DAYS) for a in range(8) if (i + a) % 4]
+    out = []
+    for k in (1, 5):
+        df = spark.createDataFrame(rows[:: 1 if k == 1 else -1], "date string, code bigint, v double").repartition(k)
+        p = TableProvider(spark, {"p": Panel(lambda df=df: df, "stk", fields=("v",))})
+        out.append(sorted(map(str, Engine(spark, p).compute(FormulaBatch.from_lines("o = rank(ts_mean(source('stk.1d.v'), 3, min_periods=1))"), Domain(DAYS[0], DAYS[-1])).collect())))
+    assert out[0] == out[1]
+
+
+def test_history_filter_reaches_the_scan(spark):
+    from gridloom.queries import _table
+
+    df = _table(spark, "/root/testdata/sf0.001", "orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.col("o_custkey").alias("code"), "o_totalprice")
+    plan = df.filter(F.col("code") < 10).select("code")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_custkey:bigint>" in plan and "PushedFilters" in plan
