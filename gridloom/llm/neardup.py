@@ -138,8 +138,10 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def exact_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(v, id, n, short): the rarest members of each full set, without those that no other set holds.
+    """(v, id, n, left, short): the rarest members of each full set, without those that no other set holds.
 
+    ``left`` members of the set, v included, come from v on in the order of rarity: from its first common member on
+    a pair has no more in common than either has left, which ends most pairs that share common members only.
     Of two linked sets the larger holds their rarest common member among its first n - ceil(t n) + 1, the
     smaller among its first n - ceil(2 t / (1 + t) n) + 1, the ``short`` ones: its overlap is at least that.
     """
@@ -148,8 +150,8 @@ def exact_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     held = rows.join(common, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # one document's set a row
     alone = F.col("n") - F.size("held")
     first = lambda need: (F.col("n") - F.ceil(need) + 1 - alone).cast("int")
-    enter = held.select("id", "n", first(F.col("n") * (2 * percent) / (100 + percent)).alias("short"), F.slice("held", F.lit(1), F.greatest(first(F.col("n") * percent / 100), F.lit(0))).alias("held"))
-    return enter.select("id", "n", "short", F.posexplode("held").alias("at", "h")).select(F.col("h.v").alias("v"), "id", "n", (F.col("at") < F.col("short")).alias("short"))
+    enter = held.select("id", "n", first(F.col("n") * (2 * percent) / (100 + percent)).alias("short"), F.slice("held", F.lit(1), F.greatest(first(F.col("n") * percent / 100), F.lit(0))).alias("first"), F.size("held").alias("held"))
+    return enter.select("id", "n", "short", "held", F.posexplode("first").alias("at", "h")).select(F.col("h.v").alias("v"), "id", "n", (F.col("held") - F.col("at")).cast("long").alias("left"), (F.col("at") < F.col("short")).alias("short"))
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -203,11 +205,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
     rounds = -(-total // ROUND_PAIRS)
     for turn in range(rounds):
         owner = label.select(F.col("doc_id").alias("o"), "comp")
-        e = entries.join(owner, entries["id"] == owner["o"], "left").select("v", "id", "n", "short", F.coalesce("comp", "id").alias("comp"))
-        x = e.filter(F.col("short") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)).select("v", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-        y = e.select("v", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
+        e = entries.join(owner, entries["id"] == owner["o"], "left").select("v", "id", "n", "left", "short", F.coalesce("comp", "id").alias("comp"))
+        x = e.filter(F.col("short") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)).select("v", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("left").alias("xl"), F.col("comp").alias("xc"))
+        y = e.select("v", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("left").alias("yl"), F.col("comp").alias("yc"))
+        enough = F.least("xl", "yl") * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))
         larger = (F.col("yn") > F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("y") > F.col("x")))
-        pairs = x.join(y, "v").filter((F.col("xc") != F.col("yc")) & larger & alike("xn", "yn"))
+        pairs = x.join(y, "v").filter((F.col("xc") != F.col("yc")) & larger & alike("xn", "yn") & enough)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         links = cut(linked(pairs, sets, percent), "links")
         if links.limit(1).count():
@@ -216,3 +219,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
     out = classes.join(label.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without the documents that are near duplicates of a smaller doc_id."""
+    gone = near_duplicates(docs, text, width).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
