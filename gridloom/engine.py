@@ -67,6 +67,17 @@ class _Run:
         right = F.broadcast(right) if rows <= SMALL else right
         self.frames[size] = self.frame(size).join(right, on, "left")
 
+    def bring(self, terms, size: tuple[int, int]) -> None:
+        """Join the terms of smaller frames onto the frame of ``size``, one join for each of those frames."""
+        have = set(self.frame(size).columns)
+        by: dict[tuple[int, int], list[str]] = {}
+        for t in terms:
+            if t is not None and t.layout is not None and (own := (t.layout.assets, t.layout.steps)) != size and t.id not in have:
+                by.setdefault(own, []).append(t.id)
+        for own, names in by.items():
+            keys = [DATE] + [k for k, a, b in ((ASSET, own[0], size[0]), (STEP, own[1], size[1])) if a == b]
+            self._join(size, self.frames[own].select(*keys, *dict.fromkeys(names)), keys, len(self.plan.dates) * own[0] * own[1])
+
     def column(self, term: Term | None, size: tuple[int, int]) -> Column | None:
         """The term as a column of the frame of ``size``, brought there if its own frame is smaller."""
         if term is None:
@@ -74,10 +85,7 @@ class _Run:
         if term.layout is None:
             v = dict(term.params)["value"]
             return F.lit(v) if isinstance(v, bool) else F.lit(float(v))
-        own = (term.layout.assets, term.layout.steps)
-        if own != size and term.id not in self.frame(size).columns:
-            keys = [DATE] + [k for k, a, b in ((ASSET, own[0], size[0]), (STEP, own[1], size[1])) if a == b]
-            self._join(size, self.frames[own].select(*keys, term.id), keys, len(self.plan.dates) * own[0] * own[1])
+        self.bring([term], size)
         return F.col(term.id)
 
     def put(self, size: tuple[int, int], name: str, c: Column) -> Column:
@@ -123,6 +131,7 @@ class _Run:
                 if self._wide(t.args) == source and (t.layout.assets, t.layout.steps) == target:
                     group.append(t)
                     self.done.add(t.id)
+        self.bring([a for t in group for a in t.args], source)
         built = []
         for t in group:
             o = self.engine.compiler.operators[t.op]
@@ -190,8 +199,7 @@ class _Run:
         for t in plan.order:
             self.evaluate(t)
         size = (len(plan.codes[plan.domain.asset]), len(plan.steps))
-        for name, t in plan.outputs.items():
-            self.column(t, size)
+        self.bring(plan.outputs.values(), size)
         label = lambda values, kind: F.expr(f"array({', '.join(_literal(v) for v in values)})").cast(f"array<{kind}>")
         codes = plan.codes[plan.domain.asset]
         kind = "string" if any(isinstance(c, str) for c in codes) else "bigint"
