@@ -8,7 +8,7 @@ sends the touched cells by ranges; the ranges are merged by the executors into o
 more"), ``DEPTH * 2**BITS / 8`` bytes in all whatever the input, and that is what is broadcast. A corpus that
 fills the sketch lets more windows pass, it never loses one.
 
-Second pass: only windows whose minimiser the sketch calls repeated leave the texts, as 128-bit hashes of
+Second pass: only windows whose minimiser the sketch calls repeated leave the texts, as 96-bit hashes of
 their word sequence with document and place. A partial aggregation finds the smallest document of each; the
 join with it is a plain shuffle join whose skewed keys Spark can split.
 
@@ -156,7 +156,7 @@ def _candidates(sent, bits: int, window: int, shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rolling(h, window)[where].view(np.int64)),
-                        pa.array(rolling(mix(h ^ _SECOND), window, _SECOND_BASE)[where].view(np.int64)),
+                        pa.array((rolling(mix(h ^ _SECOND), window, _SECOND_BASE)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         pa.array(ids[at + doc[take]].astype(np.int64)),
                         pa.array((where - first[doc[take]]).astype(np.int32)),
                     ],
@@ -170,8 +170,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", bits: int = BITS, wind
     """(doc_id, places): where windows start that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch(docs, text, bits, window, shingle))
-    found = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 long, doc_id long, place int")
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("h1", "h2", "least")
+    found = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 int, doc_id long, place int")
+    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     later = found.join(least, ["h1", "h2"]).filter("doc_id > least")
     return later.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
