@@ -80,7 +80,7 @@ class TableProvider:
         rows = rows.crossJoin(F.broadcast(self.spark.range(len(dates)).select(F.col("id").cast("int").alias(DATE)))) if p.static else rows.join(self._axis(dates, "date", DATE), "date")
         step = F.col("step").cast("int") if p.steps > 1 else F.lit(0)
         names = {k: self._find(k)[1] for k in keys}
-        out = rows.select(DATE, ASSET, step.alias(STEP), *[F.col(n).alias(k) for k, n in names.items()])
+        out = rows.select(DATE, ASSET, step.alias(STEP), *[F.col(f"`{n}`").alias(k) for k, n in names.items()])
         if p.checked:
             check_rows(out, steps, {k: p.kinds.get(n, NUMERIC) for k, n in names.items()})
         given = {k: p.defaults[n] for k, n in names.items() if n in p.defaults}
