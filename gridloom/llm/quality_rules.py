@@ -72,11 +72,10 @@ def base_columns(docs: DataFrame, text: str = "text", carry: tuple[Column, ...]
         "doc_id",
         *carry,
         words_of(t).alias("words"),
-        F.length(F.translate(t, WORD_BREAKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         n_dup_lines(t).alias("n_dup_lines"),
     )
-    return d.select("*", F.size("words").cast("long").alias("n_words"), n_repeat_words(F.col("words")).alias("n_repeat_words"))
+    return d.select("*", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), n_repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
 def _bucket(*parts: Column) -> Column:
@@ -87,9 +86,13 @@ def _tails(words: Column) -> Column:
     return F.transform(words, lambda w: F.substring(w, -TAIL, TAIL))
 
 
+def _over_pairs(s: Column, f) -> Column:
+    return F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: f(x, F.get(s, i + 1)))
+
+
 def buckets(words: Column) -> Column:
-    """Bucket of every unigram and bigram, in order."""
-    return let(_tails(words), lambda s: F.flatten(F.transform(s, lambda x, i: F.when(i + 1 < F.size(s), F.array(_bucket(x), _bucket(x, F.get(s, i + 1)))).otherwise(F.array(_bucket(x))))))
+    """Buckets of all unigrams, then of all bigrams."""
+    return let(_tails(words), lambda s: F.concat(F.transform(s, lambda x: _bucket(x)), _over_pairs(s, lambda x, y: _bucket(x, y))))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -117,8 +120,9 @@ def score(words: Column, weight: list[int]) -> Column:
     table = F.expr("cast(split('" + ",".join(map(str, weight)) + "', ',') as array<bigint>)")
 
     def of(s: Column) -> Column:
-        pair = lambda x, i: F.when(i + 1 < F.size(s), F.get(table, _bucket(x, F.get(s, i + 1)))).otherwise(F.lit(0).cast("long"))
-        total = F.aggregate(F.transform(s, lambda x, i: F.get(table, _bucket(x)) + pair(x, i)), F.lit(0).cast("long"), lambda a, x: a + x)
+        zero, plus = F.lit(0).cast("long"), lambda a, x: a + x
+        single = F.aggregate(s, zero, lambda a, x: a + F.get(table, _bucket(x)))
+        total = single + F.aggregate(_over_pairs(s, lambda x, y: F.get(table, _bucket(x, y))), zero, plus)
         return F.try_divide(total.cast("double"), 2 * F.size(s) - 1)
 
     return let(_tails(words), of)
