@@ -50,14 +50,17 @@ def coder(path: str) -> WordCoder:
     if path not in _coders:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        tokenize = tokenizer.model.tokenize
         letters = _byte_letters()
+        packed_id = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
         def encode(pieces: list[str]) -> list[bytes]:
             out = []
             for p in pieces:
-                mapped = p.encode().decode("latin-1").translate(letters)
-                out.append(np.array([t.id for t in model.tokenize(mapped)], dtype="<u4").tobytes())
+                plain = p.isascii() and p.isprintable()  # then only the blank has another letter
+                mapped = p.replace(" ", letters[32]) if plain else p.encode().decode("latin-1").translate(letters)
+                out.append(b"".join([packed_id[t.id] for t in tokenize(mapped)]))
             return out
 
         _coders[path] = WordCoder(encode)
