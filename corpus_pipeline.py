@@ -2,7 +2,7 @@
 
 Quality rules reject documents, near-dedup keeps the first document of each group (five-word shingles, similarity 0.8),
 substring dedup cuts passages of 50 words and more that an earlier document has, personal data gives way to
-its kind in brackets, and packing turns the rest into token pieces placed in sequences. All stages but the last return
+its kind in brackets, and packing turns the rest into token pieces, with their ids, placed in sequences. All stages but the last return
 the columns of ``documents``; texts that change get their new length. ORACLE_SQL is None: the verdict of the
 rules, the field of the personal data and the packing have no SQL form; tests/llm checks each stage by brute force.
 """
@@ -38,7 +38,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

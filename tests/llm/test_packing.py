@@ -72,6 +72,26 @@ def test_repeated_rows(spark):
     assert sorted((r.sequence_id, r.offset) for r in rows) == [(0, 0), (0, 3), (0, 6)] or len({(r.sequence_id, r.offset) for r in rows}) == 3
 
 
+def test_sequences_hold_the_ids(spark, monkeypatch):
+    import corpus_pipeline
+    from gridloom.llm import queries
+
+    docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    t = library()
+    ids = {k: t.encode(x or "", add_special_tokens=False).ids + [2] for k, x in enumerate(HARD)}
+    rows = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    for r in rows:
+        assert memoryview(bytes(r.ids)).cast("I").tolist() == ids[r.doc_id][r.start : r.start + r.length]
+    check(rows, ids, 1024)
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs)
+    own = queries.op2_best_fit_packing(spark, "")
+    assert "ids" not in own.columns and check(own.collect(), ids, 1024)
+    # the digest is of the ids that were packed, not of what the tokenizing worker says about them
+    monkeypatch.setattr(K, "pack", lambda pieces, *_: pieces.withColumn("ids_crc32", K.F.lit(0).cast("long")))
+    own = queries.op2_best_fit_packing(spark, "").collect()
+    assert {(r.doc_id, r.start): r.ids_crc32 for r in own} == {(r.doc_id, r.start): zlib.crc32(r.ids) for r in rows}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_plans_hold_every_length(seed):
     r = random.Random(seed)
