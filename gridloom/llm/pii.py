@@ -3,8 +3,8 @@
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The field then labels
 the tokens that hold a digit or ``@`` (all others are fixed to "other"): unary potentials from shapes and
 neighbours, chain potentials between tokens next to each other, and skip potentials between tokens of a
-document that are equal or share their last seven digits, however far apart. Loopy belief propagation passes messages
-over this graph until they settle, so a number that is plain in one place carries its label to its repeats.
+document that are equal or share their last seven digits, however far apart: each occurrence is linked to the first one.
+Loopy belief propagation passes messages over this graph until they settle, so a number that is plain in one place carries its label to its repeats.
 A run of tokens of one kind whose belief reaches ``BELIEF`` becomes a further span if it can be of that kind at all
 (digits, dots, ``@``) and touches no base span; base spans always stay.
 
@@ -37,7 +37,9 @@ LINK = 6.0
 EVIDENCE = 20.0
 FEATURES = 1 << 12
 STEPS = 80
-SWEEPS = 10
+#: Messages have settled when none changes by more. Loops that never settle end after ``SWEEPS``, far beyond what others need.
+SETTLED = 1e-3
+SWEEPS = 1000
 
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -118,17 +120,16 @@ def features(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip) edges. Equal or similar tokens are linked one after another, so their number stays linear."""
+    """(chain, skip) edges. Equal or similar tokens are linked to the first of them: a linear number, and two steps between any."""
     chain = [(k, k + 1) for k in range(len(spans) - 1) if spans[k + 1][0] - spans[k][1] <= 1]
-    skip, last, near = [], {}, set(chain)
+    skip, first = [], {}
     for k, (a, b) in enumerate(spans):
         word = text[a:b].strip(_TRIM).lower()
         digits = "".join(c for c in word if "0" <= c <= "9")
-        for key in {word, digits[-7:] if len(digits) >= 7 else word}:
-            if len(key) >= 5 and key in last and (last[key], k) not in near:
-                skip.append((last[key], k))
-            last[key] = k
-    return chain, sorted(set(skip))
+        key = digits[-7:] if len(digits) >= 7 else word  # equal words have equal digits
+        if len(key) >= 5 and first.setdefault(key, k) != k:
+            skip.append((first[key], k))
+    return chain, sorted(skip)
 
 
 def token_labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
@@ -190,8 +191,12 @@ class Field:
             phi = np.exp(phi - phi.max(axis=1, keepdims=True))
             return phi / phi.sum(axis=1, keepdims=True)
         m = len(LABELS)
-        pairs = np.array([*chain, *skip])
-        psi = np.exp(np.concatenate([np.broadcast_to(self.chain, (len(chain), m, m)), np.broadcast_to(self.skip * np.eye(m), (len(skip), m, m))]))
+        # a pair with both potentials is one edge with their sum
+        linked, beside = set(skip), set(chain)
+        agree = self.skip * np.eye(m)
+        far = [e for e in skip if e not in beside]
+        pairs = np.array([*chain, *far])
+        psi = np.exp(np.stack([self.chain + agree if e in linked else self.chain for e in chain] + [agree] * len(far)))
         src = np.concatenate([pairs[:, 0], pairs[:, 1]])
         dst = np.concatenate([pairs[:, 1], pairs[:, 0]])
         psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
@@ -207,7 +212,7 @@ class Field:
             new = 0.5 * message + 0.5 * new
             still = np.abs(new - message).max()
             message = new
-            if still < 1e-3:
+            if still < SETTLED:
                 break
         np.add.at(phi, dst, message)
         phi = np.exp(phi - phi.max(axis=1, keepdims=True))

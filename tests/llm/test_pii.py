@@ -77,3 +77,35 @@ def test_messages_carry_a_label_over_a_skip_edge():
     phi, psi = np.exp(np.array([[0, 0, 0, 0, 6.0], [0] * 5])), np.exp(3.0 * np.eye(5))
     joint = phi[0][:, None] * phi[1][None, :] * psi
     assert np.allclose(linked[1], joint.sum(0) / joint.sum(), atol=1e-2)
+
+
+def test_a_label_reaches_every_repeat():
+    import numpy as np
+
+    n = 41
+    f = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), pii.LINK)
+    text = "+14155551234 " + "or 4155551234 " * (n - 1)
+    base = pii.base_spans(text)
+    assert len(base) == 1 and len(pii.further_spans(text, base, f)) == n - 1
+    # a prior against the label: the beliefs are those of the sum over all labellings
+    f.unary[9, 0] = 0.4
+    spans = pii.tokens(text)
+    chain, skip = pii.edges(text, spans)
+    assert chain == [] and len(skip) == n - 1
+    got = f.beliefs([[9]] * n, chain, skip, pii.token_labels(spans, base))
+    phi, psi = np.exp([0.4, 0, 0, 0, 0]), np.exp(pii.LINK * np.eye(5))
+    hub = phi * np.exp([0, 0, 0, 0, pii.EVIDENCE]) * (psi @ phi) ** (n - 1)
+    leaf = psi.T @ (hub / (psi @ phi)) * phi
+    assert np.allclose(got[0], hub / hub.sum(), atol=0.01) and np.allclose(got[1:], leaf / leaf.sum(), atol=0.01)
+    assert (got[:, 4] > pii.BELIEF).all()
+
+
+def test_repeats_side_by_side_are_linked_too():
+    import numpy as np
+
+    f = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), pii.LINK)
+    text = "+14155551234 " + "4155551234 " * 40
+    spans, base = pii.tokens(text), [(0, 3, 12)]
+    chain, skip = pii.edges(text, spans)
+    assert len(chain) == len(skip) == 40
+    assert (f.beliefs(pii.features(text, spans), chain, skip, pii.token_labels(spans, base))[:, 4] > pii.BELIEF).all()
