@@ -30,8 +30,9 @@ from gridloom.llm.shared import cut
 
 LONG = 200
 LANES = 8
-LEVELS = 8
-CELLS = 16
+#: As many levels as the count has bits, so that no text outgrows them.
+LEVELS = 32
+CELLS = 128
 _EMPTY = (0, np.zeros(LANES, dtype=np.uint64), np.zeros(LEVELS * CELLS, dtype=np.uint16))
 
 
@@ -81,11 +82,16 @@ class Fingerprint:
         return self.pack() == other.pack()
 
     def pack(self) -> bytes:
-        return self.count.to_bytes(4, "little") + self.lanes.astype("<u8").tobytes() + self.cells.astype("<u2").tobytes()
+        """Count, lanes, then the cells in use: their places and their values."""
+        used = np.flatnonzero(self.cells)
+        return self.count.to_bytes(4, "little") + self.lanes.astype("<u8").tobytes() + used.astype("<u2").tobytes() + self.cells[used].astype("<u2").tobytes()
 
     @classmethod
     def unpack(cls, data: bytes) -> Fingerprint:
-        return cls(int.from_bytes(data[:4], "little"), np.frombuffer(data, "<u8", LANES, 4), np.frombuffer(data, "<u2", LEVELS * CELLS, 4 + 8 * LANES))
+        used, values = np.frombuffer(data, "<u2", -1, 4 + 8 * LANES).reshape(2, -1) if len(data) > 4 + 8 * LANES else ([], [])
+        cells = np.zeros(LEVELS * CELLS, dtype=np.uint16)
+        cells[np.asarray(used, dtype=np.int64)] = values
+        return cls(int.from_bytes(data[:4], "little"), np.frombuffer(data, "<u8", LANES, 4), cells)
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal multisets, else the share of equal cells among those in use in either (0 to 1)."""

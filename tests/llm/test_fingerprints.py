@@ -32,6 +32,19 @@ def test_likeness_follows_what_is_shared():
         assert 0.35 < means[0] < 0.85 and means[1] < 0.02
 
 
+def test_likeness_of_long_texts():
+    for n, seeds in ((300, 40), (3_000, 20), (20_000, 20), (300_000, 4)):
+        x = []
+        for seed in range(seeds):
+            a = [f"{seed} a {k}" for k in range(n)]
+            f, g = Fingerprint.of(a), Fingerprint.of(a[: n * 3 // 4] + [f"{seed} b {k}" for k in range(n // 4)])
+            assert Fingerprint.unpack(f.pack()) == f
+            x.append(f.likeness(g))
+        # three quarters of either are in both: 0.6 of all
+        assert abs(sum(x) / len(x) - 0.6) < 0.1 and min(x) > 0.3, (n, x)
+    assert Fingerprint.unpack(Fingerprint().pack()) == Fingerprint()
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     out = []
