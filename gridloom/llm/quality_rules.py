@@ -3,7 +3,7 @@
 Base rules need a text's own words; the verdict on the rest is a hashed n-gram log-likelihood ratio. Every
 word is shortened to its last ``TAIL`` characters, so that counts are dense; its unigrams and bigrams fall
 into ``BUCKETS`` hash buckets. One pass counts the buckets of all documents (the raw corpus) and of the
-trusted ones (labels of quality 1, a bounded sample of ``TRUSTED`` documents by hash of the id); the
+trusted ones (all with label of quality 1); the
 smoothed log ratio of the two multinomials is the weight of a bucket. A document's score is the mean weight
 of its n-grams, in nats; it is kept from ``THRESHOLD`` on. Weights are whole micronats, so scores do not depend on the
 order of summation.
@@ -23,8 +23,6 @@ from gridloom.llm.shared import WORD_BREAKS
 
 BUCKETS = 1 << 14
 TAIL = 3
-#: Trusted documents that the target multinomial is fitted on, at most.
-TRUSTED = 20_000
 #: Pseudo-count of each bucket.
 PRIOR = 0.5
 THRESHOLD = -0.25
@@ -95,14 +93,14 @@ def buckets(words: Column) -> Column:
     return let(_tails(words), lambda s: F.concat(F.transform(s, lambda x: _bucket(x)), _over_pairs(s, lambda x, y: _bucket(x, y))))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def trusted_ids(labels: DataFrame) -> DataFrame:
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id")
 
 
 def weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[int]:
     """log(target / raw) of each bucket in micronats, from all documents; BUCKETS numbers."""
-    known = F.broadcast(trusted_ids(labels).select(F.col("doc_id").alias("trusted_id")))  # TRUSTED ids at most
+    known = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))  # broadcast only where Spark finds them few
     d = docs.select("doc_id", words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     d = d.join(known, F.col("doc_id") == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().cast("long").alias("t"), buckets(F.col("words")).alias("b"))
     counted = d.select("t", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()

@@ -69,3 +69,13 @@ def test_empty_tables(spark):
     assert Q.judge(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "a b " * 60), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.base_failed) for r in Q.judge(one, labels).collect()) == [(False, True), (True, True)]
+
+
+def test_all_trusted_documents_count(spark):
+    n = 25_000
+    docs = spark.range(n + 1).selectExpr("id AS doc_id", f"CASE WHEN id < {n} THEN 'abc' ELSE 'xyz' END AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    got = Q.weights(docs, labels)
+    b, other = (docs.select(Q._bucket(F.lit(w))).first()[0] for w in ("abc", "xyz"))
+    shift = math.log(n + 1 + 0.5 * Q.BUCKETS) - math.log(n + 0.5 * Q.BUCKETS)
+    assert got[b] == round(1e6 * shift) and got[other] == round(1e6 * (math.log(0.5) - math.log(1.5) + shift))
