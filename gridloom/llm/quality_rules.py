@@ -1,12 +1,14 @@
 """Quality rules (operator 3), with DataFrame functions only.
 
-Base rules need a text's own words; the verdict on the rest is a hashed n-gram log-likelihood ratio. Every
-word is shortened to its last ``TAIL`` characters, so that counts are dense; its unigrams and bigrams fall
-into ``BUCKETS`` hash buckets. One pass counts the buckets of all documents (the raw corpus) and of the
-trusted ones (all with label of quality 1); the
-smoothed log ratio of the two multinomials is the weight of a bucket. A document's score is the mean weight
-of its n-grams, in nats; it is kept from ``THRESHOLD`` on. Weights are whole micronats, so scores do not depend on the
-order of summation.
+Base rules need a text's own words; the verdict on the rest is a hashed n-gram log-likelihood ratio. The
+unigrams and bigrams of whole words fall into hash buckets, whose number grows with the corpus as a vocabulary does: with
+the square root of its characters. One pass counts the buckets of all documents (the raw corpus) and of the
+trusted ones (all with label of quality 1). Either multinomial is smoothed by ``PRIOR`` pseudo-counts a bucket in the proportion of
+the raw corpus, so a bucket seen once or twice says little; the log ratio of the two is the weight of a bucket. A
+document's score is the mean weight of its n-grams, in nats; it is kept from ``THRESHOLD`` on. Weights are whole numbers
+of 1 / ``UNIT`` nats, so scores do not depend on the order of summation.
+
+Scoring looks weights up in one array (at most 2 ** ``MOST_BITS`` integers, whatever the corpus), so it needs no shuffle.
 
 Defined results: a null or blank text has no words, fails the base rules and scores 0; repeated rows get the
 same verdict each; with no trusted document at all every weight is 0. Only doc_id and text are read.
@@ -19,13 +21,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import WORD_BREAKS
-
-BUCKETS = 1 << 14
-TAIL = 3
-#: Pseudo-count of each bucket.
-PRIOR = 0.5
-THRESHOLD = -0.25
+from gridloom.llm.shared import WORD_BREAKS, cut, drop_cut
+
+#: Buckets for each square root of a character of the corpus, rounded up to a power of two; the least and the most bits.
+DENSITY = 16
+LEAST_BITS, MOST_BITS = 14, 22
+#: Pseudo-counts of each bucket, shared out as in the raw corpus.
+PRIOR = 10.0
+THRESHOLD = -0.2
+UNIT = 10_000
+#: Weights that are put into one string at a time on their way to the driver.
+SLICE = 4096
 #: Symbols that the base rules count (fixed value).
 SYMBOLS = "#*$%&|<>"
 
@@ -36,7 +42,7 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def n_repeat_words(words: Column) -> Column:
@@ -76,21 +82,19 @@ def base_columns(docs: DataFrame, text: str = "text", carry: tuple[Column, ...]
     return d.select("*", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), n_repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
-def _bucket(*parts: Column) -> Column:
-    return F.pmod(F.hash(*parts), F.lit(BUCKETS))
-
+def n_buckets(docs: DataFrame, text: str = "text") -> int:
+    """Buckets for a corpus of so many characters."""
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(DENSITY * math.sqrt(chars) + 1))))
 
-def _tails(words: Column) -> Column:
-    return F.transform(words, lambda w: F.substring(w, -TAIL, TAIL))
 
+def _bucket(buckets: int, *parts: Column) -> Column:
+    return F.xxhash64(*parts).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
-def _over_pairs(s: Column, f) -> Column:
-    return F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: f(x, F.get(s, i + 1)))
 
-
-def buckets(words: Column) -> Column:
-    """Buckets of all unigrams, then of all bigrams."""
-    return let(_tails(words), lambda s: F.concat(F.transform(s, lambda x: _bucket(x)), _over_pairs(s, lambda x, y: _bucket(x, y))))
+def _pairs(words: Column) -> Column:
+    """(x, y) of every word x and the word y after it, null at the end."""
+    return F.arrays_zip(words.alias("x"), F.slice(words, 2, F.size(words)).alias("y"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -98,39 +102,53 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id")
 
 
-def weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[int]:
-    """log(target / raw) of each bucket in micronats, from all documents; BUCKETS numbers."""
+def counts(docs: DataFrame, labels: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """(b, raw, target): the n-grams of all and of trusted documents in each bucket that has any."""
     known = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))  # broadcast only where Spark finds them few
-    d = docs.select("doc_id", words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    d = d.join(known, F.col("doc_id") == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().cast("long").alias("t"), buckets(F.col("words")).alias("b"))
-    counted = d.select("t", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for r in counted:
-        raw[r.b], target[r.b] = r.raw, r.target
-    if not sum(target):
-        return [0] * BUCKETS
-    shift = math.log(sum(raw) + PRIOR * BUCKETS) - math.log(sum(target) + PRIOR * BUCKETS)
-    return [round(1e6 * (math.log(t + PRIOR) - math.log(r + PRIOR) + shift)) for t, r in zip(target, raw)]
-
+    d = docs.select("doc_id", F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("trusted_id"), "left")
+    d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    d = d.select("t", F.explode(_pairs(F.col("words"))).alias("g")).select("t", "g.x", "g.y")
+    one, two = _bucket(buckets, F.col("x")), F.when(F.col("y").isNotNull(), _bucket(buckets, F.col("x"), F.col("y")))
+    d = d.select("t", F.explode(F.array(one, two)).alias("b")).filter("b IS NOT NULL")
+    return d.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+
+
+def weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[int, str]:
+    """Number of buckets, and log(target / raw) of each in 1 / UNIT nats, joined by commas."""
+    buckets = n_buckets(docs, text)
+    found = cut(counts(docs, labels, buckets, text), "counts")
+    raw, target = found.agg(F.sum("raw"), F.sum("target")).first()
+    if target:
+        share = target / raw
+        ratio = F.ln((F.col("target") + PRIOR * share) / ((F.col("raw") + PRIOR) * share))
+    else:
+        ratio = F.lit(0.0)
+    every = docs.sparkSession.range(buckets).join(found.select(F.col("b").cast("long").alias("id"), F.round(UNIT * ratio).cast("int").alias("w")), "id", "left")
+    slices = every.groupBy(F.expr(f"id div {SLICE}").alias("k")).agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).alias("w")))).alias("w"))
+    rows = slices.select("k", F.array_join(F.transform("w", lambda x: x["w"].cast("string")), ",").alias("w")).collect()  # 2 ** MOST_BITS / SLICE at most
+    drop_cut(found)
+    return buckets, ",".join(r.w for r in sorted(rows))
+
+
+def score(words: Column, weight: tuple[int, str]) -> Column:
+    """Mean weight of the n-grams of a document, in 1 / UNIT nats (null without words)."""
+    buckets, table = weight[0], F.split(F.lit(weight[1]), ",").cast("array<int>")  # folded to one literal
 
-def score(words: Column, weight: list[int]) -> Column:
-    """Mean weight of the n-grams of a document, in micronats (null without words)."""
-    table = F.expr("cast(split('" + ",".join(map(str, weight)) + "', ',') as array<bigint>)")
+    def of(w: Column) -> Column:
+        def add(total: Column, g: Column) -> Column:
+            pair = F.get(table, _bucket(buckets, g["x"], g["y"]))
+            return total + F.get(table, _bucket(buckets, g["x"])) + F.when(g["y"].isNull(), F.lit(0)).otherwise(pair)
 
-    def of(s: Column) -> Column:
-        zero, plus = F.lit(0).cast("long"), lambda a, x: a + x
-        single = F.aggregate(s, zero, lambda a, x: a + F.get(table, _bucket(x)))
-        total = single + F.aggregate(_over_pairs(s, lambda x, y: F.get(table, _bucket(x, y))), zero, plus)
-        return F.try_divide(total.cast("double"), 2 * F.size(s) - 1)
+        return F.try_divide(F.aggregate(_pairs(w), F.lit(0).cast("long"), add).cast("double"), 2 * F.size(w) - 1)
 
-    return let(_tails(words), of)
+    return let(words, of)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, base counts, base_failed, score and kept of every document, and the columns ``carry``."""
     weight = weights(docs, labels, text)
     d = base_columns(docs, text, carry)
-    d = d.select("*", F.round(F.coalesce(score(F.col("words"), weight), F.lit(0.0)) / 1e6, 9).alias("score"))
+    d = d.select("*", F.round(F.coalesce(score(F.col("words"), weight), F.lit(0.0)) / UNIT, 9).alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     d = d.drop("words").withColumn("base_failed", failed)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"]

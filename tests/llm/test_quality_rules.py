@@ -36,20 +36,22 @@ def test_all_of_a_small_table_against_brute_force(spark):
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
     grams = {}
     for r in rows:
-        s = [w[-3:] for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")]
+        s = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         grams[r.doc_id] = [(x,) for x in s] + list(zip(s, s[1:]))
     kinds = sorted({g for gs in grams.values() for g in gs})
     pairs = spark.createDataFrame([(i, g[0], g[1] if len(g) > 1 else None) for i, g in enumerate(kinds)], "i long, a string, b string")
-    hashed = pairs.select("i", F.when(F.col("b").isNull(), Q._bucket(F.col("a"))).otherwise(Q._bucket(F.col("a"), F.col("b"))).alias("h")).collect()
+    n = Q.n_buckets(docs)
+    assert n == 1 << max(14, math.ceil(math.log2(16 * math.sqrt(sum(len(r.text or "") for r in rows)) + 1)))
+    hashed = pairs.select("i", F.when(F.col("b").isNull(), Q._bucket(n, F.col("a"))).otherwise(Q._bucket(n, F.col("a"), F.col("b"))).alias("h")).collect()
     bucket = {kinds[r.i]: r.h for r in hashed}
     raw = collections.Counter(bucket[g] for gs in grams.values() for g in gs)
     target = collections.Counter(bucket[g] for d, gs in grams.items() if d in good for g in gs)
-    shift = math.log(sum(raw.values()) + 0.5 * Q.BUCKETS) - math.log(sum(target.values()) + 0.5 * Q.BUCKETS)
-    weight = {b: math.log(target[b] + 0.5) - math.log(raw[b] + 0.5) + shift for b in raw}
+    share = sum(target.values()) / sum(raw.values())
+    weight = {b: round(Q.UNIT * math.log((target[b] + Q.PRIOR * share) / (raw[b] + Q.PRIOR) / share)) for b in raw}
     for r in rows:
         g, x = got[r.doc_id], brute_base(r.text)
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == x
-        s = sum(weight[bucket[k]] for k in grams[r.doc_id]) / max(1, len(grams[r.doc_id]))
+        s = sum(weight[bucket[k]] for k in grams[r.doc_id]) / max(1, len(grams[r.doc_id])) / Q.UNIT
         assert g.score == pytest.approx(s, abs=2e-6)
         assert g.base_failed == (x[0] < 50 or 100 * x[4] > 50 * x[0])
         assert g.kept == (not g.base_failed and g.score >= Q.THRESHOLD)
@@ -75,7 +77,25 @@ def test_all_trusted_documents_count(spark):
     n = 25_000
     docs = spark.range(n + 1).selectExpr("id AS doc_id", f"CASE WHEN id < {n} THEN 'abc' ELSE 'xyz' END AS text")
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
-    got = Q.weights(docs, labels)
-    b, other = (docs.select(Q._bucket(F.lit(w))).first()[0] for w in ("abc", "xyz"))
-    shift = math.log(n + 1 + 0.5 * Q.BUCKETS) - math.log(n + 0.5 * Q.BUCKETS)
-    assert got[b] == round(1e6 * shift) and got[other] == round(1e6 * (math.log(0.5) - math.log(1.5) + shift))
+    buckets, table = Q.weights(docs, labels)
+    got = list(map(int, table.split(",")))
+    b, other = (docs.select(Q._bucket(buckets, F.lit(w))).first()[0] for w in ("abc", "xyz"))
+    share, w = n / (n + 1), lambda t, r: round(Q.UNIT * math.log((t + Q.PRIOR * n / (n + 1)) / (r + Q.PRIOR) * (n + 1) / n))
+    assert len(got) == buckets and got[b] == w(n, n) and got[other] == w(0, 1) < 0 < share
+    assert sum(x != 0 for x in got) <= 2
+
+
+def test_the_bucket_space_grows_with_the_corpus(spark):
+    sizes = [Q.n_buckets(spark.range(n).selectExpr("repeat('x', 1000) AS text")) for n in (1, 1000, 100_000)]
+    assert sizes == [1 << 14, 1 << 14, 1 << 18] and Q.n_buckets(spark.range(0).selectExpr("'x' AS text")) == 1 << 14
+
+
+def test_words_count_whole(spark):
+    """Junk before a word's ending is junk: only whole words that the trusted documents use score well."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = docs.join(labels.filter("quality = 1"), "doc_id").filter("length(text) > 1000").select("doc_id", "text").limit(20)
+    bent = good.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.regexp_replace("text", r"([^\s]{1,3})(?=\s|$)", "###$1").alias("text"))
+    both = Q.judge(docs.select("doc_id", "text").unionByName(bent), labels).collect()
+    score = {r.doc_id: r.score for r in both}
+    pairs = [(score[r.doc_id], score[r.doc_id - 1_000_000]) for r in both if r.doc_id >= 1_000_000]
+    assert pairs and all(b < g - 0.05 for b, g in pairs), pairs
