@@ -6,9 +6,12 @@ the square root of its characters. One pass counts the buckets of all documents
 trusted ones (all with label of quality 1). Either multinomial is smoothed by ``PRIOR`` pseudo-counts a bucket in the proportion of
 the raw corpus, so a bucket seen once or twice says little; the log ratio of the two is the weight of a bucket. A
 document's score is the mean weight of its n-grams, in nats; it is kept from ``THRESHOLD`` on. Weights are whole numbers
-of 1 / ``UNIT`` nats, so scores do not depend on the order of summation.
+of 1 / ``UNIT`` nats from -128 to 127, so scores do not depend on the order of summation, and the JVM keeps one
+object for each such number, which leaves the table small enough for the processor's caches.
 
 Scoring looks weights up in one array (at most 2 ** ``MOST_BITS`` integers, whatever the corpus), so it needs no shuffle.
+Counting runs in at most ``TASKS`` tasks a core: each sends a sum for every bucket, so that what is shuffled
+follows the buckets, not the texts.
 
 Defined results: a null or blank text has no words, fails the base rules and scores 0; repeated rows get the
 same verdict each; with no trusted document at all every weight is 0. Only doc_id and text are read.
@@ -28,8 +31,11 @@ DENSITY = 16
 LEAST_BITS, MOST_BITS = 14, 22
 #: Pseudo-counts of each bucket, shared out as in the raw corpus.
 PRIOR = 10.0
-THRESHOLD = -0.2
-UNIT = 10_000
+THRESHOLD = -0.12
+UNIT = 16
+TASKS = 4
+#: Ids of trusted documents that are broadcast at most (some 60 MB); more go through a shuffle join.
+SMALL_IDS = 2_000_000
 #: Weights that are put into one string at a time on their way to the driver.
 SLICE = 4096
 #: Symbols that the base rules count (fixed value).
@@ -104,9 +110,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame, labels: DataFrame, buckets: int, text: str = "text") -> DataFrame:
     """(b, raw, target): the n-grams of all and of trusted documents in each bucket that has any."""
-    known = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))  # broadcast only where Spark finds them few
+    known = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))
+    if known.limit(SMALL_IDS + 1).count() <= SMALL_IDS:
+        known = F.broadcast(known)
     d = docs.select("doc_id", F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("trusted_id"), "left")
     d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    d = d.coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
     d = d.select("t", F.explode(_pairs(F.col("words"))).alias("g")).select("t", "g.x", "g.y")
     one, two = _bucket(buckets, F.col("x")), F.when(F.col("y").isNotNull(), _bucket(buckets, F.col("x"), F.col("y")))
     d = d.select("t", F.explode(F.array(one, two)).alias("b")).filter("b IS NOT NULL")
@@ -123,7 +132,7 @@ def weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[int
         ratio = F.ln((F.col("target") + PRIOR * share) / ((F.col("raw") + PRIOR) * share))
     else:
         ratio = F.lit(0.0)
-    every = docs.sparkSession.range(buckets).join(found.select(F.col("b").cast("long").alias("id"), F.round(UNIT * ratio).cast("int").alias("w")), "id", "left")
+    every = docs.sparkSession.range(buckets).join(found.select(F.col("b").cast("long").alias("id"), F.greatest(F.least(F.round(UNIT * ratio), F.lit(127)), F.lit(-128)).cast("int").alias("w")), "id", "left")
     slices = every.groupBy(F.expr(f"id div {SLICE}").alias("k")).agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).alias("w")))).alias("w"))
     rows = slices.select("k", F.array_join(F.transform("w", lambda x: x["w"].cast("string")), ",").alias("w")).collect()  # 2 ** MOST_BITS / SLICE at most
     drop_cut(found)
@@ -134,14 +143,14 @@ def score(words: Column, weight: tuple[int, str]) -> Column:
     """Mean weight of the n-grams of a document, in 1 / UNIT nats (null without words)."""
     buckets, table = weight[0], F.split(F.lit(weight[1]), ",").cast("array<int>")  # folded to one literal
 
-    def of(w: Column) -> Column:
+    def of(t: Column, w: Column) -> Column:
         def add(total: Column, g: Column) -> Column:
-            pair = F.get(table, _bucket(buckets, g["x"], g["y"]))
-            return total + F.get(table, _bucket(buckets, g["x"])) + F.when(g["y"].isNull(), F.lit(0)).otherwise(pair)
+            pair = F.get(t, _bucket(buckets, g["x"], g["y"]))
+            return total + F.get(t, _bucket(buckets, g["x"])) + F.when(g["y"].isNull(), F.lit(0)).otherwise(pair)
 
         return F.try_divide(F.aggregate(_pairs(w), F.lit(0).cast("long"), add).cast("double"), 2 * F.size(w) - 1)
 
-    return let(words, of)
+    return let(table, lambda t: let(words, lambda w: of(t, w)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:

@@ -47,12 +47,12 @@ def test_all_of_a_small_table_against_brute_force(spark):
     raw = collections.Counter(bucket[g] for gs in grams.values() for g in gs)
     target = collections.Counter(bucket[g] for d, gs in grams.items() if d in good for g in gs)
     share = sum(target.values()) / sum(raw.values())
-    weight = {b: round(Q.UNIT * math.log((target[b] + Q.PRIOR * share) / (raw[b] + Q.PRIOR) / share)) for b in raw}
+    weight = {b: max(-128, round(Q.UNIT * math.log((target[b] + Q.PRIOR * share) / (raw[b] + Q.PRIOR) / share))) for b in raw}
     for r in rows:
         g, x = got[r.doc_id], brute_base(r.text)
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == x
         s = sum(weight[bucket[k]] for k in grams[r.doc_id]) / max(1, len(grams[r.doc_id])) / Q.UNIT
-        assert g.score == pytest.approx(s, abs=2e-6)
+        assert g.score == pytest.approx(s, abs=1e-8)
         assert g.base_failed == (x[0] < 50 or 100 * x[4] > 50 * x[0])
         assert g.kept == (not g.base_failed and g.score >= Q.THRESHOLD)
 
@@ -73,16 +73,18 @@ def test_empty_tables(spark):
     assert sorted((r.doc_id is None, r.base_failed) for r in Q.judge(one, labels).collect()) == [(False, True), (True, True)]
 
 
-def test_all_trusted_documents_count(spark):
+def test_all_trusted_documents_count(spark, monkeypatch):
     n = 25_000
     docs = spark.range(n + 1).selectExpr("id AS doc_id", f"CASE WHEN id < {n} THEN 'abc' ELSE 'xyz' END AS text")
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
     buckets, table = Q.weights(docs, labels)
     got = list(map(int, table.split(",")))
     b, other = (docs.select(Q._bucket(buckets, F.lit(w))).first()[0] for w in ("abc", "xyz"))
-    share, w = n / (n + 1), lambda t, r: round(Q.UNIT * math.log((t + Q.PRIOR * n / (n + 1)) / (r + Q.PRIOR) * (n + 1) / n))
+    share, w = n / (n + 1), lambda t, r: max(-128, round(Q.UNIT * math.log((t + Q.PRIOR * n / (n + 1)) / (r + Q.PRIOR) * (n + 1) / n)))
     assert len(got) == buckets and got[b] == w(n, n) and got[other] == w(0, 1) < 0 < share
     assert sum(x != 0 for x in got) <= 2
+    monkeypatch.setattr(Q, "SMALL_IDS", 10)
+    assert Q.weights(docs, labels) == (buckets, table)
 
 
 def test_the_bucket_space_grows_with_the_corpus(spark):
