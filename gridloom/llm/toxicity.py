@@ -1,19 +1,22 @@
 """Toxic spans and document scores by a linear-chain conditional random field (operator 7).
 
-Tokens are white-space words, A-Z lower-cased, without trailing stops. Only documents are labelled, so token
-labels are made first: in a bounded sample of labelled documents (``SAMPLE`` of either label, by hash of the id), a
-feature (first 4, 5 or 6 bytes, whole word) marks its tokens in toxic documents if it occurs in them far more
-often than chance allows (``EVIDENCE`` nats of log-likelihood ratio, at most a tenth as many clean documents).
-The field has a weight for each feature and a 2 x 2 transition, fitted on these tokens by gradient steps on the exact
-likelihood. Forward and backward vectors come from products of 2 x 2 matrices, scanned by doubling over
-all tokens of a slice at once; a document's first token resets the chain.
+Tokens are white-space words, A-Z lower-cased, without trailing stops; a token's features are its prefixes of ``PREFIXES``
+bytes, the whole word, its first six bytes with its length, and the words before and after it. Only documents are
+labelled, so token labels are hidden, and the field is fitted by expectation-maximisation under the documents' constraints: a
+clean document's tokens are all clean, a toxic one has at least one toxic token. Each step sets
+the expected features and transitions under the constraint against those without it, both exact by forward and
+backward vectors. These come from products of 2 x 2 matrices, scanned by doubling over all tokens of a
+slice at once; a document's first token resets the chain. Features of fewer than ``LEAST_DOCS`` toxic documents stay at 0.
 
-A document's evidence is the noisy-or of its tokens' marginals; a logistic curve fitted on the sample turns it into
-the score. Runs of tokens with a marginal of one half or more are the offending spans (code points).
+A document's evidence is -log of the probability that no token is toxic, a product of the tokens' conditional
+marginals; a logistic curve fitted on the sample turns it into the score. Runs of tokens with a marginal of one half or more are
+the offending spans (code points).
 
-Rows whose crc32(doc_id as text) modulo 4 is 2 are never learned from. Language, source, id and labels are no inputs.
+The sample has ``SAMPLE`` documents of either label (by hash of the id) of at most ``SAMPLE_WORDS`` words: with
+``len(FEATURES)`` 4-byte features a word, that bounds what the driver gets. Rows whose crc32(doc_id as text) modulo 4 is 2 are never learned from. Language, source, id and labels are no inputs.
 Defined results: a null or empty text has no evidence and scores 0; labels without a document or value are not used, of
-several the largest counts; with no toxic or no clean training document all scores are 0; repeated rows score alike.
+several the largest counts; of several rows with one id one is learned from; with no toxic or no clean training document all scores are 0;
+repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -25,28 +28,30 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.shared import _BASE, _INV, _TABLE, mix, powers, text_slices
 
-SAMPLE = 4_000
+SAMPLE = 1_500
 #: Documents of more words than this are not sampled (they are scored like all others).
-SAMPLE_WORDS = 5_000
-#: Documents of either label that the field itself is fitted on.
-FIT = 500
-EVIDENCE = 12.0
-BITS = 18
-#: Feature lengths in bytes (None: the whole word).
-PREFIXES = (4, 5, 6, None)
-STEPS = 12
+SAMPLE_WORDS = 1_000
+BITS = 20
+#: Prefix lengths in bytes (None: the whole word).
+PREFIXES = (4, 5, 6, 8, None)
+FEATURES = (*PREFIXES, "length", "before", "after")
+#: Toxic documents that a feature occurs in at least, to have a weight.
+LEAST_DOCS = 3
+STEPS = 40
+RATE, DECAY = 0.3, 0.01
+BIAS = -7.0
 THRESHOLD = 0.3
 HELD_OUT = 2
-_KIND = [np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)]
+_KIND = mix(np.arange(1, len(FEATURES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOPS = np.zeros(256, dtype=bool)
-_STOPS[list(b".,!?;:\"')")] = True
+_STOPS[list(b".,!?;:\"')#*$%&|")] = True
 
 
 def token_features(data: np.ndarray, offsets: np.ndarray):
     """(feature numbers of each token, first token of each text and the end, byte spans of the tokens)."""
     n = len(data)
     if not n:
-        return np.empty((0, len(PREFIXES)), dtype=np.int32), np.zeros(len(offsets), dtype=np.int64), np.empty((2, 0), dtype=np.int64)
+        return np.empty((0, len(FEATURES)), dtype=np.int32), np.zeros(len(offsets), dtype=np.int64), np.empty((2, 0), dtype=np.int64)
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     gap = (low == 32) | ((low >= 9) & (low <= 13))
     edge = np.zeros(n + 1, dtype=bool)
@@ -58,7 +63,7 @@ def token_features(data: np.ndarray, offsets: np.ndarray):
     starts = np.flatnonzero(~gap & (before | edge[:n]))
     ends = np.flatnonzero(~gap & (after | edge[1:])) + 1
     stop = ends.copy()
-    for _ in range(3):
+    for _ in range(4):
         stop -= _STOPS[low[stop - 1]] & (stop - starts > 1)
     pre = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_TABLE[low] * powers(_BASE, n)[:n], out=pre[1:])
@@ -67,8 +72,17 @@ def token_features(data: np.ndarray, offsets: np.ndarray):
     for kind, width in enumerate(PREFIXES):
         upto = stop if width is None else np.minimum(starts + width, stop)
         h = mix((pre[upto] - pre[starts]) * back ^ _KIND[kind])
-        columns.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.stack(columns, axis=1), np.searchsorted(starts, offsets), np.stack([starts, ends])
+        columns.append(h)
+    first = np.searchsorted(starts, offsets)
+    word, six, size = columns[-1], columns[PREFIXES.index(6)], (stop - starts).astype(np.uint64)
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    inside = first[:-1][first[:-1] < first[1:]]
+    before[inside] = 0
+    after[first[1:][first[:-1] < first[1:]] - 1] = 0
+    for kind, h in enumerate((six + size, before, after), len(PREFIXES)):
+        columns.append(mix(h ^ _KIND[kind]))
+    return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in columns], axis=1), first, np.stack([starts, ends])
 
 
 class Chain:
@@ -97,10 +111,11 @@ class Chain:
         return m
 
     def marginals(self, feats: np.ndarray, first: np.ndarray, pairs: bool = False):
-        """Probability of label 1 of each token, and if wanted the expected counts of the four transitions."""
+        """(probability of label 1 of each token, log of the probability of label 0 given a 0 before it), and if wanted the
+        expected counts of the four transitions into each token."""
         n = len(feats)
         if not n:
-            return np.empty(0)
+            return np.empty(0), np.empty(0)
         psi = np.exp(np.clip(self.weight[feats].sum(axis=1) + self.bias, -30, 30))
         t = np.exp(self.move)
         heads = np.zeros(n, dtype=bool)
@@ -122,18 +137,21 @@ class Chain:
         backward = self._scan(r[:, ::-1], longest)[:, ::-1]
         b0, b1 = backward[0], backward[1]
         p1 = f1 * b1 / (f0 * b0 + f1 * b1)
+        odds = np.where(heads, 1.0, t[0, 1] / t[0, 0]) * psi * b1 / b0
+        clean = -np.log1p(odds)
         if not pairs:
-            return p1
-        inner = ~heads
-        prev = np.flatnonzero(inner) - 1
-        here = prev + 1
-        joint = np.stack([f0[prev] * t[0, 0] * b0[here], f0[prev] * t[0, 1] * psi[here] * b1[here], f1[prev] * t[1, 0] * b0[here], f1[prev] * t[1, 1] * psi[here] * b1[here]])
-        return p1, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            return p1, clean
+        joint = np.zeros((4, n))
+        here = np.flatnonzero(~heads)
+        prev = here - 1
+        joint[:, here] = f0[prev] * t[0, 0] * b0[here], f0[prev] * t[0, 1] * psi[here] * b1[here], f1[prev] * t[1, 0] * b0[here], f1[prev] * t[1, 1] * psi[here] * b1[here]
+        joint[:, here] /= joint[:, here].sum(axis=0)
+        return p1, clean, joint
 
     @staticmethod
-    def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """-log(1 - noisy-or) of each document."""
-        total = np.append(0.0, np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-12))))
+    def evidence(clean: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """-log of the probability that no token of a document is toxic."""
+        total = np.append(0.0, np.cumsum(-clean))
         return total[first[1:]] - total[first[:-1]]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -143,48 +161,45 @@ class Chain:
     @classmethod
     def learn(cls, docs: list[np.ndarray], toxic: np.ndarray) -> Chain | None:
         """docs: feature rows of each sampled document."""
-        bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
-        if not len(bad) or not len(good):
+        used = [k for k, d in enumerate(docs) if len(d)]
+        docs, toxic = [docs[k] for k in used], np.asarray(toxic)[used].astype(float)
+        if not len(docs) or toxic.min() == toxic.max():
             return None
         size = 1 << BITS
-        count = np.zeros((2, size))
+        seen = np.zeros(size, dtype=np.int32)
         for d, y in zip(docs, toxic):
-            count[int(y), np.unique(d)] += 1
-        a, b = count[1], count[0]
-        share = len(bad) / (len(bad) + len(good))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(a > 0, a * np.log(a / ((a + b) * share)), 0.0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0.0)
-        marks = (gain >= EVIDENCE) & (b * len(bad) <= 0.1 * a * len(good)) & (a > 0)
-        weight = np.where(marks, 4.0, 0.0)
-        fit = [k for k in bad.tolist() if len(docs[k]) and marks[docs[k]].any()][:FIT] + [k for k in good.tolist() if len(docs[k])][:FIT]
-        if not fit:
-            return cls(weight, -6.0, np.zeros((2, 2)))
-        feats = np.concatenate([docs[k] for k in fit])
-        first = np.append(0, np.cumsum([len(docs[k]) for k in fit]))
-        label = np.concatenate([marks[docs[k]].any(axis=1) & (toxic[k] == 1) for k in fit]).astype(float)
-        heads = np.zeros(len(feats), dtype=bool)
-        heads[first[:-1]] = True
-        y0, y1 = label[:-1][~heads[1:]], label[1:][~heads[1:]]
-        seen = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
-        chain = cls(weight, -6.0, np.zeros((2, 2)))
-        square_w, square_b, square_m = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-        for _ in range(STEPS):
-            p, moves = chain.marginals(feats, first, pairs=True)
-            g = label - p
-            gw = np.bincount(feats.ravel(), weights=np.repeat(g, len(PREFIXES)), minlength=size) - 0.05 * (chain.weight - weight)
-            gb, gm = g.sum(), seen - moves - 0.05 * chain.move
-            square_w += gw * gw
-            square_b += gb * gb
-            square_m += gm * gm
-            chain.weight = chain.weight + 0.3 * gw / np.sqrt(square_w) * (np.abs(gw) > 1e-3)
-            chain.bias += 0.3 * gb / np.sqrt(square_b)
-            chain.move = chain.move + 0.3 * gm / np.sqrt(square_m)
-        chain.curve = chain._fit_curve(docs, toxic)
+            if y:
+                seen[np.unique(d)] += 1
+        may = seen >= LEAST_DOCS
+        feats, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+        first, doc = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(len(docs)), sizes)
+        names, at = np.unique(feats[may[feats]], return_inverse=True)
+        column = np.full(size, len(names))
+        column[names] = np.arange(len(names))
+        place = column[feats]  # numbers of the features that have a weight, the last for all others
+        share = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())  # both labels count alike
+        chain = cls(np.zeros(size), BIAS, np.zeros((2, 2)))
+        own, mean, square, step = np.zeros(len(names) + 6), np.zeros(len(names) + 6), np.zeros(len(names) + 6), 0
+        own[-5] = BIAS
+        for step in range(1, STEPS + 1):
+            p, clean, joint = chain.marginals(feats, first, pairs=True)
+            none = np.exp(-np.minimum(cls.evidence(clean, first), 700.0))  # that no token is toxic
+            # expected under the constraint less expected without it, by document: a share of p and of the moves
+            more = np.where(toxic > 0, none / np.maximum(1 - none, 1e-9), -1.0) * share
+            g = more[doc] * p
+            gm = (joint * more[doc]).sum(axis=1)
+            gm[0] -= (more * np.maximum(sizes - 1, 0)).sum()
+            grad = np.concatenate([np.bincount(place.ravel(), weights=np.repeat(g, len(FEATURES)), minlength=len(names) + 1)[: len(names)], [0.0, g.sum()], gm])
+            grad = grad * len(docs) - DECAY * np.append(own[: len(names)], [0.0, 0.0, *own[-4:]])
+            mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
+            own = own + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-3)
+            chain.weight[names], chain.bias, chain.move = own[: len(names)], float(own[-5]), own[-4:].reshape(2, 2)
+        chain.curve = chain._fit_curve(feats, first, toxic)
         return chain
 
-    def _fit_curve(self, docs: list[np.ndarray], toxic: np.ndarray) -> tuple[float, float]:
-        """Logistic regression of the label on the log evidence, weighted to equal classes of what the sample holds."""
-        e = np.array([self.evidence(self.marginals(d, np.array([0, len(d)])), np.array([0, len(d)]))[0] if len(d) else 0.0 for d in docs])
+    def _fit_curve(self, feats: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+        """Logistic regression of the label on the log evidence."""
+        e = self.evidence(self.marginals(feats, first)[1], first)
         use = e > 0
         x, y = np.log(np.maximum(e[use], 1e-12)), toxic[use].astype(float)
         a, b = 1.0, 0.0
@@ -221,10 +236,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Chain | Non
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "toxic", "feats"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    got = d.mapInArrow(run, "doc_id long, toxic int, feats binary").toArrow().sort_by([("doc_id", "ascending")])
+    # one row a document, however often it comes
+    got = d.mapInArrow(run, "doc_id long, toxic int, feats binary").groupBy("doc_id", "toxic").agg(F.min("feats").alias("feats")).toArrow().sort_by([("doc_id", "ascending")])
     if not got.num_rows:
         return None
-    return Chain.learn([np.frombuffer(x, dtype=np.int32).reshape(-1, len(PREFIXES)) for x in got.column("feats").to_pylist()], np.array(got.column("toxic").to_pylist()))
+    return Chain.learn([np.frombuffer(x, dtype=np.int32).reshape(-1, len(FEATURES)) for x in got.column("feats").to_pylist()], np.array(got.column("toxic").to_pylist()))
 
 
 SPANS = "array<struct<start:long, end:long>>"
@@ -245,8 +261,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", chain: Chain |
                     spans += [[]] * (len(offsets) - 1)
                     continue
                 feats, first, where = token_features(data, offsets)
-                p = model.marginals(feats, first)
-                scores += model.score(model.evidence(p, first)).tolist()
+                p, clean = model.marginals(feats, first)
+                scores += model.score(model.evidence(clean, first)).tolist()
                 found: list[list] = [[] for _ in range(len(offsets) - 1)]
                 hits = np.flatnonzero(p >= 0.5)
                 doc = np.searchsorted(first, hits, side="right") - 1
