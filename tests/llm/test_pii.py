@@ -109,3 +109,123 @@ def test_repeats_side_by_side_are_linked_too():
     chain, skip = pii.edges(text, spans)
     assert len(chain) == len(skip) == 40
     assert (f.beliefs(pii.features(text, spans), chain, skip, pii.token_labels(spans, base))[:, 4] > pii.BELIEF).all()
+
+
+def planted(r, i):
+    """A training text: base entities, some of them twice, and harmless numbers."""
+    area, tail = r.randrange(200, 999), r.randrange(1000, 9999)
+    ip = ".".join(str(r.randrange(10, 256)) for _ in range(4))
+    some = [f"+1 ({area}) 555-{tail}", f"u{r.randrange(99)}@mail{r.randrange(9)}.example.com", ip, r.choice(HARMLESS)]
+    some += [some[k] for k in (1, 2) if r.random() < 0.3]
+    return text_with(r, some)
+
+
+HARMLESS = ["in 1999", "room 12", "v2", "7 cats", "3.14", "10:30", "1,000,000", "2024-05-06", "12 345", "version 3.", "4.0."]
+
+
+def text_with(r, some):
+    words = [r.choice(["lorem", "ipsum", "dolor", "sit", "amet", "magna"]) for _ in range(30)]
+    for k, x in enumerate(some):
+        words.insert(3 + 5 * k + r.randrange(3), x)
+    return " ".join(words)
+
+
+def test_recall_of_entities_that_the_patterns_miss(spark):
+    r = random.Random(5)
+    train = spark.createDataFrame([(i, planted(r, i)) for i in range(400)], "doc_id long, text string")
+    field = pii.learn(train)
+    rows, want = [], {}
+    for i in range(300):
+        area, tail, ip = r.randrange(200, 999), r.randrange(1000, 9999), ".".join(str(r.randrange(10, 256)) for _ in range(4))
+        before, missed = [
+            ([], f"({area}) 555-{tail}"),  # no country
+            ([], f"+1 ({area}) 555-{tail} {ip}"),  # the pattern runs on into the address and fails
+            ([f"+1 ({area}) 555-{tail}"], f"{area}555{tail}"),  # a repeat in another form
+            ([f"+1 ({area}) 555-{tail}"], f"555-{tail}"),
+        ][i % 4]
+        text = text_with(r, [*before, missed])
+        at = text.rindex(missed)
+        rows.append((i, text))
+        want[i] = (at, at + (len(missed) if i % 4 != 1 else 17))
+    rows += [(1000 + i, text_with(r, [r.choice(HARMLESS)])) for i in range(300)]
+    got = {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), field=field).collect()}
+    found = [any(s.kind == "phone" and s.start < b and s.end > a + 3 for s in got[i]) for i, (a, b) in want.items()]
+    assert sum(found) >= 0.9 * len(found), sum(found)
+    assert not any(got[1000 + i] for i in range(300))
+
+
+def test_the_skip_weight_is_learned():
+    """Large where tokens that look alike have one label, small where they do not."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    n = 4000
+    feats = np.full((n, pii.WIDTH), pii.HIDDEN)
+    label, other = r.integers(0, 5, size=n), r.integers(0, 5, size=n)
+    none = np.full(n, -1)
+    same, free = (pii.Field.learn(feats, label, none, none, np.eye(5)[y]).skip for y in (label, other))
+    most = pii.Field.learn(feats, label, none, none, np.eye(5)[np.where(r.random(n) < 0.8, label, other)]).skip
+    assert same > most > 1 > abs(free) and abs(most - np.log(0.84 / 0.04)) < 0.3
+    assert pii.Field.learn(feats, label, none, none, np.zeros((n, 5))).skip == pii.LINK
+
+
+def test_spans_against_enumeration():
+    """Short texts whose graph is a forest: beliefs are those of the sum over all labellings, and so are the spans."""
+    import itertools
+
+    import numpy as np
+
+    r, g = random.Random(9), np.random.default_rng(9)
+    field = pii.Field(g.normal(size=(pii.FEATURES, 5)) * 0.8, g.normal(size=(5, 5)), 2.5)
+    seen = 0
+    for _ in range(400):
+        text = " ".join(r.choice(["word", "or", "5551234", "(415)", "a@b.cd", "555-1234", "1.2.3.4", "77,", "+14155551234"]) for _ in range(7))
+        base, spans = pii.base_spans(text), pii.tokens(text)
+        chain, skip = pii.edges(text, spans)
+        if not spans or len(spans) > 5 or len({*chain, *skip}) >= len(spans) or any(e in chain for e in skip) or not forest(len(spans), {*chain, *skip}):
+            continue
+        phi = field.unary[np.array(pii.features(text, spans))].sum(axis=1)
+        known = pii.token_labels(spans, base)
+        p = np.zeros((len(spans), 5))
+        for y in itertools.product(range(5), repeat=len(spans)):
+            z = sum(phi[k, v] + pii.EVIDENCE * (known[k] == v > 0) for k, v in enumerate(y)) + sum(field.chain[y[i], y[j]] for i, j in chain) + sum(field.skip for i, j in skip if y[i] == y[j])
+            for k, v in enumerate(y):
+                p[k, v] += np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        assert np.allclose(field.beliefs(pii.features(text, spans), chain, skip, known), p, atol=0.02)
+        if (np.abs(p.max(axis=1) - pii.BELIEF) < 0.03).any():
+            continue
+        want, run = [], None
+        for k, (a, b) in enumerate(spans):
+            v = int(p[k].argmax())
+            free = not any(s < b and a < e for s, _, e in base)
+            if v == 0 or p[k, v] < pii.BELIEF or not free:
+                run = None
+                continue
+            if run and run[0] == v and a - run[2] <= 1:
+                run[2] = b
+            else:
+                run = [v, a, b]
+                want.append(run)
+        trimmed = []
+        for v, a, b in want:
+            word = text[a:b]
+            a, b = a + len(word) - len(word.lstrip(pii._TRIM)), b - (len(word) - len(word.rstrip(pii._TRIM)))
+            if pii._possible(v - 1, text[a:b]):
+                trimmed.append((a, v - 1, b))
+        assert pii.further_spans(text, base, field) == trimmed
+        seen += 1
+    assert seen > 50
+
+
+def forest(n, links):
+    root = list(range(n))
+    for i, j in links:
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        if i == j:
+            return False
+        root[i] = j
+    return True
