@@ -4,8 +4,9 @@
    distinct words, word length, size) gives each document a probability of being good. It is fitted on a
    bounded sample of labelled documents (``SAMPLE`` of either label, by hash of the id).
 2. Sites. Grouped sums of these probabilities by path and by host are shrunk: a host's rate towards the global
-   rate, a path's rate towards its host's, each with the prior strength that the method of moments finds
-   between the groups of that level. A site with few documents stays near its parent.
+   rate, a path's rate towards its host's, each with a prior of so many documents as the variance within groups is larger
+   than the variance between them. Both are moments over all groups of that level, those of one document
+   included. A site with few documents stays near its parent.
 3. A document's posterior odds are its own odds times the odds of its path over the global odds.
 
 Measures are written to one narrow table in a single pass over the texts; groups are partial aggregates, and the
@@ -70,15 +71,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, float(b[-1] - (w * mean).sum())
 
 
-def _strength(mean: float, between: float) -> float:
-    return min(STRONGEST, max(WEAKEST, mean * (1 - mean) / between - 1)) if between > 0 else STRONGEST
+def _strength(groups: DataFrame, parent: Column, mean: float) -> float:
+    """Prior strength of a level, in documents: variance within over variance between its groups.
 
-
-def _moments(groups: DataFrame, parent: Column) -> tuple[float, float]:
-    """(mean within-group variance of a rate, mean squared distance of groups from their parent), by size."""
-    r = F.col("s") / F.col("n") / UNIT
-    row = groups.filter("n > 1").agg(F.sum(F.round(UNIT * r * (1 - r)).cast("long")).alias("w"), F.sum(F.round(UNIT * F.col("n") * (r - parent) ** 2).cast("long")).alias("d"), F.sum("n").alias("n")).first()
-    return (row.w / UNIT / row.n, row.d / UNIT / row.n) if row.n else (0.0, 0.0)
+    ``groups`` has n, s and q: documents, and sums of their rates and squared rates in units. The squared distance of a
+    group's rate from its parent's is expected to be the variance between groups plus the one within over n.
+    """
+    n, r = F.col("n"), F.col("s") / F.col("n") / UNIT
+    row = groups.agg(
+        F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.round(UNIT * n * (r - parent) ** 2).cast("long")).alias("apart"), F.sum(F.round(F.col("q") - F.col("s") * r).cast("long")).alias("inside")
+    ).first()
+    if not row.n:
+        return STRONGEST
+    within = row.inside / UNIT / (row.n - row.groups) if row.n > row.groups else mean * (1 - mean)
+    between = (row.apart / UNIT - within * row.groups) / row.n
+    return min(STRONGEST, max(WEAKEST, within / between)) if between > 0 else STRONGEST
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text") -> DataFrame:
@@ -86,9 +93,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     table = cut(measures(docs, host, path, text), "measures")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     pick = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = table.join(F.broadcast(pick(1).unionByName(pick(0))), "doc_id").select("doc_id", *MEASURES, "y").limit(4 * SAMPLE)  # 2 * SAMPLE labels
-    rows = sorted(map(tuple, sample.collect()))
-    data = np.array([r[1:] for r in rows], dtype=float).reshape(-1, len(MEASURES) + 1)
+    known = F.broadcast(pick(1).unionByName(pick(0)))  # 2 * SAMPLE labels, and one row a document, however often it comes
+    rows = sorted(tuple(r.m) for r in table.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*MEASURES, "y")).alias("m")).collect())
+    data = np.array(rows, dtype=float).reshape(-1, len(MEASURES) + 1)
     weights, intercept = fit(data[:, :-1], data[:, -1])
 
     logit = F.lit(float(intercept))
@@ -97,16 +104,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     logit = F.least(F.greatest(F.round(logit, 6), F.lit(-20.0)), F.lit(20.0))
     scored = table.select("doc_id", "host", "path", logit.alias("logit")).withColumn("p", F.round(UNIT / (1 + F.exp(-F.col("logit")))).cast("long"))
 
-    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.round(F.col("p") * F.col("p") / UNIT).cast("long")).alias("q")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(1 - 1e-6, max(1e-6, whole.s / whole.n / UNIT)) if whole.n else 0.5
-    within, apart = _moments(hosts, F.lit(mean))
-    k_host = _strength(mean, max(0.0, apart - within))
+    k_host = _strength(hosts, F.lit(mean), mean)
     hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") / UNIT + k_host * mean) / (F.col("n") + k_host)).alias("host_rate"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    within, apart = _moments(paths, F.col("host_rate"))
-    k_path = _strength(mean, max(0.0, apart - within))
+    k_path = _strength(paths, F.col("host_rate"), mean)
     rates = paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_rate", ((F.col("s") / UNIT + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
     out = scored.join(rates, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     rate = F.least(F.greatest("path_rate", F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -53,3 +53,84 @@ def test_sites_of_url(spark):
     df = spark.createDataFrame([("http://A.example.com/fr/8?x=1",), ("https://b.org",), (None,)], "url string")
     host, path = S.sites_of_url(F.col("url"))
     assert [tuple(r) for r in df.select(host, path).collect()] == [("a.example.com", "a.example.com/fr"), ("b.org", "b.org/"), (None, None)]
+
+
+def brute(rows, labels):
+    """(evidence, host rate, path rate, posterior) of each row by plain loops, from the measures and the fitted weights."""
+    known = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            known[d] = min(y, known.get(d, 1))
+    one = {}
+    for r in rows:
+        if r.doc_id in known:
+            m = tuple(r[k] for k in S.MEASURES)
+            one[r.doc_id] = min(m, one.get(r.doc_id, m))
+    order = sorted((*m, known[d]) for d, m in one.items())
+    data = np.array(order, dtype=float)
+    w, b = S.fit(data[:, :-1], data[:, -1])
+    logit = [min(20.0, max(-20.0, round(b + sum(r[k] * x for k, x in zip(S.MEASURES, w.tolist())), 6))) for r in rows]
+    p = [1 / (1 + np.exp(-z)) for z in logit]
+    sites = [(r.host, r.path) for r in rows]
+    mean = np.mean(p)
+
+    def level(keys, parent):
+        groups = {}
+        for k, x in zip(keys, p):
+            groups.setdefault(k, []).append(x)
+        inside = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups.values())
+        n = len(p)
+        within = inside / (n - len(groups))
+        between = (sum(len(g) * (np.mean(g) - parent(k)) ** 2 for k, g in groups.items()) - within * len(groups)) / n
+        strength = min(S.STRONGEST, max(S.WEAKEST, within / between)) if between > 0 else S.STRONGEST
+        return {k: (sum(g) + strength * parent(k)) / (len(g) + strength) for k, g in groups.items()}
+
+    host = level([h for h, _ in sites], lambda k: mean)
+    path = level(sites, lambda k: host[k[0]])
+    odds = [np.exp(z) * path[k] / (1 - path[k]) / (mean / (1 - mean)) for z, k in zip(logit, sites)]
+    return [(x, host[k[0]], path[k], o / (1 + o)) for x, k, o in zip(p, sites, odds)]
+
+
+def sparse(spark, n=1500, seed=4):
+    """Many sites of one to three documents and a few large ones; good hosts hold mostly good texts."""
+    r = np.random.default_rng(seed)
+    rows, labels = [], []
+    for k in range(n):
+        h = int(r.integers(0, 10)) if k % 3 == 0 else 100 + int(r.integers(0, n // 2))
+        good = r.random() < (0.9 if h % 2 else 0.2)
+        junk = 3 if r.random() < 0.3 else int(6 * (not good))
+        rows.append((k, "plain words here and there " * 5 + "JUNK!! " * junk, f"h{h}" if h != 4 else None, f"p{int(r.integers(0, 3))}"))
+        labels.append((k, int(good)))
+    rows += [(7, "plain WORDS", "h101", "p0"), (None, "no id", "h1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").selectExpr("*", "1 AS n", "2 AS p", "3 AS y", "4 AS s")
+    return docs, labels
+
+
+def test_all_rows_against_brute_force(spark):
+    docs, labels = sparse(spark)
+    known = [x for x in labels if x[0] % 2 == 0] + [(3, None), (None, 1), (6, 0)]
+    out = S.classify(docs, spark.createDataFrame(known, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()
+    measured = S.measures(docs, F.col("host"), F.col("path")).collect()
+    want = brute(measured, known)
+    key = lambda d, h, q, e: (d is None, d or 0, h or "", q or "", round(e, 5))
+    left = sorted((key(r.doc_id, r.host, r.path, w[0]), w) for r, w in zip(measured, want))
+    right = sorted((key(r.doc_id, r.host, r.path, r.evidence), (r.evidence, r.host_rate, r.path_rate, r.posterior)) for r in out)
+    assert len(left) == len(right) == 1502
+    for (a, w), (b, g) in zip(left, right):
+        assert a[:4] == b[:4] and np.allclose(w, g, atol=5e-5), (a, w, g)
+
+
+def test_sites_help_where_texts_do_not_say(spark):
+    """On held-back documents of sparse sites too, the posterior orders better than the evidence alone."""
+    docs, labels = sparse(spark, 4000)
+    out = S.classify(docs, spark.createDataFrame([x for x in labels if x[0] % 2 == 0], "doc_id long, quality int"), F.col("host"), F.col("path")).collect()
+    truth = {d: y for d, y in labels if d % 2}
+
+    def auc(column, some):
+        good, bad = ([r[column] for r in some if truth[r.doc_id] == v] for v in (1, 0))
+        return np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+
+    held = [r for r in out if r.doc_id in truth]
+    large = [r for r in held if r.host is None or len(r.host) == 2]
+    assert auc("posterior", large) > auc("evidence", large) + 0.03
+    assert auc("posterior", held) > auc("evidence", held)
