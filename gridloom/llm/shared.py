@@ -20,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one, but only on a local master."""
     known = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -31,12 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later work starts from files.
 
-    A lost executor then costs only the tasks it ran: nothing before the table is computed again.
+    A lost executor then costs only the tasks it ran: nothing before the table is computed again. Tables that
+    ``drop_cut`` has not deleted go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(schema).parquet(path)
     out._cut_path = path
     return out

@@ -3,13 +3,14 @@
 First pass, a count-min sketch. Every window has a minimiser, the least hash of the ``SHINGLE``-word
 shingles in it; equal windows have equal minimisers, so the number of documents with a minimiser never
 underestimates the number with the window, and only about a tenth of the positions reach the sketch. Each
-partition counts its documents' minimisers into ``DEPTH`` rows of ``2**BITS`` counters that stop at two and
+partition counts its documents' minimisers into ``DEPTH`` rows of counters that stop at two and
 sends the touched cells by ranges; the ranges are merged by the executors into one bit a cell ("two or
-more"), ``DEPTH * 2**BITS / 8`` bytes in all whatever the input, and that is what is broadcast. A corpus that
-fills the sketch lets more windows pass, it never loses one.
+more"), and that is what is broadcast. There are as many cells as the corpus has ``CHARS`` characters, rounded up to a power of
+two, up to ``2**MOST_BITS`` (128 MB a row). A corpus that fills the sketch lets more windows pass, it never loses one.
 
 Second pass: only windows whose minimiser the sketch calls repeated leave the texts, as 96-bit hashes of
-their word sequence with document and place. A partial aggregation finds the smallest document of each; the
+their word sequence with document and places; a sequence that one document repeats is one row, so a key has at most
+a row a document. They are written once. A partial aggregation finds the smallest document of each; the
 join with it is a plain shuffle join whose skewed keys Spark can split.
 
 Defined results: null and blank texts have no words and nothing to remove; with fewer than 50 words nothing is
@@ -28,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import mix, rolling, text_slices, word_hashes
+from gridloom.llm.shared import cut, drop_cut, mix, rolling, text_slices, word_hashes
 
 WINDOW = 50
 SHINGLE = 32
 DEPTH = 2
-BITS = 27
+CHARS = 8
+LEAST_BITS, MOST_BITS = 20, 30
+#: Places of removed windows that are broadcast to the texts at most (4 bytes each); more go through a shuffle join.
+SMALL_PLACES = 8_000_000
 #: Cells that a task holds before it sends them.
 HELD = 1 << 21
 _SALTS = [np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)]
@@ -120,7 +124,12 @@ def _merge_range(bits: int, shards: int):
     return run
 
 
-def sketch(docs: DataFrame, text: str = "text", bits: int = BITS, window: int = WINDOW, shingle: int = SHINGLE) -> list[bytes]:
+def sketch_bits(docs: DataFrame, text: str = "text") -> int:
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (chars // CHARS).bit_length()))
+
+
+def sketch(docs: DataFrame, text: str, bits: int, window: int = WINDOW, shingle: int = SHINGLE) -> list[bytes]:
     """The merged sketch: for each row one bit a cell. At most DEPTH * 2**bits / 8 bytes reach the driver."""
     wanted = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = min(1 << (wanted - 1).bit_length(), 1 << (bits - 10))
@@ -153,27 +162,37 @@ def _candidates(sent, bits: int, window: int, shingle: int):
                 if not len(take):
                     continue
                 where = starts[take]
+                h1 = rolling(h, window)[where]
+                h2 = (rolling(mix(h ^ _SECOND), window, _SECOND_BASE)[where] >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((where, h2, h1, doc[take]))  # one row for each sequence of a document
+                h1, h2, of, place = h1[order], h2[order], doc[take][order], (where - first[doc[take]])[order]
+                new = np.ones(len(of), dtype=bool)
+                new[1:] = (of[1:] != of[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                at_row = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rolling(h, window)[where].view(np.int64)),
-                        pa.array((rolling(mix(h ^ _SECOND), window, _SECOND_BASE)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(ids[at + doc[take]].astype(np.int64)),
-                        pa.array((where - first[doc[take]]).astype(np.int32)),
+                        pa.array(h1[at_row].view(np.int64)),
+                        pa.array(h2[at_row].view(np.int32)),
+                        pa.array(ids[at + of[at_row]].astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.append(at_row, len(of)).astype(np.int32)), pa.array(place.astype(np.int32))),
                     ],
-                    names=["h1", "h2", "doc_id", "place"],
+                    names=["h1", "h2", "doc_id", "places"],
                 )
 
     return run
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", bits: int = BITS, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def repeated_windows(docs: DataFrame, text: str = "text", bits: int | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, places): where windows start that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
+    bits = bits or sketch_bits(docs, text)
     sent = spark.sparkContext.broadcast(sketch(docs, text, bits, window, shingle))
-    found = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 int, doc_id long, place int")
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    found = cut(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 int, doc_id long, places array<int>"), "windows")
+    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
     later = found.join(least, ["h1", "h2"]).filter("doc_id > least")
-    return later.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    places = cut(later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
+    drop_cut(found)
+    return places
 
 
 def covered(n: int, places, window: int) -> np.ndarray:
@@ -186,12 +205,15 @@ def covered(n: int, places, window: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def _with_places(docs: DataFrame, text: str, bits: int, window: int, shingle: int) -> DataFrame:
-    places = repeated_windows(docs, text, bits, window, shingle).withColumnRenamed("doc_id", "__doc_id")
-    return docs.join(places, docs["doc_id"] == places["__doc_id"], "left").drop("__doc_id")
+def _with_places(docs: DataFrame, text: str, bits: int | None, window: int, shingle: int) -> DataFrame:
+    """(row, places): every row of ``docs`` as one struct, so that no column of it can clash."""
+    places = repeated_windows(docs, text, bits, window, shingle)
+    size = places.agg(F.sum(F.size("places") + 8)).first()[0] or 0
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(F.broadcast(places) if size <= SMALL_PLACES else places, F.col("row.doc_id") == F.col("doc_id"), "left").drop("doc_id")
 
 
-def digests(docs: DataFrame, text: str = "text", bits: int = BITS, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", bits: int | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words joined by one blank."""
 
     def run(batches):
@@ -212,7 +234,7 @@ def digests(docs: DataFrame, text: str = "text", bits: int = BITS, window: int =
             )
 
     d = _with_places(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), "text", bits, window, shingle)
-    return d.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return d.select("row.doc_id", "row.text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_words(text: str, places, window: int = WINDOW) -> str:
@@ -228,13 +250,13 @@ def cut_words(text: str, places, window: int = WINDOW) -> str:
     return "".join(out)
 
 
-def remove(docs: DataFrame, text: str = "text", bits: int = BITS, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", bits: int | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """All columns of ``docs``, with the repeated words cut out of the text."""
 
     @F.pandas_udf("string")
     def shortened(texts: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([t if p is None or t is None else cut_words(t, p, window) for t, p in zip(texts, places)], dtype=object)
 
-    d = _with_places(docs.withColumnRenamed("places", "__places") if "places" in docs.columns else docs, text, bits, window, shingle)
-    d = d.withColumn(text, F.when(F.col("places").isNull(), F.col(text)).otherwise(shortened(F.col(text), F.col("places")))).drop("places")
-    return d.withColumnRenamed("__places", "places").select(docs.columns)
+    d = _with_places(docs, text, bits, window, shingle)
+    left = F.col("row").getField(text)
+    return d.select(F.col("row").withField(f"`{text}`", F.when(F.col("places").isNull(), left).otherwise(shortened(left, F.col("places")))).alias("row")).select("row.*")

@@ -67,3 +67,27 @@ def test_repeated_rows_are_one_document(spark):
     t = " ".join(f"w{k}" for k in range(55))
     df = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in S.digests(df, bits=14).collect()) == [(1, 0), (1, 0), (2, 55)]
+
+
+def test_columns_of_any_name_survive(spark, monkeypatch):
+    t = " ".join(f"w{k}" for k in range(55))
+    names = ["__doc_id", "__places", "places", "row", "least", "h1", "__gone"]
+    df = spark.createDataFrame([(1, t), (2, t + " more")], "doc_id long, text string").selectExpr("*", *[f"doc_id + {k} AS `{n}`" for k, n in enumerate(names)])
+    for most in (S.SMALL_PLACES, 0):
+        monkeypatch.setattr(S, "SMALL_PLACES", most)
+        out = S.remove(df)
+        assert out.columns == df.columns
+        assert {r.doc_id: (r.text, *(r[n] for n in names)) for r in out.collect()} == {1: (t, *range(1, 8)), 2: ("more", *range(2, 9))}
+        assert {r.doc_id: r.n_removed for r in S.digests(df).collect()} == {1: 0, 2: 55}
+
+
+def test_a_sequence_that_a_document_repeats_is_one_row(spark):
+    t = "same " * 5000
+    df = spark.createDataFrame([(1, t), (2, t), (3, "other " + t)], "doc_id long, text string")
+    rows = {r.doc_id: sorted(r.places) for r in S.repeated_windows(df).collect()}
+    assert rows == {2: list(range(4951)), 3: list(range(1, 4952))}
+
+
+def test_the_sketch_grows_with_the_corpus(spark):
+    sizes = [S.sketch_bits(spark.range(n).selectExpr("repeat('x', 100000) AS text")) for n in (1, 1000, 10_000)]
+    assert sizes == [20, 24, 27]
