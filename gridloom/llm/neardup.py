@@ -40,6 +40,8 @@ ESTIMATE = 0.5
 SMALL_IDS = 1_000_000
 #: Pairs that a round of the exact join looks at, at most about.
 ROUND_PAIRS = 200_000_000
+#: Rows with one set from which that set is joined apart from the others: at most a row of the table in so many, so few that they are broadcast.
+HOT = 2_000
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -176,12 +178,26 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = 80, kept: int = KEPT, shared: int = SHARED) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id is the component's)."""
+def with_classes(light: DataFrame) -> DataFrame:
+    """(doc_id, n, rep): rep is the least doc_id with an equal set. Sets of very many rows meet their class without a shuffle."""
+    keys = ["n", "k1", "k2"]
+    copies = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("size")).filter("rep < last").drop("last")
+    copies = cut(copies, "copies")
+    hot = copies.filter(F.col("size") >= HOT).select(*keys, F.col("rep").alias("hot"))
+    marked = light.join(F.broadcast(hot), keys, "left")
+    cold = marked.filter("hot IS NULL").join(copies.filter(F.col("size") < HOT).select(*keys, "rep"), keys, "left").select("doc_id", "n", "rep")
+    both = cold.unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n", F.col("hot").alias("rep")))
+    return both.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = 80, kept: int = KEPT, shared: int = SHARED, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id is the component's).
+
+    ``exact`` puts the full sets of all classes through the exact join, for those who cannot accept the small chance that
+    the sketches of two large sets hide a link; it costs a row a shingle instead of one a retained value.
+    """
     base = cut(sketches(docs, text, width, kept), "sketches")
-    light = base.select("doc_id", "n", "k1", "k2")
-    copies = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
-    classes = cut(light.join(copies, ["n", "k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
+    classes = cut(with_classes(base.select("doc_id", "n", "k1", "k2")), "classes")
     listed = inverted_lists(base, kept, shared)
     stand_in = classes.filter("doc_id != rep").select("doc_id", "rep").distinct()
     lists = listed.join(stand_in, "doc_id", "left").select("v", F.coalesce("rep", "doc_id").alias("id"), "n").distinct()
@@ -197,7 +213,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
 
     owned = lists.join(label, lists["id"] == label["doc_id"], "left").select("v", "id", F.coalesce("comp", "id").alias("comp"))
     open_lists = owned.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
-    left = cut(lists.join(open_lists, "v", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "left")
+    still = classes.filter("doc_id = rep AND n > 0").select("doc_id") if exact else lists.join(open_lists, "v", "left_semi").select(F.col("id").alias("doc_id"))
+    left = cut(still.distinct(), "left")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     sets = cut(full_sets(_narrowed(texts, left), text, width), "sets")
     entries = cut(exact_prefixes(sets, percent), "entries")
@@ -216,6 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
         if links.limit(1).count():
             label = components(links, label)
         drop_cut(links)
+    drop_cut(base, lists, tested, left, sets, entries)
     out = classes.join(label.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

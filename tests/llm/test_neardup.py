@@ -70,6 +70,24 @@ def test_many_copies_and_rounds(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_hot_sets_meet_their_class_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 5)
+    t, u = " ".join(f"w{k}" for k in range(30)), "another short text of some words here"
+    rows = [(3 + k, t) for k in range(9)] + [(100 + k, u) for k in range(3)] + [(50, t + " end"), (1, "alone in the world it is"), (None, t)]
+    got = [(x.doc_id, x.component_id) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in got if x[0] is not None) == sorted([(3 + k, 3) for k in range(9)] + [(100 + k, 100) for k in range(3)] + [(50, 3), (1, 1)]) and (None, None) in got
+
+
+def test_the_exact_option_needs_no_sketch(spark):
+    """With sketches far too small for the promise, the full join alone finds every link."""
+    r = random.Random(3)
+    base = [[f"w{r.randrange(300)}" for _ in range(120)] for _ in range(12)]
+    rows = [(k, " ".join(mutated(r, base[k % 12], r.choice([0.01, 0.03, 0.045])))) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in N.near_duplicates(df, width=4, kept=4, shared=4, exact=True).collect()}
+    assert got == brute(rows)
+
+
 def test_whole_small_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in N.near_duplicates(docs, width=4).collect()}
