@@ -14,7 +14,7 @@ document side meets them in a plain equi-join (Spark broadcasts the groups only
 Sums are of whole micro-units, so the result does not depend on their order.
 
 Defined results: a null text is empty; null hosts and paths are sites of their own; labels without value or document are
-not used, of several the smallest counts; with one label only, or none, every evidence is one half; repeated
+not used, of several the smallest counts; of several sampled rows with one id each measure's least value is learned from; with one label only, or none, every evidence is one half; repeated
 rows count as documents. ``sites_of_url`` gives host and path columns for tables with URLs.
 """
 
@@ -94,7 +94,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     pick = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     known = F.broadcast(pick(1).unionByName(pick(0)))  # 2 * SAMPLE labels, and one row a document, however often it comes
-    rows = sorted(tuple(r.m) for r in table.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*MEASURES, "y")).alias("m")).collect())
+    rows = sorted(tuple(r)[1:] for r in table.join(known, "doc_id").groupBy("doc_id").agg(*[F.min(c) for c in (*MEASURES, "y")]).collect())
     data = np.array(rows, dtype=float).reshape(-1, len(MEASURES) + 1)
     weights, intercept = fit(data[:, :-1], data[:, -1])
 

@@ -65,7 +65,7 @@ def brute(rows, labels):
     for r in rows:
         if r.doc_id in known:
             m = tuple(r[k] for k in S.MEASURES)
-            one[r.doc_id] = min(m, one.get(r.doc_id, m))
+            one[r.doc_id] = tuple(map(min, m, one.get(r.doc_id, m)))
     order = sorted((*m, known[d]) for d, m in one.items())
     data = np.array(order, dtype=float)
     w, b = S.fit(data[:, :-1], data[:, -1])
