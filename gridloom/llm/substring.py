@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import cut, drop_cut, mix, rolling, text_slices, word_hashes
+from gridloom.llm.shared import cut, mix, rolling, text_slices, word_hashes
 
 WINDOW = 50
 SHINGLE = 32
 DEPTH = 2
 CHARS = 8
 LEAST_BITS, MOST_BITS = 20, 30
-#: Places of removed windows that are broadcast to the texts at most (4 bytes each); more go through a shuffle join.
-SMALL_PLACES = 8_000_000
+#: Numbers (ids and ends of removed stretches) that are broadcast to the texts at most, 8 bytes each; more go through a shuffle join.
+SMALL = 4_000_000
 #: Cells that a task holds before it sends them.
 HELD = 1 << 21
 _SALTS = [np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)]
@@ -190,27 +190,40 @@ def repeated_windows(docs: DataFrame, text: str = "text", bits: int | None = Non
     found = cut(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 int, doc_id long, places array<int>"), "windows")
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
     later = found.join(least, ["h1", "h2"]).filter("doc_id > least")
-    places = cut(later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
-    drop_cut(found)
-    return places
+    return later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
-def covered(n: int, places, window: int) -> np.ndarray:
-    """Which of n words the windows at ``places`` cover."""
+def _stretches(window: int):
+    """mapInArrow: the stretches of words that the windows of a document cover, as starts and stops."""
+
+    def run(batches):
+        for batch in batches:
+            starts, stops = [], []
+            for x in batch.column(1).to_pylist():
+                p = np.unique(np.asarray(x, dtype=np.int64))
+                apart = np.flatnonzero(np.diff(p) > window)
+                starts.append(p[np.append(0, apart + 1)].tolist())
+                stops.append((p[np.append(apart, len(p) - 1)] + window).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], names=["doc_id", "starts", "stops"])
+
+    return run
+
+
+def covered(n: int, starts, stops) -> np.ndarray:
+    """Which of n words lie in a stretch."""
     steps = np.zeros(n + 1, dtype=np.int64)
-    p = np.unique(np.asarray(places, dtype=np.int64))
-    p = p[p + window <= n]
-    steps[p] += 1
-    steps[p + window] -= 1
+    steps[np.minimum(starts, n)] += 1
+    steps[np.minimum(stops, n)] -= 1  # stretches are apart, so only the end of the text can repeat
     return np.cumsum(steps)[:n] > 0
 
 
-def _with_places(docs: DataFrame, text: str, bits: int | None, window: int, shingle: int) -> DataFrame:
-    """(row, places): every row of ``docs`` as one struct, so that no column of it can clash."""
-    places = repeated_windows(docs, text, bits, window, shingle)
-    size = places.agg(F.sum(F.size("places") + 8)).first()[0] or 0
+def _with_stretches(docs: DataFrame, text: str, bits: int | None, window: int, shingle: int) -> DataFrame:
+    """(row, starts, stops): every row of ``docs`` as one struct, so that no column of it can clash."""
+    found = repeated_windows(docs, text, bits, window, shingle).mapInArrow(_stretches(window), "doc_id long, starts array<int>, stops array<int>")
+    found = cut(found, "stretches")
+    size = found.agg(F.sum(F.size("starts") + 1)).first()[0] or 0
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(F.broadcast(places) if size <= SMALL_PLACES else places, F.col("row.doc_id") == F.col("doc_id"), "left").drop("doc_id")
+    return rows.join(F.broadcast(found) if size <= SMALL else found, F.col("row.doc_id") == F.col("doc_id"), "left").drop("doc_id")
 
 
 def digests(docs: DataFrame, text: str = "text", bits: int | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -219,11 +232,11 @@ def digests(docs: DataFrame, text: str = "text", bits: int | None = None, window
     def run(batches):
         for batch in batches:
             counts, removed, digest = [], [], []
-            for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for t, starts, stops in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 words = (t or "").encode().split()
                 counts.append(len(words))
-                if p:
-                    gone = covered(len(words), p, window)
+                if starts:
+                    gone = covered(len(words), starts, stops)
                     removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 else:
@@ -233,14 +246,14 @@ def digests(docs: DataFrame, text: str = "text", bits: int | None = None, window
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    d = _with_places(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), "text", bits, window, shingle)
-    return d.select("row.doc_id", "row.text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    d = _with_stretches(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), "text", bits, window, shingle)
+    return d.select("row.doc_id", "row.text", "starts", "stops").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def cut_words(text: str, places, window: int = WINDOW) -> str:
+def cut_words(text: str, starts, stops) -> str:
     """The text without the covered words and the white space behind them."""
     spans = [m.span() for m in _WORD.finditer(text)]
-    gone = covered(len(spans), places, window).tolist()
+    gone = covered(len(spans), starts, stops).tolist()
     out, at = [], 0
     for k, g in enumerate(gone):
         if g:
@@ -254,9 +267,9 @@ def remove(docs: DataFrame, text: str = "text", bits: int | None = None, window:
     """All columns of ``docs``, with the repeated words cut out of the text."""
 
     @F.pandas_udf("string")
-    def shortened(texts: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None or t is None else cut_words(t, p, window) for t, p in zip(texts, places)], dtype=object)
+    def shortened(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None or t is None else cut_words(t, a, b) for t, a, b in zip(texts, starts, stops)], dtype=object)
 
-    d = _with_places(docs, text, bits, window, shingle)
+    d = _with_stretches(docs, text, bits, window, shingle)
     left = F.col("row").getField(text)
-    return d.select(F.col("row").withField(f"`{text}`", F.when(F.col("places").isNull(), left).otherwise(shortened(left, F.col("places")))).alias("row")).select("row.*")
+    return d.select(F.col("row").withField(f"`{text}`", F.when(F.col("starts").isNull(), left).otherwise(shortened(left, F.col("starts"), F.col("stops")))).alias("row")).select("row.*")

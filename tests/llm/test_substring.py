@@ -73,8 +73,8 @@ def test_columns_of_any_name_survive(spark, monkeypatch):
     t = " ".join(f"w{k}" for k in range(55))
     names = ["__doc_id", "__places", "places", "row", "least", "h1", "__gone"]
     df = spark.createDataFrame([(1, t), (2, t + " more")], "doc_id long, text string").selectExpr("*", *[f"doc_id + {k} AS `{n}`" for k, n in enumerate(names)])
-    for most in (S.SMALL_PLACES, 0):
-        monkeypatch.setattr(S, "SMALL_PLACES", most)
+    for most in (S.SMALL, 0):
+        monkeypatch.setattr(S, "SMALL", most)
         out = S.remove(df)
         assert out.columns == df.columns
         assert {r.doc_id: (r.text, *(r[n] for n in names)) for r in out.collect()} == {1: (t, *range(1, 8)), 2: ("more", *range(2, 9))}
