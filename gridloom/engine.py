@@ -4,6 +4,10 @@ A frame has a row for every read date, asset and step of its layout, so windows
 on one layout are columns of one frame; only a change of layout makes a join: reductions group the
 frame and meet the smaller one, broadcasting joins a smaller frame on the keys both have. Frames whose size,
 known from the axes, is small are broadcast; the others take part in shuffle joins.
+
+Moments across the assets of a date and step (``Stage.stat``) are a grouping with partial sums, whose few rows come back in a
+join; the frame itself is not shuffled for them. Terms that can be made at one time share that grouping. Terms that stand on
+such a join in turn take windows, which share one shuffle, so no frame is read more than twice for them.
 """
 
 from __future__ import annotations
@@ -50,6 +54,9 @@ class _Run:
     def __init__(self, engine: Engine, plan: Plan):
         self.engine, self.plan, self.spark = engine, plan, engine.spark
         self.frames: dict[tuple[int, int], DataFrame] = {}
+        self.names: dict[tuple[int, int], set[str]] = {}  # columns of each frame, pending ones included
+        self.pending: dict[tuple[int, int], dict[str, Column]] = {}  # columns that stand on columns already there
+        self.joined: set[tuple[int, int]] = set()  # frames that have met a grouping of themselves
         self.done: set[str] = set()
         self.temps = 0
 
@@ -61,22 +68,29 @@ class _Run:
             i = F.col("id")
             grid = self.spark.range(len(self.plan.dates) * n * s)
             self.frames[size] = grid.select((F.expr(f"id div {n * s}")).cast("int").alias(DATE), (F.expr(f"id div {s}") % n).cast("int").alias(ASSET), (i % s).cast("int").alias(STEP))
+            self.names[size] = set(KEYS)
+        if waiting := self.pending.pop(size, None):
+            self.frames[size] = self.frames[size].select("*", *[c.alias(name) for name, c in waiting.items()])
         return self.frames[size]
 
     def _join(self, size: tuple[int, int], right: DataFrame, on: list[str], rows: int) -> None:
+        names = set(right.columns)
         right = F.broadcast(right) if rows <= SMALL else right
         self.frames[size] = self.frame(size).join(right, on, "left")
+        self.names[size] |= names
 
     def bring(self, terms, size: tuple[int, int]) -> None:
         """Join the terms of smaller frames onto the frame of ``size``, one join for each of those frames."""
-        have = set(self.frame(size).columns)
+        if size not in self.frames:
+            self.frame(size)
+        have = self.names[size]
         by: dict[tuple[int, int], list[str]] = {}
         for t in terms:
             if t is not None and t.layout is not None and (own := (t.layout.assets, t.layout.steps)) != size and t.id not in have:
                 by.setdefault(own, []).append(t.id)
         for own, names in by.items():
             keys = [DATE] + [k for k, a, b in ((ASSET, own[0], size[0]), (STEP, own[1], size[1])) if a == b]
-            self._join(size, self.frames[own].select(*keys, *dict.fromkeys(names)), keys, len(self.plan.dates) * own[0] * own[1])
+            self._join(size, self.frame(own).select(*keys, *dict.fromkeys(names)), keys, len(self.plan.dates) * own[0] * own[1])
 
     def column(self, term: Term | None, size: tuple[int, int]) -> Column | None:
         """The term as a column of the frame of ``size``, brought there if its own frame is smaller."""
@@ -86,18 +100,28 @@ class _Run:
             v = dict(term.params)["value"]
             return F.lit(v) if isinstance(v, bool) else F.lit(float(v))
         self.bring([term], size)
+        if term.id in self.pending.get(size, ()):
+            self.frame(size)
         return F.col(term.id)
 
     def put(self, size: tuple[int, int], name: str, c: Column) -> Column:
-        self.frames[size] = self.frame(size).withColumn(name, c)
+        """A further column; ``c`` may stand on any column that is there and not pending."""
+        self.pending.setdefault(size, {})[name] = c
+        self.names[size].add(name)
         return F.col(name)
 
-    def stage(self, size: tuple[int, int]) -> Stage:
+    def _fresh(self) -> str:
+        self.temps += 1
+        return f"__{self.temps}"
+
+    def stage(self, size: tuple[int, int], stat=None) -> Stage:
         def temp(c: Column) -> Column:
-            self.temps += 1
-            return self.put(size, f"__{self.temps}", c)
+            name = self._fresh()
+            self.put(size, name, c)
+            self.frame(size)
+            return F.col(name)
 
-        return Stage(temp)
+        return Stage(temp, stat)
 
     # --- terms ------------------------------------------------------------------------------
 
@@ -110,13 +134,48 @@ class _Run:
             self.load(t)
             return
         op = self.engine.compiler.operators[t.op]
-        if op.shape == "same":
+        if op.section and size not in self.joined:
+            self.section(t, size)
+        elif op.shape == "same":
+            if size not in self.frames:
+                self.frame(size)
             self.put(size, t.id, op.build(self.stage(size), *(self.column(a, size) for a in t.args), **params))
         elif op.shape in ("asset", "step"):
             self.reduce(t, op)
         else:
             self.reshape(t, op.shape, params, size)
 
+    def section(self, first: Term, size: tuple[int, int]) -> None:
+        """All terms that can be made now from moments across the assets of a date and step share one grouping for each set of keys."""
+        terms = [first]
+        for t in self.plan.order:
+            o = self.engine.compiler.operators.get(t.op)
+            if o and o.section and t.id not in self.done and t.layout and (t.layout.assets, t.layout.steps) == size and all(a is None or a.layout is None or a.id in self.done for a in t.args):
+                terms.append(t)
+                self.done.add(t.id)
+        self.frame(size)
+        self.joined.add(size)
+        self.bring([a for t in terms for a in t.args], size)
+        wanted: dict[tuple[str, ...], list[Column]] = {}
+        keys: dict[str, tuple[str, Column]] = {}
+
+        def stat(c: Column, *more: Column) -> Column:
+            for m in more:
+                keys.setdefault(str(m), (self._fresh(), m))
+            name = self._fresh()
+            wanted.setdefault(tuple(keys[str(m)][0] for m in more), []).append(c.alias(name))
+            return F.col(name)
+
+        made = {t.id: self.engine.compiler.operators[t.op].build(self.stage(size, stat), *(self.column(a, size) for a in t.args), **dict(t.params)) for t in terms}
+        base = self.frame(size).select("*", *[k.alias(n) for n, k in keys.values()])
+        out = base
+        for names, stats in wanted.items():
+            right = base.groupBy(DATE, STEP, *names).agg(*stats)
+            few = not names and len(self.plan.dates) * size[1] <= SMALL
+            out = out.join(F.broadcast(right) if few else right, [DATE, STEP, *names], "left")
+        self.frames[size] = out.select(*self.names[size], *[c.alias(name) for name, c in made.items()])
+        self.names[size] |= set(made)
+
     def _wide(self, args) -> tuple[int, int]:
         given = [a.layout for a in args if a is not None and a.layout is not None]
         return max(x.assets for x in given), max(x.steps for x in given)
@@ -143,6 +202,7 @@ class _Run:
             self._join(target, made, keys, len(self.plan.dates) * target[0] * target[1])
         else:  # every date is there already
             self.frames[target] = made.withColumn(ASSET if op.shape == "asset" else STEP, F.lit(0))
+            self.names[target] = {*KEYS, *made.columns}
         for t, o, got in built:
             columns = {name: F.col(f"{t.id}_{name}") for name in got}
             self.put(target, t.id, o.finish(self.stage(target), columns, **dict(t.params)))
@@ -187,6 +247,8 @@ class _Run:
                 if self.engine.provider.same_scan(key, other):
                     group.append((u.id, other, u.kind))
                     self.done.add(u.id)
+        if hasattr(self.engine.provider, "freeze"):
+            self.engine.provider.freeze(self.plan.dates, self.plan.codes)
         rows = self.engine.provider.load([k for _, k, _ in group], self.plan.dates, self.plan.codes[t.layout.asset], t.layout.steps)
         cast = lambda k, kind: fin(F.col(f"`{k}`").cast("double")) if kind not in TYPES else F.col(f"`{k}`").cast(TYPES[kind])
         rows = rows.select(*KEYS, *[cast(k, kind).alias(name) for name, k, kind in group])
@@ -200,17 +262,17 @@ class _Run:
             self.evaluate(t)
         size = (len(plan.codes[plan.domain.asset]), len(plan.steps))
         self.bring(plan.outputs.values(), size)
-        label = lambda values, kind: F.expr(f"array({', '.join(_literal(v) for v in values)})").cast(f"array<{kind}>")
+        out = self.frame(size).filter(F.col(DATE) >= plan.first)
+        out = out.join(F.broadcast(self._axis([(d, i) for i, d in enumerate(plan.dates)], "date string", DATE)), DATE)
         codes = plan.codes[plan.domain.asset]
         kind = "string" if any(isinstance(c, str) for c in codes) else "bigint"
-        out = self.frame(size).filter(F.col(DATE) >= plan.first)
-        return out.select(
-            F.get(label(plan.dates, "string"), F.col(DATE)).alias("date"),
-            F.get(label(codes, kind), F.col(ASSET)).alias("asset"),
-            F.get(label(plan.steps, "int"), F.col(STEP)).alias("step"),
-            *[F.col(t.id).alias(name) for name, t in plan.outputs.items()],
-        )
-
+        out = out.join(self._axis([(c, i) for i, c in enumerate(codes)], f"asset {kind}", ASSET), ASSET)
+        if len(plan.steps) > 1:
+            out = out.join(F.broadcast(self._axis([(c, i) for i, c in enumerate(plan.steps)], "step int", STEP)), STEP)
+        else:
+            out = out.withColumn("step", F.lit(plan.steps[0]).cast("int"))
+        return out.select("date", "asset", "step", *[F.col(t.id).alias(name) for name, t in plan.outputs.items()])
 
-def _literal(v) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    def _axis(self, rows: list, label: str, position: str) -> DataFrame:
+        """(label, position) of an axis as a table; Spark decides by its size how to join it."""
+        return self.spark.createDataFrame(rows, f"{label}, {position} int")

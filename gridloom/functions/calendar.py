@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Session minutes: 09:30 to 11:29 and 13:00 to 14:56 (fixed values).
 SESSION = ((9 * 60 + 30, 11 * 60 + 29), (13 * 60, 14 * 60 + 56))
@@ -20,6 +24,26 @@ def date_key(value) -> str:
     return digits
 
 
+def day_of(column: Column, kind: str) -> Column:
+    """YYYYMMDD of a date, timestamp, number or string column of type ``kind``."""
+    return F.date_format(column, "yyyyMMdd") if kind.startswith(("date", "timestamp")) else F.regexp_replace(column.cast("string"), "[-/.]", "")
+
+
+def in_days(column: Column, kind: str, first: str, last: str, spelling: str | None = None) -> Column | None:
+    """Whether a raw column lies in the days ``first`` to ``last``, compared in its own type, so that the scan can skip by it.
+
+    Strings need their ``spelling`` (a strftime format that sorts like the dates); without one there is nothing to compare raw.
+    """
+    a, b = (datetime.strptime(d, "%Y%m%d") for d in (first, last))
+    if kind.startswith("timestamp"):
+        return (column >= F.lit(str(a)).cast(kind)) & (column < F.lit(str(b + timedelta(days=1))).cast(kind))
+    if kind == "date":
+        return column.between(F.lit(a.date()), F.lit(b.date()))
+    if kind in ("int", "bigint"):
+        return column.between(F.lit(int(first)).cast(kind), F.lit(int(last)).cast(kind))
+    return None if spelling is None else column.between(F.lit(a.strftime(spelling)), F.lit(b.strftime(spelling)))
+
+
 def step_labels(freq: str, count: int | None = None) -> list[int]:
     """HHMM of each bucket's start; 0, 1, 2... where the count is not the session's."""
     if freq == DAILY:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from gridloom.functions.numeric import beta, clamped, corr, cov, fin, ratio, var_pop
 from gridloom.operators.spec import ASSET, CODE, KEYS, MASK, NUMERIC, CompileError, Operator, check_axis, register
@@ -113,13 +109,9 @@ register(
 # --- transforms ------------------------------------------------------------------------------
 
 
-def _over(s):
-    return lambda c: c.over(s.section())
-
-
 def _zscore(s, x, mask):
     (m,) = _in(mask, x)
-    agg = _over(s)
+    agg = s.stat
     return ratio(x - agg(F.avg(m)), F.sqrt(var_pop(m, agg)))
 
 
@@ -132,33 +124,54 @@ def ranked(s, x, mask=None):
 
 def _winsorize(s, x, mask, lower, upper):
     (m,) = _in(mask, x)
-    lo, hi = (F.percentile(m, float(q)).over(s.section()) for q in (lower, upper))
+    lo, hi = (s.stat(F.percentile(m, float(q))) for q in (lower, upper))
     return F.when(x.isNotNull(), F.when(lo.isNull(), x).otherwise(F.least(F.greatest(x, lo), hi)))
 
 
 def _residual(s, y, e, mask):
     ok = e.isNotNull() & y.isNotNull() & (F.lit(True) if mask is None else F.coalesce(mask, F.lit(False)))
-    a, b = s.temp(F.when(ok, e)), s.temp(F.when(ok, y))
-    agg = _over(s)
+    a, b, agg = F.when(ok, e), F.when(ok, y), s.stat
     slope = F.when(var_pop(a, agg) > 0, ratio(agg(F.covar_pop(a, b)), agg(F.var_pop(a)))).otherwise(F.lit(0.0))
     return F.when(agg(F.count(a)) >= 2, fin(y - agg(F.avg(b)) - slope * (e - agg(F.avg(a)))))
 
 
 def _min_max(s, x, mask):
     (m,) = _in(mask, x)
-    lo, hi = (f(m).over(s.section()) for f in (F.min, F.max))
+    lo, hi = (s.stat(f(m)) for f in (F.min, F.max))
     return F.when(hi - lo > 0, ratio(x - lo, hi - lo))
 
 
-@F.pandas_udf(DoubleType())
-def _inverse_erf(y: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return y.map(lambda v: inv((v + 1) / 2) / 2**0.5, na_action="ignore")
+#: Coefficients of algorithm AS 241 for the normal percentage points, highest power first (fixed values): numerator and
+#: denominator of the centre and of the tails.
+CENTRE = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+TAILS = (
+    (7.7454501427834140764e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+)
+
+
+def _polynomial(r: Column, powers) -> Column:
+    out = F.lit(powers[0])
+    for c in powers[1:]:
+        out = out * r + c
+    return out
+
+
+def _inverse_erf(y: Column) -> Column:
+    """For -0.9999995 to 0.9999995: the normal percentage point of (y + 1) / 2 over the root of two."""
+    q = y / 2
+    near = F.lit(0.180625) - q * q
+    far = F.sqrt(-F.ln(0.5 - F.abs(q))) - 1.6
+    point = F.when(F.abs(q) <= 0.425, q * _polynomial(near, CENTRE[0]) / _polynomial(near, CENTRE[1])).otherwise(F.signum(q) * _polynomial(far, TAILS[0]) / _polynomial(far, TAILS[1]))
+    return point / 2**0.5
 
 
 def _gauss_rank(s, x, mask):
-    y = (ranked(s, x, mask) - 0.5) * 2
-    return _inverse_erf(s.temp(F.when(y.isNotNull(), F.greatest(F.least(y, F.lit(0.999999)), F.lit(-0.999999)))))
+    y = s.temp((ranked(s, x, mask) - 0.5) * 2)
+    return F.when(y.isNotNull(), _inverse_erf(F.greatest(F.least(y, F.lit(0.999999)), F.lit(-0.999999))))
 
 
 def _location_check(p):
@@ -167,15 +180,15 @@ def _location_check(p):
 
 
 register(
-    Operator("cs_zscore", _N, _zscore, optional=_SAMPLE),
+    Operator("cs_zscore", _N, _zscore, optional=_SAMPLE, section=True),
     Operator("rank", _N, ranked, optional=_SAMPLE),
-    Operator("winsorize", _N, _winsorize, params={"lower": 0.01, "upper": 0.99}, optional=_SAMPLE, check=check_axis),
-    Operator("neutralize", _NN, lambda s, x, e, m: _residual(s, x, e, m), optional=_SAMPLE),
-    Operator("ols", _NN, lambda s, x, y, m: _residual(s, y, x, m), optional=_SAMPLE),
-    Operator("cs_min_max_scale", _N, _min_max, optional=_SAMPLE),
+    Operator("winsorize", _N, _winsorize, params={"lower": 0.01, "upper": 0.99}, optional=_SAMPLE, section=True, check=check_axis),
+    Operator("neutralize", _NN, lambda s, x, e, m: _residual(s, x, e, m), optional=_SAMPLE, section=True),
+    Operator("ols", _NN, lambda s, x, y, m: _residual(s, y, x, m), optional=_SAMPLE, section=True),
+    Operator("cs_min_max_scale", _N, _min_max, optional=_SAMPLE, section=True),
     Operator("cs_gauss_rank", _N, _gauss_rank, optional=_SAMPLE),
     Operator("location", _N, lambda s, x, axis: F.when(x.isNotNull(), (F.col(KEYS[axis]) + 1).cast("double")), params={"axis": 1}, check=_location_check),
-    Operator("umr", _NN, lambda s, x, y: fin((x - F.avg(x).over(s.section())) * y)),
+    Operator("umr", _NN, lambda s, x, y: fin((x - s.stat(F.avg(x))) * y), section=True),
     Operator("rank_add", _NN, lambda s, x, y: ranked(s, x) + ranked(s, y)),
     Operator("rank_sub", _NN, lambda s, x, y: ranked(s, x) - ranked(s, y)),
     Operator("rank_mul", _NN, lambda s, x, y: ranked(s, x) * ranked(s, y)),
@@ -201,8 +214,7 @@ def _weighted(x: Column, weight, sel: Column, agg):
 def _group(stat):
     def build(s, x, group, mask, weight):
         inside = group.isNotNull() & (group >= 0) & (F.lit(True) if mask is None else F.coalesce(mask, F.lit(False)))
-        over = s.section(group)
-        total, mean, variance = _weighted(x, weight, inside, lambda c: c.over(over))
+        total, mean, variance = _weighted(x, weight, inside, lambda c: s.stat(c, group))
         out = {"mean": mean, "sum": total, "std": F.sqrt(variance), "demean": fin(x - mean), "zscore": ratio(x - mean, F.sqrt(variance))}[stat]
         return F.when(inside, out)
 
@@ -225,15 +237,15 @@ def _member_reduce(stat):
 def _member_transform(stat):
     def build(s, x, member, mask, weight):
         sel = _member_selection(member, mask)
-        _, mean, variance = _weighted(x, weight, sel, _over(s))
+        _, mean, variance = _weighted(x, weight, sel, s.stat)
         return F.when(sel, fin(x - mean) if stat == "demean" else ratio(x - mean, F.sqrt(variance)))
 
     return build
 
 
 for _stat in ("mean", "sum", "std", "demean", "zscore"):
-    register(Operator(f"group_{_stat}", (NUMERIC, CODE), _group(_stat), optional=_WEIGHTED))
+    register(Operator(f"group_{_stat}", (NUMERIC, CODE), _group(_stat), optional=_WEIGHTED, section=True))
 for _stat in ("mean", "sum", "std"):
     register(Operator(f"member_{_stat}", (NUMERIC, MASK), _member_reduce(_stat), optional=_WEIGHTED, shape="asset", finish=_value))
 for _stat in ("demean", "zscore"):
-    register(Operator(f"member_{_stat}", (NUMERIC, MASK), _member_transform(_stat), optional=_WEIGHTED))
+    register(Operator(f"member_{_stat}", (NUMERIC, MASK), _member_transform(_stat), optional=_WEIGHTED, section=True))

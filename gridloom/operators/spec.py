@@ -37,14 +37,17 @@ class Operator:
     lookback: Callable[[dict], int] = lambda p: 0
     finish: Callable[..., Column] | None = None
     variadic: bool = False
+    section: bool = False  # stands on moments across the assets of a date and step, placed by ``Stage.stat``
     check: Callable[[dict], None] = lambda p: None
 
 
 class Stage:
     """The layout that columns are being built on: window specifications and places for intermediate columns."""
 
-    def __init__(self, add: Callable[[Column], Column]):
+    def __init__(self, add: Callable[[Column], Column], stat: Callable[..., Column] | None = None):
         self.temp = add  # puts a column into the frame and returns a reference, so that a window can stand on a window
+        # an aggregate over all assets of a date and step, or over those with one value of further keys
+        self.stat = stat or (lambda c, *more: c.over(self.section(*more)))
 
     @staticmethod
     def along(axis: int):

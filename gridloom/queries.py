@@ -8,12 +8,15 @@ Results are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.engine import Engine
 from gridloom.formula import FormulaBatch
+from gridloom.functions.calendar import in_days
+from gridloom.operators.cross_section import CENTRE, TAILS
 from gridloom.plans.compiler import Domain
 from gridloom.sources.panel import Panel, TableProvider
 
@@ -25,26 +28,59 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: The panels of a session and folder: their calendar and axes are read once.
+_providers: dict[tuple, TableProvider] = {}
+
+
+def _kept(make):
+    def provider(spark: SparkSession, sf: str) -> TableProvider:
+        key = (make.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _providers:
+            _providers[key] = make(spark, sf)
+        return _providers[key]
+
+    return provider
+
+
+def _between(df: DataFrame, column: str, dates: list[str] | None) -> DataFrame:
+    return df if dates is None else df.filter(in_days(F.col(column), dict(df.dtypes)[column], dates[0], dates[-1]))
+
+
+@_kept
 def events_provider(spark: SparkSession, sf: str) -> TableProvider:
-    events = _table(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd").alias("date"), F.col("user_id").alias("code"), F.expr("hour(ts) div 6").cast("int").alias("step"), "value")
+    raw = _table(spark, sf, "events")
+
+    def events(dates):
+        return _between(raw, "ts", dates).select(F.date_format("ts", "yyyyMMdd").alias("date"), F.col("user_id").alias("code"), F.expr("hour(ts) div 6").cast("int").alias("step"), "value")
+
     both = (F.sum("value").alias("x"), F.count("*").cast("double").alias("y"))
-    users = _table(spark, sf, "events").select(F.col("user_id").alias("code")).distinct()
-    panels = {
-        "daily": Panel(lambda: events.groupBy("date", "code").agg(*both), "stk", fields=("x", "y")),
-        "steps": Panel(lambda: events.groupBy("date", "code", "step").agg(*both), "stk", "60min", 4, fields=("x", "y")),
+    users = raw.select(F.col("user_id").alias("code")).distinct()
+    panels = {  # grouped by their coordinates, so there is nothing to check
+        "daily": Panel(lambda dates=None: events(dates).groupBy("date", "code").agg(*both), "stk", fields=("x", "y"), checked=False, bounded=True),
+        "steps": Panel(lambda dates=None: events(dates).groupBy("date", "code", "step").agg(*both), "stk", "60min", 4, fields=("x", "y"), checked=False, bounded=True),
         "bonds": Panel(lambda: users.select((F.col("code") + 1000).alias("code"), F.pmod(F.col("code") * 7 + 3, F.lit(10)).alias("underlying_stk")), "cb", kinds={"underlying_stk": "code"}, fields=("underlying_stk",), static=True),
     }
-    return TableProvider(spark, panels)
+    days = raw.select(F.date_format("ts", "yyyyMMdd").alias("date"))
+    return TableProvider(spark, panels, days, axes={"stk": users})
 
 
+@_kept
 def lineitem_provider(spark: SparkSession, sf: str) -> TableProvider:
-    items = _table(spark, sf, "lineitem").select(F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("date"), F.col("l_suppkey").alias("code"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"), "l_quantity")
-    sup = _table(spark, sf, "supplier")
+    raw, sup = _table(spark, sf, "lineitem"), _table(spark, sf, "supplier")
+
+    def items(dates=None):
+        # a month's rows are all those up to the day before the next month
+        until = [dates[0], (datetime.strptime(dates[-1], "%Y%m%d") + timedelta(days=31)).strftime("%Y%m%d")] if dates else None
+        d = _between(raw, "l_shipdate", until).select(F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("date"), F.col("l_suppkey").alias("code"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"), "l_quantity")
+        d = d if dates is None else d.filter(F.col("date") <= dates[-1])
+        return d.groupBy("date", "code").agg(F.sum("x").alias("x"), F.sum("l_quantity").alias("y"))
+
     panels = {
-        "monthly": Panel(lambda: items.groupBy("date", "code").agg(F.sum("x").alias("x"), F.sum("l_quantity").alias("y")), "stk", fields=("x", "y")),
+        "monthly": Panel(items, "stk", fields=("x", "y"), checked=False, bounded=True),
         "suppliers": Panel(lambda: sup.select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").cast("long").alias("nation"), F.col("s_acctbal").alias("balance")), "stk", kinds={"nation": "code"}, fields=("nation", "balance"), static=True),
     }
-    return TableProvider(spark, panels)
+    days = raw.select(F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("date"))
+    return TableProvider(spark, panels, days)
 
 
 EVENTS = """
@@ -303,6 +339,29 @@ family(
         "rank_mul_": ("rank_mul(x, y)", f"{_ordinal('x')} * {_ordinal('y')}"), "rank_div_": ("rank_div(x, y)", f"{_ordinal('x')} / {_ordinal('y')}"),
     },
 )
+
+
+def _polynomial(r: str, powers) -> str:
+    out = repr(powers[0])
+    for c in powers[1:]:
+        out = f"({out} * {r} + {c!r})"
+    return out
+
+
+def _inverse_erf(y: str) -> str:
+    """Normal percentage point of (y + 1) / 2 over the root of two, by the same published coefficients."""
+    near, far = f"(0.180625 - {y} * {y} / 4)", f"(sqrt(-ln(0.5 - abs({y}) / 2)) - 1.6)"
+    centre = f"{y} / 2 * {_polynomial(near, CENTRE[0])} / {_polynomial(near, CENTRE[1])}"
+    return f"(CASE WHEN abs({y}) <= 0.85 THEN {centre} ELSE sign({y}) * {_polynomial(far, TAILS[0])} / {_polynomial(far, TAILS[1])} END) / sqrt(2)"
+
+
+family(
+    "fx_gauss_rank",
+    "daily",
+    {name: (f, _inverse_erf(f"greatest(least({v}, 0.999999), -0.999999)") + f" + 0 * {v}") for name, f, v in (("gauss_rank", "cs_gauss_rank(x)", "gx"), ("gauss_rank_masked", "cs_gauss_rank(x, y > 1)", "gm"), ("gauss_rank_ties", "cs_gauss_rank(y)", "gy"))},
+    f", h AS (SELECT *, ({_ordinal('x')} - 0.5) * 2 AS gx, ({_ordinal(_M)} - 0.5) * 2 AS gm, ({_ordinal('y')} - 0.5) * 2 AS gy FROM g)",
+    "h",
+)
 _G = "OVER (PARTITION BY t, s, nation)"
 _WX, _WW = "(CASE WHEN balance > 0 THEN x END)", "(CASE WHEN balance > 0 AND x IS NOT NULL THEN balance END)"
 _IN = "(CASE WHEN balance > 0 THEN x END)"
@@ -401,38 +460,71 @@ def source_point_in_time(spark: SparkSession, sf: str) -> DataFrame:
     return point_in_time(t, "d", "o_custkey", "pub", "ended", "rank", "o_totalprice", 3, 10)
 
 
+def _months(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
+
+
 def source_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """A configured table end to end: a whitelist of fields, a filter, a default for absent rows."""
+    """A configured table end to end: a whitelist of fields, rows that must not repeat, a default for absent ones."""
     from gridloom.sources.catalog import Catalog
 
-    orders = {"path": f"{sf}/orders.parquet", "asset": "stk", "date": "o_orderdate", "code": "o_custkey", "fields": ["o_totalprice"], "filter": "o_orderkey % 7 = 0 AND o_custkey <= 40"}
-    catalog = Catalog(spark, {"orders": orders})
-    p = catalog.panels["orders"]
-    once = lambda t=p.table: t().groupBy("date", "code").agg(F.max("o_totalprice").alias("o_totalprice"))
-    p.table, p.defaults, p.checked = once, {"o_totalprice": 0.0}, True
-    provider = catalog.provider()
+    best = _months(spark, sf).groupBy("month", "o_custkey").agg(F.max("o_totalprice").alias("best"), F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
+    orders = {"frame": best, "asset": "stk", "date": "month", "code": "o_custkey", "fields": ["best", "total"], "defaults": {"best": 0.0}}
+    provider = Catalog(spark, {"orders": orders}, axes={"stk": {"frame": _table(spark, sf, "orders"), "code": "o_custkey"}}).provider()
     days = provider.calendar()
-    out = Engine(spark, provider).compute(FormulaBatch.from_lines('total = ts_sum(get_lf("stk", "o_totalprice"), 3, min_periods=1)'), Domain(days[0], days[-1]))
-    return rounded(out, ["total"])
+    batch = FormulaBatch.from_text('b = get_lf("stk", "best")\nt = get_lf("stk", "total")', {"recent": "recent = ts_sum(b, 3, min_periods=1)", "share": "share = t / cs_sum(t)"})
+    return rounded(Engine(spark, provider).compute(batch, Domain(days[0], days[-1])), ["recent", "share"])
 
 
-def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Six-hour bars by event type, from a stream over the events file."""
-    import os
-    import uuid
+def source_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports known at a date, by get_fund's parameters: each customer's last orders stand for reports published up to a month late."""
+    from pyspark.sql import Window
+
+    from gridloom.sources.catalog import Catalog
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = _months(spark, sf).withColumn("last", F.row_number().over(Window.partitionBy("o_custkey", "month").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))))
+    past = [F.struct(F.lit(r).alias("rank"), F.lag("o_totalprice", r - 1).over(w).alias("price"), F.lag("o_orderkey", r - 1).over(w).alias("key"), F.lag("o_orderdate", r - 1).over(w).alias("ended")) for r in (1, 2, 3, 4)]
+    known = o.withColumn("past", F.array(*past)).select("month", "o_custkey", "last", F.explode("past").alias("p")).filter("last = 1 AND p.key IS NOT NULL").select("month", "o_custkey", "p.rank", "p.price", F.to_date("p.ended").alias("ended"), F.date_add(F.to_date("p.ended"), (F.col("p.key") % 60 - 30).cast("int")).alias("published"))
+    reports = {"frame": known, "asset": "stk", "date": "month", "code": "o_custkey", "fields": ["price"], "reports": ["published", "ended", "rank"]}
+    provider = Catalog(spark, {"reports": reports}).provider()
+    days = provider.calendar()
+    formulas = {"newest": 'o = get_step(get_fund("stk", "price", quarters=3, publ_date_limit=0), 2)', "oldest": 'o = get_step(get_fund("stk", "price", quarters=3, publ_date_limit=0), 0)', "any": 'o = step_sum(get_fund("stk", "price", quarters=2))', "one": 'o = get_fund("stk", "price")'}
+    return rounded(Engine(spark, provider).compute(FormulaBatch.from_text("", formulas), Domain(days[0], days[-1])), list(formulas))
 
-    from gridloom.streaming.bars import step_bars
 
-    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"bars_{os.getpid()}_{uuid.uuid4().hex[:8]}"
-    bars = step_bars(events, "ts", "event_type", "value")
-    q = bars.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyyMMddHH").alias("start"), "code", F.round("x", 6).alias("x"), "y")
+def source_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with outer codes (supplier names), read through the code map; bonds (customers) point to stocks by code."""
+    from gridloom.sources.builders import bond_stocks
+    from gridloom.sources.catalog import Catalog
+
+    supplier, customer = _table(spark, sf, "supplier"), _table(spark, sf, "customer")
+    items = _table(spark, sf, "lineitem").groupBy(F.date_trunc("month", "l_shipdate").alias("month"), "l_suppkey").agg(F.sum("l_quantity").alias("x"))
+    named = items.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").drop("l_suppkey")
+    bonds = bond_stocks(customer, customer.select("c_custkey", (F.col("c_custkey") % 50 + 1).alias("under")), "c_custkey", "c_nationkey", "under", (1, 2, 3))
+    config = {
+        "sales": {"frame": named, "asset": "stk", "date": "month", "code": "s_name", "identity": "outer", "unmatched": "fail"},
+        "bonds": {"frame": bonds, "asset": "cb", "code": "code", "static": True, "rename": {"underlying_stk": "stock"}, "fields": ["underlying_stk"], "kinds": {"underlying_stk": "code"}, "positions": {"underlying_stk": "stk"}},
+    }
+    axes = {"stk": {"frame": supplier, "code": "s_suppkey"}}
+    provider = Catalog(spark, config, axes=axes, codes={"stk": {"frame": supplier, "outer": "s_name", "inner": "s_suppkey"}}).provider()
+    days = provider.calendar()
+    out = Engine(spark, provider).compute(FormulaBatch.from_lines('under = project_stk_to_cb(ts_sum(get_lf("stk", "x"), 2, min_periods=1))'), Domain(days[0], days[-1], asset="cb"))
+    return rounded(out, ["under"])
+
+
+def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-hour bars by event type, from a stream over the events file: closed windows from the sink, open ones from their events."""
+    from gridloom.streaming.bars import stream_to_bars
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    read = lambda reader: reader.schema(schema).option("pathGlobFilter", "events*.parquet")
+    stamped = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
+    bars = stream_to_bars(stamped(read(spark.readStream).parquet(sf)), stamped(spark.read.parquet(f"{sf}/events.parquet")), "ts", "event_type", "value")
+    return bars.select(F.date_format("start", "yyyyMMddHH").alias("start"), "code", F.round("x", 6).alias("x"), "y")
 
 
-QUERIES |= {f.__name__: f for f in (source_as_of, source_any_flag, source_point_in_time, source_catalog, stream_bars)}
+QUERIES |= {f.__name__: f for f in (source_as_of, source_any_flag, source_point_in_time, source_catalog, source_reports, source_codes, stream_bars)}
 ORACLE_SQL |= {
     "source_as_of": """
         WITH o AS (SELECT o_custkey AS key, o_orderdate, max(o_totalprice) AS v FROM orders GROUP BY 1, 2)
@@ -444,9 +536,29 @@ ORACLE_SQL |= {
         FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3
     """,
     "source_catalog": """
-        WITH r AS (SELECT strftime(o_orderdate, '%Y%m%d') AS date, o_custkey AS asset, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey <= 40 GROUP BY 1, 2),
-        g AS (SELECT date, asset, coalesce(v, 0) AS v FROM (SELECT DISTINCT date FROM r) CROSS JOIN (SELECT DISTINCT asset FROM r) LEFT JOIN r USING (date, asset))
-        SELECT date, asset, 0 AS step, round(sum(v) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS total FROM g
+        WITH r AS (SELECT strftime(date_trunc('month', o_orderdate), '%Y%m%d') AS date, o_custkey AS asset, max(o_totalprice) AS b, sum(o_totalprice) AS t FROM orders GROUP BY 1, 2),
+        g AS (SELECT date, asset, coalesce(b, 0) AS b, t FROM (SELECT DISTINCT date FROM r) CROSS JOIN (SELECT DISTINCT asset FROM r) LEFT JOIN r USING (date, asset))
+        SELECT date, asset, 0 AS step, round(sum(b) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS recent, round(t / sum(t) OVER (PARTITION BY date), 6) AS share FROM g
+    """,
+    "source_reports": """
+        WITH o AS (SELECT *, date_trunc('month', o_orderdate) AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+        ends AS (SELECT o_custkey AS c, m, max(n) AS n FROM o GROUP BY 1, 2),
+        known AS (
+            SELECT c, ends.m, ends.n - o.n + 1 AS r, o_totalprice AS v, o_orderkey % 60 - 30 AS late
+            FROM ends JOIN o ON o.o_custkey = c AND o.n BETWEEN ends.n - 3 AND ends.n
+        ),
+        v AS (
+            SELECT c, m, max(v) FILTER (r = 1 AND late >= 0) AS newest, max(v) FILTER (r = 3 AND late >= 0) AS oldest, sum(v) FILTER (r <= 2) AS s, max(v) FILTER (r = 1) AS one FROM known GROUP BY 1, 2
+        )
+        SELECT strftime(d.m, '%Y%m%d') AS date, a.c AS asset, 0 AS step, round(newest, 6) AS newest, round(oldest, 6) AS oldest, round(coalesce(s, 0), 6) AS "any", round(one, 6) AS one
+        FROM (SELECT DISTINCT m FROM ends) d CROSS JOIN (SELECT DISTINCT c FROM ends) a LEFT JOIN v ON v.m = d.m AND v.c = a.c
+    """,
+    "source_codes": """
+        WITH x AS (SELECT date_trunc('month', l_shipdate) AS m, l_suppkey AS s, sum(l_quantity) AS x FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+        g AS (SELECT d.m, s_suppkey AS s, x FROM (SELECT DISTINCT m FROM x) d CROSS JOIN supplier LEFT JOIN x ON x.m = d.m AND x.s = s_suppkey),
+        w AS (SELECT m, s, sum(x) OVER (PARTITION BY s ORDER BY m ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS v FROM g),
+        b AS (SELECT c_custkey AS c, c_custkey % 50 + 1 AS s FROM customer WHERE c_nationkey IN (1, 2, 3))
+        SELECT strftime(d.m, '%Y%m%d') AS date, c AS asset, 0 AS step, round(v, 6) AS under FROM (SELECT DISTINCT m FROM x) d CROSS JOIN b LEFT JOIN w ON w.m = d.m AND w.s = b.s
     """,
     "stream_bars": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y%m%d%H') AS start, event_type AS code, round(sum(value), 6) AS x, count(*) AS y FROM events GROUP BY 1, 2",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: State columns whose 1 makes an asset untradable (fixed values).
@@ -51,28 +51,58 @@ def as_of(rows: DataFrame, events: DataFrame, key: str, at: str, effective: str,
     return stream.withColumn(name, found).filter("__side = 1").select(*rows.columns, name)
 
 
-def any_flag(table: DataFrame, date: str, code: str, columns: tuple[str, ...] = UNTRADABLE, name: str = "untradable") -> DataFrame:
-    """(date, code, mask): whether any state column is 1; a missing state is not."""
-    hit = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{c}`"), F.lit(0)) == 1 for c in columns])
-    return table.select(F.col(date).alias("date"), F.col(code).alias("code"), F.when(hit, 1.0).otherwise(0.0).alias(name))
+def any_flag(table: DataFrame, date: str, code: str, columns: tuple[str, ...] | dict[str, tuple[str, ...]] = UNTRADABLE, name: str = "untradable") -> DataFrame:
+    """(date, code, masks): whether any state column of a mask is 1; a missing state is not."""
+    masks = columns if isinstance(columns, dict) else {name: columns}
 
+    def one(some) -> Column:
+        hit = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{c}`"), F.lit(0)) == 1 for c in some])
+        return F.when(hit, 1.0).otherwise(0.0)
 
-def point_in_time(table: DataFrame, date: str, code: str, published: str, ended: str, rank: str, value: str, quarters: int, limit_days: int = 0) -> DataFrame:
-    """(date, code, step, value): the last ``quarters`` reports known at a date, the oldest at step 0.
+    return table.select(F.col(date).alias("date"), F.col(code).alias("code"), *[one(some).alias(n) for n, some in masks.items()])
+
+
+def point_in_time(table: DataFrame, date: str, code: str, published: str, ended: str, rank: str, values: str | list[str], quarters: int = 1, limit_days: int = -180) -> DataFrame:
+    """(date, code, step, values): the last ``quarters`` reports known at a date, the oldest at step 0.
 
     Reports published earlier than ``limit_days`` after their period's end do not count.
     """
     known = table.filter((F.col(published) >= F.date_add(F.col(ended), limit_days)) & (F.col(rank) >= 1) & (F.col(rank) <= quarters))
-    return known.select(F.col(date).alias("date"), F.col(code).alias("code"), (F.lit(quarters) - F.col(rank)).cast("int").alias("step"), F.col(value).alias(value))
+    names = [values] if isinstance(values, str) else values
+    return known.select(F.col(date).alias("date"), F.col(code).alias("code"), (F.lit(quarters) - F.col(rank)).cast("int").alias("step"), *[F.col(f"`{v}`").alias(v) for v in names])
+
+
+def report_tables(spark: SparkSession, items: DataFrame, name: str, table: str, column: str, settings: dict) -> dict[str, dict]:
+    """Catalog settings of the report tables that a list of items names and that exist with the item's column.
+
+    ``items`` has a row an item: its name, its table and its column there. Every dataset gets ``settings`` besides.
+    """
+    wanted: dict[str, dict[str, str]] = {}
+    for r in items.select(F.col(name).alias("n"), F.col(table).alias("t"), F.col(column).alias("c")).distinct().collect():  # a list of names
+        wanted.setdefault(r.t, {})[r.n] = r.c
+    out = {}
+    for t, fields in sorted(wanted.items()):
+        have = set(spark.table(t).columns) if spark.catalog.tableExists(t) else set()
+        if some := {n: c for n, c in fields.items() if c in have}:
+            out[t] = settings | {"table": t, "fields": sorted(some), "rename": some}
+    return out
+
+
+def bond_stocks(bonds: DataFrame, terms: DataFrame, bond: str, nature: str, stock: str, natures=(10, 29)) -> DataFrame:
+    """(code, stock): the stock under each convertible bond, for bonds of the given natures that both tables have."""
+    kept = bonds.filter(F.col(nature).isin(*natures)).select(F.col(bond).alias("code"))
+    return kept.join(terms.select(F.col(bond).alias("code"), F.col(stock).alias("stock")), "code")
 
 
-def map_codes(rows: DataFrame, codes: DataFrame, dated: bool = False) -> DataFrame:
-    """Rows with their outer code replaced by the inner one; rows without a match are dropped.
+def map_codes(rows: DataFrame, codes: DataFrame, dated: bool = False, strict: bool = False) -> DataFrame:
+    """Rows with their outer code replaced by the inner one; rows without a match are dropped, or fail if ``strict``.
 
-    ``codes`` has (outer, inner), and date if the map changes over time.
+    ``codes`` has (outer, inner), and date if the map changes over time. Codes compare as text.
     """
     keys = ["date", "outer"] if dated else ["outer"]
-    return rows.withColumnRenamed("code", "outer").join(codes, keys).drop("outer").withColumnRenamed("inner", "code")
+    mapped = rows.withColumn("outer", F.col("code").cast("string")).join(codes.withColumn("outer", F.col("outer").cast("string")), keys, "left" if strict else "inner")
+    inner = F.col("inner") if not strict else F.coalesce("inner", F.raise_error(F.concat(F.lit("no inner code for "), F.coalesce("outer", F.lit("NULL")))).cast(dict(codes.dtypes)["inner"]))
+    return mapped.select(*[inner.alias(c) if c == "code" else F.col(f"`{c}`") for c in rows.columns])
 
 
 def dated_files(spark: SparkSession, pattern: str, dates: list[str], code: str, fields: list[str], step: str | None = None, labels: list[int] | None = None) -> DataFrame:

@@ -6,23 +6,29 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import date_key
 from gridloom.operators.spec import ASSET, CODE, DATE, MASK, NUMERIC, STEP, CompileError
 from gridloom.plans.compiler import InputSpec
+from gridloom.sources.builders import point_in_time
 
 
 class SourceError(ValueError):
-    """Rows that break the declared shape: unknown coordinates, coordinates twice, values of another kind."""
+    """A source that cannot be used as it is declared."""
 
 
 @dataclass
 class Panel:
-    """A table of rows (date YYYYMMDD, code[, step position], fields). ``static`` rows have no date and hold for all."""
+    """A table of rows (date YYYYMMDD, code[, step position], fields). ``static`` rows have no date and hold for all.
 
-    table: Callable[[], DataFrame]
+    Rows that break the declared shape fail the query that reads them: a coordinate that comes twice, a day that is not in
+    the calendar, a step outside the axis, a value that its kind does not allow. A panel whose table is grouped by its
+    coordinates cannot have them and may say so by ``checked=False``. Rows of codes that are not asked for are not read.
+    """
+
+    table: Callable[..., DataFrame]  # of the read dates (None: all) if ``bounded``, else of nothing
     asset: str
     freq: str = "1d"
     steps: int = 1
@@ -30,88 +36,149 @@ class Panel:
     defaults: dict[str, float] = field(default_factory=dict)  # value of coordinates that have no row
     fields: tuple[str, ...] = ()
     static: bool = False
-    checked: bool = False  # count repeated and unknown coordinates before use
+    checked: bool = True
+    bounded: bool = False  # the table restricts itself to the dates, on its raw columns
+    reports: tuple[str, str, str] | None = None  # (published, ended, rank): reports whose steps are chosen by the formula
+    positions: dict[str, str] = field(default_factory=dict)  # code field -> asset type on whose axis its codes become positions
+
+    def rows(self, dates: list[str] | None = None) -> DataFrame:
+        if self.bounded:
+            return self.table(dates)
+        return self.table() if dates is None or self.static else self.table().filter(F.col("date").between(dates[0], dates[-1]))
+
+
+#: Parameters of report sources and what they are if a formula does not say.
+REPORTS = {"quarters": 1, "publ_date_limit": -180}
 
 
 class TableProvider:
-    """Panels over any DataFrames (parquet, JDBC, memory): keys are ``asset.freq.field``."""
+    """Panels over any DataFrames (parquet, JDBC, memory): keys are ``asset.freq.field``, with ``|name=value`` for reports.
 
-    def __init__(self, spark: SparkSession, panels: dict[str, Panel], calendar: list | None = None, assets: dict[str, list] | None = None):
-        self.spark, self.panels = spark, panels
-        self._calendar = sorted(map(date_key, calendar)) if calendar is not None else None
-        self._assets = dict(assets or {})
+    The calendar and the assets come from lists, from stored tables (``calendar``: a table with a date column; ``axes``: tables with
+    code, and date where the axis changes over time), or else from the panels' own rows. Each is read once and kept.
+    """
 
-    def _find(self, key: str) -> tuple[Panel, str]:
-        asset, freq, name = key.split("|")[0].split(".", 2)
+    def __init__(self, spark: SparkSession, panels: dict[str, Panel], calendar: list | DataFrame | None = None, assets: dict[str, list] | None = None, axes: dict[str, DataFrame] | None = None):
+        self.spark, self.panels, self.axes = spark, panels, dict(axes or {})
+        self._days = calendar if isinstance(calendar, DataFrame) else None
+        self._calendar = sorted(map(date_key, calendar)) if calendar is not None and self._days is None else None
+        self._assets = dict(assets or {})
+        self._found: dict[tuple, list] = {}
+        self._tables: dict[tuple, DataFrame] = {}
+        self._frozen: dict[str, list] = {}
+
+    def freeze(self, dates: list[str], codes: dict[str, list]) -> None:
+        """The axes of the task, for sources that point into another asset type's axis."""
+        self._frozen = codes
+
+    def _find(self, key: str) -> tuple[Panel, str, dict[str, int]]:
+        plain, *extra = key.split("|")
+        asset, freq, name = plain.split(".", 2)
+        given = dict(x.split("=", 1) for x in extra)
         for p in self.panels.values():
             if (p.asset, p.freq) == (asset, freq) and name in p.fields:
-                return p, name
-        raise CompileError(f"{key} is not a known source")
+                if set(given) - set(REPORTS if p.reports else ()):
+                    raise CompileError(f"{plain} has no parameter {sorted(given)[0]}")
+                try:
+                    params = {k: int(v) for k, v in (REPORTS | given).items()} if p.reports else {}
+                except ValueError:
+                    raise CompileError(f"{key}: parameters are whole numbers") from None
+                if params.get("quarters", 1) < 1:
+                    raise CompileError(f"{key}: quarters must be positive")
+                return p, name, params
+        raise CompileError(f"{plain} is not a known source")
 
     def calendar(self) -> list[str]:
         if self._calendar is None:
-            dated = [p.table().select("date") for p in self.panels.values() if not p.static]
-            self._calendar = sorted(r.date for r in reduce(DataFrame.union, dated).distinct().collect())
+            dated = [self._days.select("date")] if self._days is not None else [p.rows().select("date") for p in self.panels.values() if not p.static]
+            self._calendar = sorted(date_key(r.date) for r in reduce(DataFrame.union, dated).filter("date IS NOT NULL").distinct().collect())
         return self._calendar
 
     def assets(self, asset: str, dates: list[str]) -> list:
         """Codes with a row in the read dates, history included, sorted; or the fixed list."""
         if asset in self._assets:
             return self._assets[asset]
-        found = [p.table().filter(F.lit(True) if p.static else F.col("date").between(dates[0], dates[-1])).select("code") for p in self.panels.values() if p.asset == asset]
-        if not found:
-            raise CompileError(f"no panel of asset type {asset}")
-        return sorted(r.code for r in reduce(DataFrame.union, found).filter("code IS NOT NULL").distinct().collect())
+        key = (asset, dates[0], dates[-1])
+        if key not in self._found:
+            if asset in self.axes:
+                axis = self.axes[asset]
+                found = [(axis.filter(F.col("date").between(dates[0], dates[-1])) if "date" in axis.columns else axis).select("code")]
+            else:
+                found = [p.rows(dates).select("code") for p in self.panels.values() if p.asset == asset]
+            if not found:
+                raise CompileError(f"no panel of asset type {asset}")
+            self._found[key] = sorted(r.code for r in reduce(DataFrame.union, found).filter("code IS NOT NULL").distinct().collect())
+        return self._found[key]
 
     def describe(self, key: str) -> InputSpec:
-        p, name = self._find(key)
-        return InputSpec(p.asset, p.freq, p.steps, p.kinds.get(name, NUMERIC))
+        p, name, params = self._find(key)
+        return InputSpec(p.asset, p.freq, params.get("quarters", p.steps), p.kinds.get(name, NUMERIC))
 
     def same_scan(self, a: str, b: str) -> bool:
-        return self._find(a)[0] is self._find(b)[0]
+        (p, _, x), (q, _, y) = self._find(a), self._find(b)
+        return p is q and x == y
 
     def load(self, keys: list[str], dates: list[str], codes: list, steps: int) -> DataFrame:
-        """Rows on grid positions with a column for each key. Rows of other dates or codes are not read into the grid."""
-        p = self._find(keys[0])[0]
-        rows = p.table()
-        if not p.static:  # reaches the scan
-            rows = rows.filter(F.col("date").between(dates[0], dates[-1]))
-        rows = rows.join(self._axis(codes, "code", ASSET), "code")
-        rows = rows.crossJoin(F.broadcast(self.spark.range(len(dates)).select(F.col("id").cast("int").alias(DATE)))) if p.static else rows.join(self._axis(dates, "date", DATE), "date")
-        step = F.col("step").cast("int") if p.steps > 1 else F.lit(0)
+        """Rows on grid positions with a column for each key."""
+        p, _, params = self._find(keys[0])
         names = {k: self._find(k)[1] for k in keys}
-        out = rows.select(DATE, ASSET, step.alias(STEP), *[F.col(f"`{n}`").alias(k) for k, n in names.items()])
+        rows = p.rows(dates)
+        if p.reports:
+            rows = point_in_time(rows, "date", "code", *p.reports, list(dict.fromkeys(names.values())), params["quarters"], params["publ_date_limit"])
+        stepped = p.steps > 1 or bool(p.reports)
+        rows = rows.join(self._axis(codes, "code", ASSET), "code")
+        given = F.lit(0)
+        if not p.static:
+            rows = rows.join(self._axis(dates, "date", DATE), "date", "left" if p.checked else "inner")
+            given = F.col(DATE)
+        step = F.col("step") if stepped else F.lit(0)
+        kinds = {k: p.kinds.get(n, NUMERIC) for k, n in names.items()}
+        keep = [F.col(f"`{n}`").alias(k) for k, n in names.items()]
         if p.checked:
-            check_rows(out, steps, {k: p.kinds.get(n, NUMERIC) for k, n in names.items()})
+            out = checked_rows(rows, given, step, len(dates), steps, keep, kinds)
+        else:
+            out = rows.select(given.alias(DATE), ASSET, step.cast("int").alias(STEP), *keep)
+        for k, n in names.items():
+            if n in p.positions:
+                axis = self._axis(self._frozen.get(p.positions[n]) or self.assets(p.positions[n], dates), "at_code", "at")
+                out = out.join(axis, F.col(f"`{k}`") == F.col("at_code"), "left").drop(k, "at_code").withColumnRenamed("at", k)
+        if p.static:  # one row an asset, for every date of the task
+            out = out.drop(DATE).crossJoin(F.broadcast(self.spark.range(len(dates)).select(F.col("id").cast("int").alias(DATE))))
         given = {k: p.defaults[n] for k, n in names.items() if n in p.defaults}
         if given:  # a default is for coordinates without a row; a row's own NULL stays
             grid = self.spark.range(len(dates) * len(codes) * steps).select(F.expr(f"id div {len(codes) * steps}").cast("int").alias(DATE), (F.expr(f"id div {steps}") % len(codes)).cast("int").alias(ASSET), (F.col("id") % steps).cast("int").alias(STEP))
             full = grid.join(out.withColumn("__row", F.lit(True)), [DATE, ASSET, STEP], "left")
             out = full.select(DATE, ASSET, STEP, *[(F.when(F.col("__row"), F.col(f"`{k}`")).otherwise(F.lit(given[k])) if k in given else F.col(f"`{k}`")).alias(k) for k in keys])
-        return out
+        return out.select(DATE, ASSET, STEP, *[F.col(f"`{k}`") for k in keys])
 
     def _axis(self, values: list, name: str, position: str) -> DataFrame:
-        """(value, position) of an axis; Spark decides by its size how to join it."""
-        kind = "string" if values and isinstance(values[0], str) else "bigint"
-        return self.spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} {kind}, {position} int")
-
-
-def check_rows(rows: DataFrame, steps: int, kinds: dict[str, str]) -> None:
-    """Fail on a coordinate that comes twice, a step outside the axis, or a value that its kind does not allow."""
-    bad = F.lit(False)
+        """(value, position) of an axis, made once; Spark decides by its size how to join it."""
+        key = (name, len(values), values[0] if values else None, values[-1] if values else None, hash(tuple(values)))
+        if key not in self._tables:
+            kind = "string" if values and isinstance(values[0], str) else "bigint"
+            self._tables[key] = self.spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} {kind}, {position} int")
+        return self._tables[key]
+
+
+def checked_rows(rows: DataFrame, date: Column, step: Column, dates: int, steps: int, values: list[Column], kinds: dict[str, str]) -> DataFrame:
+    """Rows on positions, each coordinate once. What breaks the shape fails the query: the check rides on a grouping by the
+    coordinates, whose partitioning the join with the grid needs anyway, so no second job reads the source."""
+    d = rows.select(date.alias(DATE), ASSET, step.cast("double").alias(STEP), *values)
+    wrong = [(F.col(DATE).isNull(), "a day is not in the calendar")]
+    at = F.col(STEP)
+    wrong.append((at.isNull() | (at != F.floor(at)) | (at < 0) | (at >= steps), "a step is outside the axis"))
     for k, kind in kinds.items():
         c = F.col(f"`{k}`").cast("double")
         if kind == MASK:
-            bad = bad | F.coalesce(~c.isin(0.0, 1.0), F.lit(False))
+            wrong.append((F.coalesce(~c.isin(0.0, 1.0), F.lit(False)), f"{k}: a mask is 0 or 1"))
         elif kind == CODE:
-            bad = bad | F.coalesce(c != F.floor(c), F.lit(False))
-    found = rows.groupBy(DATE, ASSET, STEP).agg(F.count("*").alias("n"), F.max(bad).alias("bad")).agg(F.max("n").alias("n"), F.max("bad").alias("bad"), F.min(STEP).alias("lo"), F.max(STEP).alias("hi")).first()
-    if found.n and found.n > 1:
-        raise SourceError("a coordinate comes twice")
-    if found.n and (found.lo < 0 or found.hi >= steps):
-        raise SourceError("a step is outside the axis")
-    if found.bad:
-        raise SourceError("a value does not fit its kind")
+            wrong.append((F.coalesce(c != F.floor(c), F.lit(False)), f"{k}: a code is a whole number"))
+    first = F.coalesce(*[F.when(c, F.lit(text)) for c, text in wrong])
+    # no null, which a join would drop unseen: an unknown day stands at the last one, which every result has
+    d = d.select(F.coalesce(F.col(DATE), F.lit(dates - 1)).alias(DATE), ASSET, F.coalesce(at.cast("int"), F.lit(0)).alias(STEP), *[F.col(f"`{k}`") for k in kinds], first.alias("__wrong"))
+    g = d.groupBy(DATE, ASSET, STEP).agg(F.count("*").alias("__n"), F.max("__wrong").alias("__wrong"), *[F.first(F.col(f"`{k}`")).alias(k) for k in kinds])
+    problem = F.coalesce("__wrong", F.when(F.col("__n") > 1, F.lit("a coordinate comes twice")))
+    return g.select(DATE, ASSET, STEP, *[F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col(f"`{k}`")).alias(k) for k in kinds])
 
 
 def memory_provider(spark: SparkSession, dates: list, codes: dict[str, list], arrays: dict[str, list], kinds: dict[str, str] | None = None) -> TableProvider:

@@ -7,7 +7,7 @@ from gridloom.engine import Engine
 from gridloom.formula import FormulaBatch
 from gridloom.operators import REGISTRY, CompileError, Operator
 from gridloom.plans.compiler import Domain
-from gridloom.sources.panel import Panel, SourceError, TableProvider, memory_provider
+from gridloom.sources.panel import Panel, TableProvider, memory_provider
 from gridloom.sources.repository import FactorRepository, RepositoryProvider
 
 DAYS = ["20240102", "20240103", "20240104", "20240105", "20240108", "20240109"]
@@ -137,16 +137,31 @@ def test_saved_factors(spark, engine, tmp_path):
 
 
 def test_rows_that_break_their_shape(spark):
-    def provider(rows, kind="numeric", steps=1):
-        df = spark.createDataFrame(rows, "date string, code bigint, step int, v double")
-        return TableProvider(spark, {"p": Panel(lambda: df, "stk", "1d", steps, {"v": kind}, {}, ("v",), checked=True)})
-
-    batch = FormulaBatch.from_lines("o = source('stk.1d.v')")
-    for rows, kind, steps in (([("20240102", 1, 0, 1.0)] * 2, "numeric", 1), ([("20240102", 1, 0, 0.5)], "mask", 1), ([("20240102", 1, 0, 1.5)], "code", 1), ([("20240102", 1, 9, 1.0)], "numeric", 4)):
-        with pytest.raises(SourceError):
-            Engine(spark, provider(rows, kind, steps)).compute(batch, Domain("20240102", "20240102", steps=steps if steps > 1 else None))
-    inf = Engine(spark, provider([("20240102", 1, 0, float("inf")), ("20240102", 2, 0, float("nan"))])).compute(batch, Domain("20240102", "20240102"))
-    assert [r.o for r in inf.collect()] == [None, None]
+    def provider(rows, kind="numeric", steps=1, checked=True, **more):
+        df = spark.createDataFrame(rows, "date string, code bigint, step double, v double")
+        return TableProvider(spark, {"p": Panel(lambda: df, "stk", "1d", steps, {"v": kind}, {}, ("v",), checked=checked)}, **more)
+
+    def result(p, steps=1, end="20240102"):
+        return Engine(spark, p).compute(FormulaBatch.from_lines("o = source('stk.1d.v')"), Domain("20240102", end, steps=steps if steps > 1 else None)).collect()
+
+    one = ("20240102", 1, 0.0, 1.0)
+    for rows, kind, steps, text in (
+        ([one] * 2, "numeric", 1, "a coordinate comes twice"), ([one, ("20240102", 1, 0.0, None)], "numeric", 1, "a coordinate comes twice"), ([("20240102", 1, 0.0, 0.5)], "mask", 1, "a mask is 0 or 1"),
+        ([("20240102", 1, 0.0, 1.5)], "code", 1, "a code is a whole number"), ([("20240102", 1, 9.0, 1.0)], "numeric", 4, "a step is outside"), ([("20240102", 1, 0.5, 1.0)], "numeric", 4, "a step is outside"), ([("20240102", 1, None, 1.0)], "numeric", 4, "a step is outside"),
+    ):
+        with pytest.raises(Exception, match=text):
+            result(provider(rows, kind, steps), steps)
+    with pytest.raises(Exception, match="a day is not in the calendar"):
+        result(provider([one, ("20240103", 1, 0.0, 1.0), ("20240104", 1, 0.0, 1.0)], calendar=["20240102", "20240104"]), end="20240104")
+    # opted out: the rows are taken as they are
+    assert len(result(provider([one] * 2, checked=False))) == 2
+    # codes that are not asked for are not read, and rows outside the dates neither
+    assert [r.o for r in result(provider([one, ("20240102", 99, 0.0, 5.0), ("20250102", 1, 0.0, 5.0)], assets={"stk": [1]}))] == [1.0]
+    assert [r.o for r in result(provider([("20240102", 1, 0.0, float("inf")), ("20240102", 2, 0.0, float("nan"))]))] == [None, None]
+    twice = spark.createDataFrame([(1, 2.0), (1, 3.0)], "code bigint, v double")
+    static = TableProvider(spark, {"p": Panel(lambda: twice, "stk", fields=("v",), static=True)}, calendar=["20240102"])
+    with pytest.raises(Exception, match="a coordinate comes twice"):
+        result(static)
 
 
 def test_order_and_partitions_do_not_matter(spark):
@@ -159,9 +174,61 @@ def test_order_and_partitions_do_not_matter(spark):
     assert out[0] == out[1]
 
 
-def test_history_filter_reaches_the_scan(spark):
-    from gridloom.queries import _table
-
-    df = _table(spark, "/root/testdata/sf0.001", "orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.col("o_custkey").alias("code"), "o_totalprice")
-    plan = df.filter(F.col("code") < 10).select("code")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_custkey:bigint>" in plan and "PushedFilters" in plan
+def physical(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_date_range_reaches_the_scan(spark):
+    """The scan skips by the raw date column, in its own type, history included."""
+    from gridloom.queries import events_provider
+    from gridloom.sources.catalog import Catalog
+
+    sf = "/root/testdata/sf0.001"
+    p = events_provider(spark, sf)
+    days = p.calendar()
+    plan = physical(Engine(spark, p).compute(FormulaBatch.from_lines('o = ts_mean(get_lf("stk", "x"), 3)'), Domain(days[5], days[6])))
+    day = lambda d: f"{d[:4]}-{d[4:6]}-{d[6:]}"
+    assert f"GreaterThanOrEqual(ts,{day(days[3])}" in plan and f"LessThan(ts,{day(days[7])}" in plan
+    assert "array(2" not in plan and "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+    orders = {"path": f"{sf}/orders.parquet", "asset": "stk", "date": "o_orderdate", "code": "o_orderkey", "fields": ["o_totalprice"], "filter": "o_orderstatus = 'F'"}
+    provider = Catalog(spark, {"orders": orders}).provider(assets={"stk": [1, 2, 3]})
+    days = provider.calendar()
+    plan = physical(Engine(spark, provider).compute(FormulaBatch.from_lines('o = get_lf("stk", "o_totalprice")'), Domain(days[10], days[12])))
+    assert f"GreaterThanOrEqual(o_orderdate,{day(days[10])}" in plan and "EqualTo(o_orderstatus,F)" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
+
+
+def test_axes_are_read_once(spark):
+    seen = []
+    df = spark.createDataFrame([(d, a, 1.0) for d in DAYS for a in (1, 2)], "date string, code bigint, v double")
+    p = TableProvider(spark, {"p": Panel(lambda: seen.append(1) or df, "stk", fields=("v",))})
+    e, batch = Engine(spark, p), FormulaBatch.from_lines("o = source('stk.1d.v')")
+    e.compile(batch, Domain(DAYS[0], DAYS[-1]))
+    n = len(seen)
+    e.compile(batch, Domain(DAYS[0], DAYS[-1]))
+    assert len(seen) == n
+    stored = TableProvider(spark, {"p": Panel(lambda: seen.append(1) or df, "stk", fields=("v",))}, df.select("date"), axes={"stk": df.select("code", "date")})
+    Engine(spark, stored).compile(batch, Domain(DAYS[0], DAYS[-1]))
+    assert len(seen) == n  # stored axes: the panel itself is not read to plan
+
+
+def test_moments_across_assets_need_no_window(engine):
+    """Partial sums and a join; only ranks and terms that stand on such a join order whole dates."""
+    head = 'x = source("stk.1d.x")\nr = source("stk.1d.r")\nm = source("stk.1d.m")\nc = source("stk.1d.c")'
+    flat = {"z": "o = cs_zscore(x)", "w": "o = winsorize(x)", "n": "o = neutralize(x, r)", "o": "o = ols(x, r, m)", "s": "o = cs_min_max_scale(r)", "u": "o = umr(x, r)", "g": "o = group_zscore(x, c)", "d": "o = member_demean(x, m)"}
+    plan = physical(engine.compute(FormulaBatch.from_text(head, flat), Domain(DAYS[0], DAYS[-1])))
+    assert "Window" not in plan
+    deep = engine.compute(FormulaBatch.from_text(head, flat | {"zz": "o = cs_zscore(winsorize(cs_zscore(x)))"}), Domain(DAYS[0], DAYS[-1]))
+    text = physical(deep)
+    assert "Window" in text and text.count("Range (") <= 4
+    got = {(r.date, r.asset): r for r in deep.collect()}
+    assert got[DAYS[0], 1].zz == pytest.approx(-1) and got[DAYS[0], 2].z == pytest.approx(1) and got[DAYS[2], 1].s == 0.0 and got[DAYS[0], 2].u == pytest.approx(3.5 * 5)
+
+
+def test_inverse_erf(spark):
+    from gridloom.operators.cross_section import _inverse_erf
+
+    values = [k / 500 for k in range(-499, 500)] + [0.999999, -0.999999, 0.85, 0.8500001]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", _inverse_erf(F.col("v")).alias("e")).collect()
+    assert all(math.erf(r.e) == pytest.approx(r.v, abs=1e-13) for r in got)
