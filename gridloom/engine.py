@@ -13,7 +13,7 @@ such a join in turn take windows, which share one shuffle, so no frame is read m
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +28,22 @@ SMALL = 200_000
 TYPES = {MASK: "boolean", CODE: "bigint"}
 
 
+@dataclass
+class ExecutionStats:
+    """What the last ``compute`` planned. ``loads`` has an event a scan: its keys, dates, assets and steps."""
+
+    formulas: int = 0
+    terms: int = 0  # after equal ones were merged
+    lookback: int = 0
+    groupings: int = 0  # reductions and moments that share one count once
+    peak_values: int = 0  # cells of all columns of the largest frame
+    loads: list[dict] = field(default_factory=list)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, provider, operators: dict[str, Operator] | None = None):
         self.spark, self.provider = spark, provider
+        self.stats = ExecutionStats()
         self.compiler = Compiler(provider, operators)
 
     def compile(self, batch: FormulaBatch, domain: Domain) -> Plan:
@@ -38,7 +51,12 @@ class Engine:
 
     def compute(self, batch: FormulaBatch, domain: Domain) -> DataFrame:
         """date, asset, step and a column for each formula, over the whole output grid."""
-        return _Run(self, self.compile(batch, domain)).result()
+        run = _Run(self, self.compile(batch, domain))
+        out = run.result()
+        plan = run.plan
+        cells = max((len(plan.dates) * a * s * (len(names) - len(KEYS)) for (a, s), names in run.names.items()), default=0)
+        self.stats = ExecutionStats(len(plan.outputs), len(plan.order), plan.lookback, run.groupings, cells, run.loads)
+        return out
 
     def stream(self, batch: FormulaBatch, domain: Domain, chunk_dates: int) -> Iterator[DataFrame]:
         """The same result in runs of ``chunk_dates`` dates, each reading its own history."""
@@ -58,7 +76,8 @@ class _Run:
         self.pending: dict[tuple[int, int], dict[str, Column]] = {}  # columns that stand on columns already there
         self.joined: set[tuple[int, int]] = set()  # frames that have met a grouping of themselves
         self.done: set[str] = set()
-        self.temps = 0
+        self.temps = self.groupings = 0
+        self.loads: list[dict] = []
 
     # --- frames -----------------------------------------------------------------------------
 
@@ -125,9 +144,14 @@ class _Run:
 
     # --- terms ------------------------------------------------------------------------------
 
+    def _turn(self, t: Term) -> int:
+        """What is made first: the later reductions and moments come, the more of them share a grouping."""
+        if t.op == "source":
+            return 0
+        op = self.engine.compiler.operators[t.op]
+        return 1 if op.shape == "same" and not op.section else 3 if op.section else 2
+
     def evaluate(self, t: Term) -> None:
-        if t.id in self.done or t.layout is None:
-            return
         self.done.add(t.id)
         size, params = (t.layout.assets, t.layout.steps), dict(t.params)
         if t.op == "source":
@@ -147,12 +171,14 @@ class _Run:
 
     def section(self, first: Term, size: tuple[int, int]) -> None:
         """All terms that can be made now from moments across the assets of a date and step share one grouping for each set of keys."""
-        terms = [first]
-        for t in self.plan.order:
+        known = self.done - {first.id}
+
+        def now(t: Term) -> bool:
             o = self.engine.compiler.operators.get(t.op)
-            if o and o.section and t.id not in self.done and t.layout and (t.layout.assets, t.layout.steps) == size and all(a is None or a.layout is None or a.id in self.done for a in t.args):
-                terms.append(t)
-                self.done.add(t.id)
+            return bool(o and o.section and t.id not in known and t.layout) and (t.layout.assets, t.layout.steps) == size and all(a is None or a.layout is None or a.id in known for a in t.args)
+
+        terms = [t for t in self.plan.order if now(t)]
+        self.done |= {t.id for t in terms}
         self.frame(size)
         self.joined.add(size)
         self.bring([a for t in terms for a in t.args], size)
@@ -171,6 +197,7 @@ class _Run:
         out = base
         for names, stats in wanted.items():
             right = base.groupBy(DATE, STEP, *names).agg(*stats)
+            self.groupings += 1
             few = not names and len(self.plan.dates) * size[1] <= SMALL
             out = out.join(F.broadcast(right) if few else right, [DATE, STEP, *names], "left")
         self.frames[size] = out.select(*self.names[size], *[c.alias(name) for name, c in made.items()])
@@ -198,6 +225,7 @@ class _Run:
         keys = [DATE, STEP] if op.shape == "asset" else [DATE, ASSET]
         aggregates = [c.alias(f"{t.id}_{name}") for t, _, got in built for name, c in got.items()]
         made = self.frame(source).groupBy(*keys).agg(*aggregates)
+        self.groupings += 1
         if target in self.frames:
             self._join(target, made, keys, len(self.plan.dates) * target[0] * target[1])
         else:  # every date is there already
@@ -249,7 +277,9 @@ class _Run:
                     self.done.add(u.id)
         if hasattr(self.engine.provider, "freeze"):
             self.engine.provider.freeze(self.plan.dates, self.plan.codes)
-        rows = self.engine.provider.load([k for _, k, _ in group], self.plan.dates, self.plan.codes[t.layout.asset], t.layout.steps)
+        codes = self.plan.codes[t.layout.asset]
+        self.loads.append({"keys": [k for _, k, _ in group], "first": self.plan.dates[0], "last": self.plan.dates[-1], "assets": len(codes), "steps": t.layout.steps})
+        rows = self.engine.provider.load([k for _, k, _ in group], self.plan.dates, codes, t.layout.steps)
         cast = lambda k, kind: fin(F.col(f"`{k}`").cast("double")) if kind not in TYPES else F.col(f"`{k}`").cast(TYPES[kind])
         rows = rows.select(*KEYS, *[cast(k, kind).alias(name) for name, k, kind in group])
         self._join(size, rows, list(KEYS), len(self.plan.dates) * size[0] * size[1])
@@ -258,8 +288,9 @@ class _Run:
 
     def result(self) -> DataFrame:
         plan = self.plan
-        for t in plan.order:
-            self.evaluate(t)
+        while waiting := [t for t in plan.order if t.id not in self.done and t.layout is not None]:
+            ready = [t for t in waiting if all(a is None or a.layout is None or a.id in self.done for a in t.args)]
+            self.evaluate(min(ready, key=self._turn))  # the first of its kind
         size = (len(plan.codes[plan.domain.asset]), len(plan.steps))
         self.bring(plan.outputs.values(), size)
         out = self.frame(size).filter(F.col(DATE) >= plan.first)

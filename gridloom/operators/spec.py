@@ -19,6 +19,10 @@ class CompileError(ValueError):
     """A batch that cannot be planned."""
 
 
+class DomainError(CompileError):
+    """Dates, assets or steps that the sources do not have."""
+
+
 @dataclass(frozen=True)
 class Operator:
     """``build`` gets a Stage, the input columns (None for an optional one not given) and the parameters.

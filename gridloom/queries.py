@@ -2,7 +2,7 @@
 
 Panels: EV, events by day and user (x = sum of value, y = count); EV4, the same by quarter of the day as four session
 steps; LI, line items by month and supplier with nation (group), balance (weight) and positive balance (member).
-Results are rounded to six places on both sides.
+Results are rounded to six places on both sides, sums of millions to four.
 """
 
 from __future__ import annotations
@@ -123,12 +123,12 @@ _PANELS = {
 }
 
 
-def rounded(df: DataFrame, names) -> DataFrame:
+def rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select("date", "asset", "step", *[(F.round(n, 6) if kinds[n] == "double" else F.col(n)).alias(n) for n in names])
+    return df.select("date", "asset", "step", *[(F.round(n, digits) if kinds[n] == "double" else F.col(n)).alias(n) for n in names])
 
 
-def family(name: str, panel: str, columns: dict[str, tuple[str, str]], more: str = "", output: str = "g", masks: tuple[str, ...] = (), freq: str | None = None, asset: str = "stk", select: str | None = None) -> None:
+def family(name: str, panel: str, columns: dict[str, tuple[str, str]], more: str = "", output: str = "g", masks: tuple[str, ...] = (), freq: str | None = None, asset: str = "stk", select: str | None = None, digits: int = 6) -> None:
     """Register a batch: column -> (formula, SQL over g). ``more`` holds CTEs after g, ``output`` the one to select from."""
     provider, sql, inputs, own_freq = _PANELS[panel]
 
@@ -136,10 +136,10 @@ def family(name: str, panel: str, columns: dict[str, tuple[str, str]], more: str
         p = provider(spark, sf)
         days = p.calendar()
         batch = FormulaBatch.from_text(inputs, {k: f if "\n" in f or " = " in f else f"out = {f}" for k, (f, _) in columns.items()})
-        return rounded(Engine(spark, p).compute(batch, Domain(days[0], days[-1], asset=asset, freq=freq or own_freq)), columns)
+        return rounded(Engine(spark, p).compute(batch, Domain(days[0], days[-1], asset=asset, freq=freq or own_freq)), columns, digits)
 
     QUERIES[name] = query
-    places = [f"{v} AS {k}" if k in masks else f"round(CASE WHEN isfinite(({v})::DOUBLE) THEN ({v})::DOUBLE END, 6) AS {k}" for k, (_, v) in columns.items()]
+    places = [f"{v} AS {k}" if k in masks else f"round(CASE WHEN isfinite(({v})::DOUBLE) THEN ({v})::DOUBLE END, {digits}) AS {k}" for k, (_, v) in columns.items()]
     ORACLE_SQL[name] = f"WITH {sql}{more} SELECT {select or 'date, asset, step'}, {', '.join(places)} FROM {output}"
 
 
@@ -377,6 +377,7 @@ family(
         "member_demean_": ("member_demean(x, balance > 0)", f"CASE WHEN balance > 0 THEN x - avg({_IN}) {CS} END"), "member_zscore_": ("member_zscore(x, balance > 0)", f"CASE WHEN balance > 0 THEN (x - avg({_IN}) {CS}) / nullif(sqrt({_var(_IN, CS)}), 0) END"),
         "index_member_stat_": ('index_member_stat(x, balance > 0, method="sum")', f"sum({_IN}) {CS}"),
     },
+    digits=4,  # sums of some ten millions
 )
 
 # --- steps -------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,31 +12,65 @@ from gridloom.operators.spec import ASSET, DATE, MASK, NUMERIC, STEP, CompileErr
 from gridloom.plans.compiler import Domain, InputSpec
 
 
+class RepositoryError(ValueError):
+    """A factor that cannot be saved or is not there."""
+
+
 class FactorRepository:
-    """One Parquet folder a factor, partitioned by date, with its shape in a JSON table beside it."""
+    """One folder a factor: values by date in Parquet, its coordinates in a table beside them, its shape as JSON.
+
+    A factor is written into a folder of its own and takes its name by one rename, so it is there whole or not at all.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _path(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def exists(self, name: str) -> bool:
+        files, path = self._path(f"{self.path}/{name}")
+        return files.exists(path)
+
     def save(self, result: DataFrame, name: str, domain: Domain, steps: int) -> None:
         """Store the column ``name`` of a result. An existing factor is not overwritten."""
+        if not name or set(name) & set("/\\") or name.startswith(("_", ".")):
+            raise RepositoryError(f"{name!r} is no name for a factor")
+        if self.exists(name):
+            raise RepositoryError(f"{name} already exists")
         kind = MASK if dict(result.dtypes)[name] == "boolean" else NUMERIC
-        rows = result.select("date", "asset", "step", F.col(name).alias("value"))
-        rows.repartition("date").write.mode("errorifexists").partitionBy("date").parquet(f"{self.path}/{name}/values")
-        shape = json.dumps({"asset": domain.asset, "freq": domain.freq, "steps": steps, "kind": kind})
-        self.spark.createDataFrame([(shape,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/{name}/shape")
+        staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        files, there = self._path(staging)
+        try:
+            rows = result.select("date", "asset", "step", F.col(name).alias("value"))
+            rows.repartition("date").write.partitionBy("date").parquet(f"{staging}/values")
+            saved = self.spark.read.schema(f"asset {dict(rows.dtypes)['asset']}, step int, value {dict(rows.dtypes)['value']}, date string").parquet(f"{staging}/values")
+            axes = [saved.select(F.lit(axis).alias("axis"), F.col(axis).cast("string").alias("value")).distinct() for axis in ("date", "asset", "step")]
+            coordinates = axes[0].union(axes[1]).union(axes[2])
+            coordinates.coalesce(1).write.parquet(f"{staging}/axes")
+            shape = json.dumps({"asset": domain.asset, "freq": domain.freq, "steps": steps, "kind": kind, "code": dict(rows.dtypes)["asset"]})
+            self.spark.createDataFrame([(shape,)], "value string").coalesce(1).write.text(f"{staging}/shape")
+            if not files.rename(there, self._path(f"{self.path}/{name}")[1]):
+                raise RepositoryError(f"{name} already exists")
+        finally:
+            files.delete(there, True)
 
     def shape(self, name: str) -> dict:
+        if not self.exists(name):
+            raise RepositoryError(f"no factor {name}")
         return json.loads(self.spark.read.text(f"{self.path}/{name}/shape").first()[0])
 
+    def axis(self, name: str, axis: str) -> list[str]:
+        """The saved dates, assets or steps, as text."""
+        return sorted(r.value for r in self.spark.read.parquet(f"{self.path}/{name}/axes").filter(F.col("axis") == axis).collect())
+
     def load(self, name: str, dates: list[str] | None = None) -> DataFrame:
         """date, asset, step, value; only the folders of the dates are read."""
-        df = self.spark.read.option("basePath", f"{self.path}/{name}/values").schema(f"asset {self._code(name)}, step int, value {'boolean' if self.shape(name)['kind'] == MASK else 'double'}, date string").parquet(f"{self.path}/{name}/values")
+        shape = self.shape(name)
+        df = self.spark.read.schema(f"asset {shape['code']}, step int, value {'boolean' if shape['kind'] == MASK else 'double'}, date string").parquet(f"{self.path}/{name}/values")
         return df if dates is None else df.filter(F.col("date").between(dates[0], dates[-1]))
 
-    def _code(self, name: str) -> str:
-        return dict(self.spark.read.parquet(f"{self.path}/{name}/values").dtypes)["asset"]
-
 
 class RepositoryProvider:
     """Another provider's sources and the saved factors, as ``factor:name``."""
@@ -46,6 +81,10 @@ class RepositoryProvider:
     def calendar(self):
         return self.base.calendar()
 
+    def freeze(self, dates: list[str], codes: dict[str, list]) -> None:
+        if hasattr(self.base, "freeze"):
+            self.base.freeze(dates, codes)
+
     def assets(self, asset: str, dates: list[str]) -> list:
         return self.base.assets(asset, dates)
 
@@ -59,14 +98,18 @@ class RepositoryProvider:
         return not (a.startswith("factor:") or b.startswith("factor:")) and self.base.same_scan(a, b)
 
     def load(self, keys: list[str], dates: list[str], codes: list, steps: int) -> DataFrame:
+        """Rows on grid positions. Every date, asset and step that is read must have been saved."""
         if not keys[0].startswith("factor:"):
             return self.base.load(keys, dates, codes, steps)
-        rows = self.repository.load(keys[0][7:], dates)
-        have = {r.date for r in rows.select("date").distinct().collect()}
-        if set(dates) - have:
-            raise CompileError(f"{keys[0]} has no {sorted(set(dates) - have)[0]}")
+        name = keys[0][7:]
+        for axis, wanted in (("date", dates), ("asset", list(map(str, codes)))):
+            if missing := sorted(set(wanted) - set(self.repository.axis(name, axis))):
+                raise CompileError(f"{keys[0]} has no {axis} {missing[0]}")
+        order = sorted(map(int, self.repository.axis(name, "step")))
+        if len(order) != steps:
+            raise CompileError(f"{keys[0]} has {len(order)} steps, not {steps}")
+        rows = self.repository.load(name, dates)
         kind = dict(rows.dtypes)["asset"]
         axis = lambda values, name, to, t: self.base.spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} {t}, {to} int")
-        order = sorted(r.step for r in rows.select("step").distinct().collect())
         out = rows.join(axis(codes, "asset", ASSET, kind), "asset").join(axis(dates, "date", DATE, "string"), "date").join(axis(order, "step", "__step", "int"), "step")
         return out.select(DATE, ASSET, F.col("__step").alias(STEP), F.col("value").alias(keys[0]))

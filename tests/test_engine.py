@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from gridloom.engine import Engine
 from gridloom.formula import FormulaBatch
 from gridloom.operators import REGISTRY, CompileError, Operator
+from gridloom.operators.spec import DomainError
 from gridloom.plans.compiler import Domain
 from gridloom.sources.panel import Panel, TableProvider, memory_provider
-from gridloom.sources.repository import FactorRepository, RepositoryProvider
+from gridloom.sources.repository import FactorRepository, RepositoryError, RepositoryProvider
 
 DAYS = ["20240102", "20240103", "20240104", "20240105", "20240108", "20240109"]
 X = [[3, 10], [1, None], [2, 30], [5, 40], [4, None], [6, 60]]
@@ -129,11 +130,43 @@ def test_saved_factors(spark, engine, tmp_path):
     repo = FactorRepository(spark, f"file://{tmp_path}/factors")
     domain = Domain(DAYS[0], DAYS[-1])
     repo.save(engine.compute(FormulaBatch.from_lines("s = ts_sum(source('stk.1d.x'), 2, min_periods=1)"), domain), "s", domain, 1)
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(RepositoryError, match="already exists"):
         repo.save(engine.compute(FormulaBatch.from_lines("s = source('stk.1d.x')"), domain), "s", domain, 1)
     e = Engine(spark, RepositoryProvider(engine.provider, repo))
     got = e.compute(FormulaBatch.from_lines("d = load_factor('s') - source('stk.1d.x')"), domain).collect()
     assert {(r.date, r.asset): r.d for r in got}[DAYS[2], 2] == 0 and {(r.date, r.asset): r.d for r in got}[DAYS[2], 1] == 1
+    with pytest.raises(RepositoryError, match="no factor"):
+        e.compute(FormulaBatch.from_lines("d = load_factor('nothing')"), domain)
+
+
+def test_a_factor_is_saved_whole_or_not_at_all(spark, engine, tmp_path):
+    repo = FactorRepository(spark, f"file://{tmp_path}/factors")
+    domain = Domain(DAYS[0], DAYS[-1])
+    result = engine.compute(FormulaBatch.from_lines("s = source('stk.1d.x')"), domain)
+    with pytest.raises(Exception, match="halfway"):
+        repo.save(result.withColumn("s", F.when(F.col("date") == DAYS[-1], F.raise_error(F.lit("halfway"))).otherwise(F.col("s"))), "s", domain, 1)
+    assert not repo.exists("s") and not list(tmp_path.glob("factors/[!.]*"))
+    repo.save(result.filter(F.col("date") < DAYS[-1]), "s", domain, 1)
+    e = Engine(spark, RepositoryProvider(engine.provider, repo))
+    with pytest.raises(CompileError, match=f"no date {DAYS[-1]}"):
+        e.compute(FormulaBatch.from_lines("d = load_factor('s')"), domain)
+    repo.save(result.filter("asset = 1").withColumnRenamed("s", "one"), "one", domain, 1)
+    with pytest.raises(CompileError, match="no asset 2"):
+        e.compute(FormulaBatch.from_lines("d = load_factor('one')"), domain)
+    assert e.compute(FormulaBatch.from_lines("d = load_factor('one')"), Domain(DAYS[0], DAYS[-1], assets=[1])).count() == 6
+    with pytest.raises(RepositoryError):
+        repo.save(result, "../s", domain, 1)
+
+
+def test_stats_and_errors(spark, engine):
+    batch = FormulaBatch.from_text('x = source("stk.1d.x")\nr = source("stk.1d.r")', {"a": "o = cs_zscore(ts_mean(x, 3))", "b": "o = cs_mean(x) + cs_max(r) + cs_zscore(r)"})
+    engine.compute(batch, Domain(DAYS[2], DAYS[5]))
+    s = engine.stats
+    assert (s.formulas, s.lookback, s.groupings) == (2, 2, 2) and s.terms == 9 and s.peak_values > 0
+    assert [e["keys"] for e in s.loads] == [["stk.1d.x"], ["stk.1d.r"]] and s.loads[0]["first"] == DAYS[0] and s.loads[0]["assets"] == 2
+    for domain in (Domain("20230101", "20230102"), Domain(DAYS[0], DAYS[1], assets=[7]), Domain(DAYS[0], DAYS[1], freq="7min")):
+        with pytest.raises(DomainError):
+            engine.compute(batch, domain)
 
 
 def test_rows_that_break_their_shape(spark):
