@@ -57,3 +57,33 @@ def test_industry_and_index_helpers(engine):
     batch = FormulaBatch.from_text('x = get_lf("stk", "x")', {"m": "o = industry_mean(x)", "s": 'o = industry_stat(x, method="sum", level=1)', "i": 'o = x - broadcast_index_feature(500, "level")'})
     df = engine.compute(batch, Domain(*DAYS))
     assert values(df, "m")[DAYS[1], 1, 0] == 4 and values(df, "s")[DAYS[0], 3, 0] == 4 and values(df, "i")[DAYS[0], 2, 0] == -198
+
+
+def test_features_run_saved_and_kept(spark, engine, tmp_path):
+    from gridloom.plans.features import FeatureManager
+    from gridloom.sources.repository import FactorRepository
+
+    lib = FeatureLibrary()
+    lib.define("close", 'out = get_lf("stk", "x")', alias="c")
+    lib.define("spread", 'out = feature("c") - cs_mean(feature("c"))')
+    lib.define("change", 'out = ts_diff(feature("spread"), 1)')
+    m = FeatureManager(engine, lib, FactorRepository(spark, f"file://{tmp_path}/saved"))
+    assert m.needs("change") == ["close", "spread", "change"] and m.needs("c") == ["close"]
+    plain = sorted(map(tuple, m.execute(["spread", "change"], Domain(*DAYS)).collect()), key=str)
+    assert len(plain) == 6 and not m.repository.exists("close")
+    for chunk in (None, 1):
+        own = FeatureManager(engine, lib, FactorRepository(spark, f"file://{tmp_path}/saved{chunk}"))
+        last = Domain(DAYS[1], DAYS[1])
+        got = own.execute(["spread", "change"], last, materialise=True, chunk_dates=chunk)
+        assert sorted(map(tuple, got.collect()), key=str) == [r for r in plain if r[0] == DAYS[1]]
+        assert all(own.repository.exists(k) for k in ("close", "spread", "change"))
+        again = own.execute(["spread"], last, materialise=True)
+        assert own.engine.stats.loads[0]["keys"] == ["factor:spread"] and again.count() == 3
+    kept = m.keep(["c"], Domain(*DAYS))
+    assert kept.is_cached and m.execute(["close"], Domain(*DAYS)) is kept
+    m.drop()
+    assert not kept.is_cached and m.execute(["close"], Domain(*DAYS)) is not kept
+    lib.define("a", 'out = feature("b")')
+    lib.define("b", 'out = feature("a")')
+    with pytest.raises(FormulaError, match="circle"):
+        m.execute(["a"], Domain(*DAYS))
