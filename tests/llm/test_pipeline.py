@@ -39,3 +39,57 @@ def test_every_stage_works_on_what_is_left(spark, tmp_path):
             at += length
         assert at <= 1024
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept)
+
+
+CLASHING = ["row", "kept", "score", "places", "starts", "ids", "length", "task", "rank", "at", "words", "b", "t", "toxic", "spans", "rep", "comp", "__doc_id", "__row", "__gone", "trusted_id", "doc_id2"]
+
+
+def messy(spark):
+    clean = " ".join(f"word{k % 37} and{k % 11} more{k % 5}" for k in range(60))
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = [
+        (1, clean), (1, clean), (2, clean), (3, None), (4, ""), (5, " \n\t"), (None, clean), (6, passage + " " + clean[:400] + " call +1 (415) 555-1234"), (7, "own words first " + " ".join(f"tale{k}" for k in range(80)) + "\n" + passage),
+        (8, "x" * 60_000), (9, "é🙂 " * 5000 + " ".join(f"long{k}" for k in range(4000))), (10, "a@b.cd " + " ".join(f"mail{k}" for k in range(70))),
+    ]
+    df = spark.createDataFrame([(d, t, "en", "s1", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", *[f"concat('{c}', coalesce(cast(doc_id AS string), '')) AS `{c}`" for c in CLASHING])
+
+
+def test_stages_on_awkward_rows(spark, monkeypatch):
+    """Nulls, empty and very long texts, repeated rows and ids, columns of any name: every stage keeps columns and says what stays."""
+    docs = messy(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 1, 0), (7, 1, 0), (9, 1, 0), (10, 1, 0), (None, 1, None), (3, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(C, "read_table", lambda *_: labels)
+    stages = dict(C.STAGES)
+
+    def same_columns(out, before):
+        assert out.columns == before.columns
+        rows = out.collect()
+        assert all(r[c] == f"{c}{'' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHING)
+        return sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+
+    known = lambda *ids: sorted((i is None, i or 0) for i in ids)
+    out = stages["quality_rules"](spark, docs, "")
+    kept = same_columns(out, docs)
+    assert not {(False, 3), (False, 4), (False, 5), (False, 8)} & set(kept) and {(False, 1), (True, 0), (False, 6)} <= set(kept)
+    # every stage on the whole awkward table, not only on what the one before leaves
+    assert same_columns(stages["near_dedup"](spark, docs, ""), docs) == known(1, 1, 3, 4, 5, None, 6, 7, 8, 9, 10)
+    out = stages["substring_dedup"](spark, docs, "")
+    assert same_columns(out, docs) == known(1, 1, 2, 3, 4, 5, None, 6, 7, 8, 9, 10)
+    text = {r.doc_id: r for r in out.collect()}
+    assert text[2].text == "" and text[2].n_chars == 0 and text[7].text.startswith("own words first") and "shared5" not in text[7].text and text[3].text is None and len(text[8].text) == 60_000
+    out = stages["pii"](spark, docs, "")
+    assert same_columns(out, docs) == known(1, 1, 2, 3, 4, 5, None, 6, 7, 8, 9, 10)
+    text = {r.doc_id: r for r in out.collect()}
+    assert "[PHONE]" in text[6].text and text[10].text.startswith("[EMAIL] ") and text[10].n_chars == len(text[10].text) and text[3].text is None
+    rows = stages["best_fit_packing"](spark, docs, "").collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and sum(r.doc_id == 1 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
+    assert {r.doc_id: r.length for r in rows if r.doc_id in (3, 4)} == {3: 1, 4: 1}
+
+
+def test_stages_on_no_rows(spark, monkeypatch):
+    docs = messy(spark).limit(0)
+    monkeypatch.setattr(C, "read_table", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    for k, (name, stage) in enumerate(C.STAGES):
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (k == 4 or out.columns == docs.columns), name
