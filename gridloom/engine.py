@@ -281,8 +281,9 @@ class _Run:
         self.loads.append({"keys": [k for _, k, _ in group], "first": self.plan.dates[0], "last": self.plan.dates[-1], "assets": len(codes), "steps": t.layout.steps})
         rows = self.engine.provider.load([k for _, k, _ in group], self.plan.dates, codes, t.layout.steps)
         cast = lambda k, kind: fin(F.col(f"`{k}`").cast("double")) if kind not in TYPES else F.col(f"`{k}`").cast(TYPES[kind])
-        rows = rows.select(*KEYS, *[cast(k, kind).alias(name) for name, k, kind in group])
-        self._join(size, rows, list(KEYS), len(self.plan.dates) * size[0] * size[1])
+        keys = [k for k in KEYS if k != DATE or DATE in rows.columns]
+        rows = rows.select(*keys, *[cast(k, kind).alias(name) for name, k, kind in group])
+        self._join(size, rows, keys, (len(self.plan.dates) if DATE in keys else 1) * size[0] * size[1])
 
     # --- the result --------------------------------------------------------------------------
 

@@ -119,7 +119,7 @@ class TableProvider:
         return p is q and x == y
 
     def load(self, keys: list[str], dates: list[str], codes: list, steps: int) -> DataFrame:
-        """Rows on grid positions with a column for each key."""
+        """Rows on grid positions with a column for each key; without date positions if they hold for every date."""
         p, _, params = self._find(keys[0])
         names = {k: self._find(k)[1] for k in keys}
         rows = p.rows(dates)
@@ -142,14 +142,15 @@ class TableProvider:
             if n in p.positions:
                 axis = self._axis(self._frozen.get(p.positions[n]) or self.assets(p.positions[n], dates), "at_code", "at")
                 out = out.join(axis, F.col(f"`{k}`") == F.col("at_code"), "left").drop(k, "at_code").withColumnRenamed("at", k)
-        if p.static:  # one row an asset, for every date of the task
-            out = out.drop(DATE).crossJoin(F.broadcast(self.spark.range(len(dates)).select(F.col("id").cast("int").alias(DATE))))
+        on = [ASSET, STEP] if p.static else [DATE, ASSET, STEP]  # static rows hold for every date of the task
         given = {k: p.defaults[n] for k, n in names.items() if n in p.defaults}
         if given:  # a default is for coordinates without a row; a row's own NULL stays
-            grid = self.spark.range(len(dates) * len(codes) * steps).select(F.expr(f"id div {len(codes) * steps}").cast("int").alias(DATE), (F.expr(f"id div {steps}") % len(codes)).cast("int").alias(ASSET), (F.col("id") % steps).cast("int").alias(STEP))
-            full = grid.join(out.withColumn("__row", F.lit(True)), [DATE, ASSET, STEP], "left")
-            out = full.select(DATE, ASSET, STEP, *[(F.when(F.col("__row"), F.col(f"`{k}`")).otherwise(F.lit(given[k])) if k in given else F.col(f"`{k}`")).alias(k) for k in keys])
-        return out.select(DATE, ASSET, STEP, *[F.col(f"`{k}`") for k in keys])
+            i, n = F.col("id"), len(codes) * steps
+            places = [F.expr(f"id div {n}").cast("int").alias(DATE)] * (not p.static) + [(F.expr(f"id div {steps}") % len(codes)).cast("int").alias(ASSET), (i % steps).cast("int").alias(STEP)]
+            grid = self.spark.range(n if p.static else len(dates) * n).select(*places)
+            full = grid.join(out.withColumn("__row", F.lit(True)), on, "left")
+            out = full.select(*on, *[(F.when(F.col("__row"), F.col(f"`{k}`")).otherwise(F.lit(given[k])) if k in given else F.col(f"`{k}`")).alias(k) for k in keys])
+        return out.select(*on, *[F.col(f"`{k}`") for k in keys])
 
     def _axis(self, values: list, name: str, position: str) -> DataFrame:
         """(value, position) of an axis, made once; Spark decides by its size how to join it."""

@@ -265,3 +265,14 @@ def test_inverse_erf(spark):
     values = [k / 500 for k in range(-499, 500)] + [0.999999, -0.999999, 0.85, 0.8500001]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", _inverse_erf(F.col("v")).alias("e")).collect()
     assert all(math.erf(r.e) == pytest.approx(r.v, abs=1e-13) for r in got)
+
+
+def test_static_rows_hold_for_every_date(spark):
+    daily = spark.createDataFrame([(d, a, 1.0 * a) for d in DAYS[:3] for a in (1, 2, 3)], "date string, code bigint, v double")
+    fixed = spark.createDataFrame([(1, 5.0, 7.0), (2, None, 8.0), (9, 1.0, 1.0)], "code bigint, w double, u double")
+    panels = {"d": Panel(lambda: daily, "stk", fields=("v",)), "f": Panel(lambda: fixed, "stk", fields=("w", "u"), static=True, defaults={"w": -1.0})}
+    e = Engine(spark, TableProvider(spark, panels, assets={"stk": [1, 2, 3]}))
+    df = e.compute(FormulaBatch.from_text("", {"w": 'o = get_lf("stk", "w")', "s": 'o = get_lf("stk", "v") + get_lf("stk", "u")'}), Domain(DAYS[0], DAYS[2]))
+    got = {(r.date, r.asset): (r.w, r.s) for r in df.collect()}
+    assert got == {(d, a): x for d in DAYS[:3] for a, x in ((1, (5.0, 8.0)), (2, (None, 10.0)), (3, (-1.0, None)))}
+    assert "NestedLoop" not in physical(df) and "Cartesian" not in physical(df)
