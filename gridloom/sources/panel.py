@@ -39,12 +39,13 @@ class Panel:
     checked: bool = True
     bounded: bool = False  # the table restricts itself to the dates, on its raw columns
     reports: tuple[str, str, str] | None = None  # (published, ended, rank): reports whose steps are chosen by the formula
+    flat: bool = False  # rows (position, fields): (date * assets + asset) * steps + step over the dates and assets that are read
     positions: dict[str, str] = field(default_factory=dict)  # code field -> asset type on whose axis its codes become positions
 
     def rows(self, dates: list[str] | None = None) -> DataFrame:
         if self.bounded:
             return self.table(dates)
-        return self.table() if dates is None or self.static else self.table().filter(F.col("date").between(dates[0], dates[-1]))
+        return self.table() if dates is None or self.static or self.flat else self.table().filter(F.col("date").between(dates[0], dates[-1]))
 
 
 #: Parameters of report sources and what they are if a formula does not say.
@@ -90,7 +91,7 @@ class TableProvider:
 
     def calendar(self) -> list[str]:
         if self._calendar is None:
-            dated = [self._days.select("date")] if self._days is not None else [p.rows().select("date") for p in self.panels.values() if not p.static]
+            dated = [self._days.select("date")] if self._days is not None else [p.rows().select("date") for p in self.panels.values() if not (p.static or p.flat)]
             self._calendar = sorted(date_key(r.date) for r in reduce(DataFrame.union, dated).filter("date IS NOT NULL").distinct().collect())
         return self._calendar
 
@@ -104,7 +105,7 @@ class TableProvider:
                 axis = self.axes[asset]
                 found = [(axis.filter(F.col("date").between(dates[0], dates[-1])) if "date" in axis.columns else axis).select("code")]
             else:
-                found = [p.rows(dates).select("code") for p in self.panels.values() if p.asset == asset]
+                found = [p.rows(dates).select("code") for p in self.panels.values() if p.asset == asset and not p.flat]
             if not found:
                 raise CompileError(f"no panel of asset type {asset}")
             self._found[key] = sorted(r.code for r in reduce(DataFrame.union, found).filter("code IS NOT NULL").distinct().collect())
@@ -126,9 +127,14 @@ class TableProvider:
         if p.reports:
             rows = point_in_time(rows, "date", "code", *p.reports, list(dict.fromkeys(names.values())), params["quarters"], params["publ_date_limit"])
         stepped = p.steps > 1 or bool(p.reports)
-        rows = rows.join(self._axis(codes, "code", ASSET), "code")
         given = F.lit(0)
-        if not p.static:
+        if p.flat:
+            at, n = F.col("position"), len(codes) * steps
+            rows = rows.withColumn(ASSET, (F.expr(f"position div {steps}") % len(codes)).cast("int")).withColumn("step", at % steps)
+            given, stepped = F.when((at >= 0) & (at < len(dates) * n), F.expr(f"position div {n}").cast("int")), True
+        else:
+            rows = rows.join(self._axis(codes, "code", ASSET), "code")
+        if not (p.static or p.flat):
             rows = rows.join(self._axis(dates, "date", DATE), "date", "left" if p.checked else "inner")
             given = F.col(DATE)
         step = F.col("step") if stepped else F.lit(0)

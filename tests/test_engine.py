@@ -276,3 +276,18 @@ def test_static_rows_hold_for_every_date(spark):
     got = {(r.date, r.asset): (r.w, r.s) for r in df.collect()}
     assert got == {(d, a): x for d in DAYS[:3] for a, x in ((1, (5.0, 8.0)), (2, (None, 10.0)), (3, (-1.0, None)))}
     assert "NestedLoop" not in physical(df) and "Cartesian" not in physical(df)
+
+
+def test_flat_positions(spark):
+    def provider(rows):
+        df = spark.createDataFrame(rows, "position bigint, v double")
+        return TableProvider(spark, {"f": Panel(lambda: df, "stk", "60min", 4, fields=("v",), flat=True)}, DAYS, {"stk": [7, 8]})
+
+    def result(rows):
+        df = Engine(spark, provider(rows)).compute(FormulaBatch.from_lines('o = get_hf("stk", "60min", "v")'), Domain(DAYS[1], DAYS[2], freq="60min"))
+        return {(r.date, r.asset, r.step): r.o for r in df.collect() if r.o is not None}
+
+    assert result([(0, 1.0), (7, 2.0), (8, 3.0), (15, 4.0)]) == {(DAYS[1], 7, 930): 1.0, (DAYS[1], 8, 1400): 2.0, (DAYS[2], 7, 930): 3.0, (DAYS[2], 8, 1400): 4.0}
+    for rows, text in (([(16, 1.0)], "not in the calendar"), ([(-1, 1.0)], "not in the calendar"), ([(3, 1.0), (3, 2.0)], "comes twice")):
+        with pytest.raises(Exception, match=text):
+            result(rows)
