@@ -49,7 +49,8 @@ class Catalog:
                     raise CatalogError(f"{key} is in {seen[key]} and in {name}")
                 seen[key] = name
             reports = tuple(c["reports"]) if "reports" in c else None
-            self.panels[name] = Panel(lambda dates=None, c=c, f=fields: self.rows(c, f, dates), c["asset"], c.get("freq", "1d"), c.get("steps", 1), c.get("kinds", {}), c.get("defaults", {}), fields, c.get("static", False), c.get("checked", True), True, reports, c.get("positions", {}))
+            plain = {k: c[k] for k in ("freq", "steps", "kinds", "defaults", "static", "checked", "positions") if k in c}
+            self.panels[name] = Panel(lambda dates=None, c=c, f=fields: self.rows(c, f, dates), c["asset"], fields=fields, bounded=True, reports=reports, **plain)
 
     def _fields(self, name: str, c: dict) -> tuple[str, ...]:
         if "any_flag" in c:
