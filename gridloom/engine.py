@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.formula import FormulaBatch
-from gridloom.functions.numeric import fin, var_pop
+from gridloom.functions.numeric import fin, tristate, var_pop
 from gridloom.operators.spec import ASSET, CODE, DATE, KEYS, MASK, STEP, Operator, Stage
 from gridloom.plans.compiler import Compiler, Domain, Plan, Term
 
 #: Rows of a frame that may be broadcast.
 SMALL = 200_000
-TYPES = {MASK: "boolean", CODE: "bigint"}
 
 
 @dataclass
@@ -280,7 +279,11 @@ class _Run:
         codes = self.plan.codes[t.layout.asset]
         self.loads.append({"keys": [k for _, k, _ in group], "first": self.plan.dates[0], "last": self.plan.dates[-1], "assets": len(codes), "steps": t.layout.steps})
         rows = self.engine.provider.load([k for _, k, _ in group], self.plan.dates, codes, t.layout.steps)
-        cast = lambda k, kind: fin(F.col(f"`{k}`").cast("double")) if kind not in TYPES else F.col(f"`{k}`").cast(TYPES[kind])
+
+        def cast(k: str, kind: str) -> Column:
+            c = F.col(f"`{k}`")
+            return tristate(c) if kind == MASK else c.cast("bigint") if kind == CODE else fin(c.cast("double"))
+
         keys = [k for k in KEYS if k != DATE or DATE in rows.columns]
         rows = rows.select(*keys, *[cast(k, kind).alias(name) for name, k, kind in group])
         self._join(size, rows, keys, (len(self.plan.dates) if DATE in keys else 1) * size[0] * size[1])

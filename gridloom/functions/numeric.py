@@ -17,6 +17,12 @@ def fin(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(INF), c)
 
 
+def tristate(c: Column) -> Column:
+    """A mask of 0, 1 or nothing as a boolean; any other number fails the query."""
+    c = fin(c.cast("double"))
+    return F.when(c == 0, F.lit(False)).when(c == 1, F.lit(True)).when(c.isNotNull(), F.raise_error(F.lit("a mask is 0 or 1")))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return fin(F.try_divide(a, b))
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import day_of, in_days
 from gridloom.sources.builders import any_flag, dated_files, map_codes
-from gridloom.sources.panel import Panel, TableProvider
+from gridloom.sources.panel import Panel, SourceError, TableProvider
 
 _WHERE = {"path", "format", "options", "table", "frame", "files", "filter", "flag"}
 _KNOWN = _WHERE | {"asset", "freq", "steps", "date", "code", "step", "fields", "rename", "kinds", "defaults", "static", "checked", "spelling", "labels", "identity", "unmatched", "reports", "any_flag", "positions"}
 
 
-class CatalogError(ValueError):
-    pass
+class CatalogError(SourceError):
+    """Settings that do not fit each other or the tables they name."""
 
 
 class Catalog:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.spec import ASSET, DATE, MASK, NUMERIC, STEP, CompileError
 from gridloom.plans.compiler import Domain, InputSpec
+from gridloom.sources.panel import SourceError
 
 
-class RepositoryError(ValueError):
+class RepositoryError(SourceError):
     """A factor that cannot be saved or is not there."""
 
 
