@@ -10,8 +10,8 @@ of 1 / ``UNIT`` nats from -128 to 127, so scores do not depend on the order of s
 object for each such number, which leaves the table small enough for the processor's caches.
 
 Scoring looks weights up in one array (at most 2 ** ``MOST_BITS`` integers, whatever the corpus), so it needs no shuffle.
-Counting runs in at most ``TASKS`` tasks a core: each sends a sum for every bucket, so that what is shuffled
-follows the buckets, not the texts.
+Counting runs in at most ``TASKS`` tasks a core (more where a task would have over ``TASK_CHARS`` characters): each
+sends a sum for every bucket, so that what is shuffled follows the buckets, not the texts.
 
 Defined results: a null or blank text has no words, fails the base rules and scores 0; repeated rows get the
 same verdict each; with no trusted document at all every weight is 0. Only doc_id and text are read.
@@ -33,7 +33,7 @@ LEAST_BITS, MOST_BITS = 14, 22
 PRIOR = 10.0
 THRESHOLD = -0.12
 UNIT = 16
-TASKS = 4
+TASKS, TASK_CHARS = 4, 1 << 31
 #: Ids of trusted documents that are broadcast at most (some 60 MB); more go through a shuffle join.
 SMALL_IDS = 2_000_000
 #: Weights that are put into one string at a time on their way to the driver.
@@ -88,9 +88,12 @@ def base_columns(docs: DataFrame, text: str = "text", carry: tuple[Column, ...]
     return d.select("*", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), n_repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
-def n_buckets(docs: DataFrame, text: str = "text") -> int:
+def corpus_chars(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.length(text))).first()[0] or 0
+
+
+def n_buckets(chars: int) -> int:
     """Buckets for a corpus of so many characters."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     return 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(DENSITY * math.sqrt(chars) + 1))))
 
 
@@ -108,14 +111,14 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id")
 
 
-def counts(docs: DataFrame, labels: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+def counts(docs: DataFrame, labels: DataFrame, buckets: int, tasks: int, text: str = "text") -> DataFrame:
     """(b, raw, target): the n-grams of all and of trusted documents in each bucket that has any."""
     known = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))
     if known.limit(SMALL_IDS + 1).count() <= SMALL_IDS:
         known = F.broadcast(known)
     d = docs.select("doc_id", F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("trusted_id"), "left")
     d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
-    d = d.coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    d = d.coalesce(tasks)
     d = d.select("t", F.explode(_pairs(F.col("words"))).alias("g")).select("t", "g.x", "g.y")
     one, two = _bucket(buckets, F.col("x")), F.when(F.col("y").isNotNull(), _bucket(buckets, F.col("x"), F.col("y")))
     d = d.select("t", F.explode(F.array(one, two)).alias("b")).filter("b IS NOT NULL")
@@ -124,8 +127,10 @@ def counts(docs: DataFrame, labels: DataFrame, buckets: int, text: str = "text")
 
 def weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[int, str]:
     """Number of buckets, and log(target / raw) of each in 1 / UNIT nats, joined by commas."""
-    buckets = n_buckets(docs, text)
-    found = cut(counts(docs, labels, buckets, text), "counts")
+    chars = corpus_chars(docs, text)
+    buckets = n_buckets(chars)
+    tasks = max(TASKS * docs.sparkSession.sparkContext.defaultParallelism, chars // TASK_CHARS)
+    found = cut(counts(docs, labels, buckets, tasks, text), "counts")
     raw, target = found.agg(F.sum("raw"), F.sum("target")).first()
     if target:
         share = target / raw

@@ -40,7 +40,7 @@ def test_all_of_a_small_table_against_brute_force(spark):
         grams[r.doc_id] = [(x,) for x in s] + list(zip(s, s[1:]))
     kinds = sorted({g for gs in grams.values() for g in gs})
     pairs = spark.createDataFrame([(i, g[0], g[1] if len(g) > 1 else None) for i, g in enumerate(kinds)], "i long, a string, b string")
-    n = Q.n_buckets(docs)
+    n = Q.n_buckets(Q.corpus_chars(docs))
     assert n == 1 << max(14, math.ceil(math.log2(16 * math.sqrt(sum(len(r.text or "") for r in rows)) + 1)))
     hashed = pairs.select("i", F.when(F.col("b").isNull(), Q._bucket(n, F.col("a"))).otherwise(Q._bucket(n, F.col("a"), F.col("b"))).alias("h")).collect()
     bucket = {kinds[r.i]: r.h for r in hashed}
@@ -88,8 +88,9 @@ def test_all_trusted_documents_count(spark, monkeypatch):
 
 
 def test_the_bucket_space_grows_with_the_corpus(spark):
-    sizes = [Q.n_buckets(spark.range(n).selectExpr("repeat('x', 1000) AS text")) for n in (1, 1000, 100_000)]
-    assert sizes == [1 << 14, 1 << 14, 1 << 18] and Q.n_buckets(spark.range(0).selectExpr("'x' AS text")) == 1 << 14
+    chars = [Q.corpus_chars(spark.range(n).selectExpr("repeat('x', 1000) AS text")) for n in (0, 1, 1000, 100_000)]
+    assert chars == [0, 1000, 1_000_000, 100_000_000] and [Q.n_buckets(c) for c in chars] == [1 << 14, 1 << 14, 1 << 14, 1 << 18]
+    assert Q.n_buckets(10**10) == 1 << 21 and Q.n_buckets(10**15) == 1 << Q.MOST_BITS
 
 
 def test_words_count_whole(spark):
