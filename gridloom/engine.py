@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.formula import FormulaBatch
 from gridloom.functions.numeric import fin, tristate, var_pop
+from gridloom.operators import REGISTRY
 from gridloom.operators.spec import ASSET, CODE, DATE, KEYS, MASK, STEP, Operator, Stage
 from gridloom.plans.compiler import Compiler, Domain, Plan, Term
 
@@ -162,7 +163,10 @@ class _Run:
         elif op.shape == "same":
             if size not in self.frames:
                 self.frame(size)
-            self.put(size, t.id, op.build(self.stage(size), *(self.column(a, size) for a in t.args), **params))
+            made = op.build(self.stage(size), *(self.column(a, size) for a in t.args), **params)
+            if REGISTRY.get(t.op) is not op:  # a custom operator's result is held to its kind
+                made = tristate(made) if op.output == MASK else made.cast("bigint") if op.output == CODE else fin(made.cast("double"))
+            self.put(size, t.id, made)
         elif op.shape in ("asset", "step"):
             self.reduce(t, op)
         else:

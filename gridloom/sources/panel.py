@@ -189,11 +189,21 @@ def checked_rows(rows: DataFrame, date: Column, step: Column, dates: int, steps:
 
 
 def memory_provider(spark: SparkSession, dates: list, codes: dict[str, list], arrays: dict[str, list], kinds: dict[str, str] | None = None) -> TableProvider:
-    """A provider over nested lists: ``arrays[key][date][asset]`` or ``[date][asset][step]``, None for missing."""
+    """A provider over nested lists: ``arrays[key][date][asset]`` or ``[date][asset][step]``, None for missing.
+
+    Days and codes must not repeat, and every array must have a cell for each day, code and step.
+    """
     days, panels = [date_key(d) for d in dates], {}
+    for name, axis in (("a day", days), *(("a code", c) for c in codes.values())):
+        if len(set(axis)) != len(axis):
+            raise SourceError(f"{name} comes twice")
     for key, values in arrays.items():
         asset, freq, name = key.split(".", 2)
-        deep = [[cell if isinstance(cell, list | tuple) else [cell] for cell in row] for row in values]
+        if asset not in codes:
+            raise SourceError(f"{key}: no codes of {asset}")
+        deep = [[list(cell) if isinstance(cell, list | tuple) else [cell] for cell in row] for row in values]
+        if len(deep) != len(days) or any(len(row) != len(codes[asset]) for row in deep) or len({len(cell) for row in deep for cell in row}) > 1:
+            raise SourceError(f"{key}: the array does not fit {len(days)} days and {len(codes[asset])} codes")
         rows = [(days[d], codes[asset][a], s, None if v is None else float(v)) for d, row in enumerate(deep) for a, cell in enumerate(row) for s, v in enumerate(cell)]
         code = "string" if isinstance(codes[asset][0], str) else "bigint"
         df = spark.createDataFrame(rows, f"date string, code {code}, step int, `{name}` double")

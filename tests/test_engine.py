@@ -8,7 +8,7 @@ from gridloom.formula import FormulaBatch
 from gridloom.operators import REGISTRY, CompileError, Operator
 from gridloom.operators.spec import DomainError
 from gridloom.plans.compiler import Domain
-from gridloom.sources.panel import Panel, TableProvider, memory_provider
+from gridloom.sources.panel import Panel, SourceError, TableProvider, memory_provider
 from gridloom.sources.repository import FactorRepository, RepositoryError, RepositoryProvider
 
 DAYS = ["20240102", "20240103", "20240104", "20240105", "20240108", "20240109"]
@@ -111,6 +111,21 @@ def test_custom_operator(spark, engine):
     double = Operator("double_it", ("numeric",), lambda s, x, by: x * by, params={"by": 2.0})
     own = Engine(spark, engine.provider, {"double_it": double})
     assert run(own, {"d": "double_it(x)"})["d"]["20240102", 2] == 20
+    # results are held to their kind: no infinities, masks of three states
+    odd = {"blow_up": Operator("blow_up", ("numeric",), lambda s, x: x * float("inf")), "half": Operator("half", ("numeric",), lambda s, x: x / 20, output="mask")}
+    own = Engine(spark, engine.provider, odd)
+    assert set(run(own, {"d": "blow_up(x)"})["d"].values()) == {None}
+    with pytest.raises(Exception, match="a mask is 0 or 1"):
+        run(own, {"d": "half(x)"})
+
+
+def test_memory_arrays_must_fit(spark):
+    for dates, codes, arrays in (
+        (DAYS[:2], {"stk": [1, 2]}, {"stk.1d.x": [[1, 2]]}), (DAYS[:1], {"stk": [1, 2]}, {"stk.1d.x": [[1, 2, 3]]}), (DAYS[:1], {"stk": [1, 2]}, {"stk.60min.x": [[[1, 2], [3]]]}),
+        (DAYS[:1] * 2, {"stk": [1]}, {}), (DAYS[:1], {"stk": [1, 1]}, {}), (DAYS[:1], {}, {"stk.1d.x": [[1]]}),
+    ):
+        with pytest.raises(SourceError):
+            memory_provider(spark, dates, codes, arrays)
 
 
 def test_steps_and_lookup(spark):
