@@ -7,6 +7,8 @@ partition counts its documents' minimisers into ``DEPTH`` rows of counters that
 sends the touched cells by ranges; the ranges are merged by the executors into one bit a cell ("two or
 more"), and that is what is broadcast. There are as many cells as the corpus has ``CHARS`` characters, rounded up to a power of
 two, up to ``2**MOST_BITS`` (128 MB a row). A corpus that fills the sketch lets more windows pass, it never loses one.
+Beyond ``LOAD`` characters a cell the minimisers that pass are grouped as well, a row for each of a document, and only
+those that two documents really share go on, in a join with the texts of the documents that have any.
 
 Second pass: only windows whose minimiser the sketch calls repeated leave the texts, as 96-bit hashes of
 their word sequence with document and places; a sequence that one document repeats is one row, so a key has at most
@@ -36,6 +38,7 @@ SHINGLE = 32
 DEPTH = 2
 CHARS = 8
 LEAST_BITS, MOST_BITS = 20, 30
+LOAD = 32
 #: Numbers (ids and ends of removed stretches) that are broadcast to the texts at most, 8 bytes each; more go through a shuffle join.
 SMALL = 4_000_000
 #: Cells that a task holds before it sends them.
@@ -94,8 +97,7 @@ def _sketch_rows(bits: int, shards: int, window: int, shingle: int):
             for _, data, offsets in text_slices(batch.column(0)):
                 h, first = word_hashes(data, offsets)
                 _, doc, least = minimisers(h, first, window, shingle)
-                new = np.ones(len(least), dtype=bool)
-                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+                new = _runs(least, doc)
                 pairs = np.unique(np.stack([doc[new].astype(np.uint64), least[new]]), axis=1) if new.any() else np.empty((2, 0), dtype=np.uint64)
                 held.append(pairs[1])
                 n += pairs.shape[1]
@@ -124,8 +126,11 @@ def _merge_range(bits: int, shards: int):
     return run
 
 
-def sketch_bits(docs: DataFrame, text: str = "text") -> int:
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+def corpus_chars(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.length(text))).first()[0] or 0
+
+
+def sketch_bits(chars: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (chars // CHARS).bit_length()))
 
 
@@ -142,22 +147,68 @@ def sketch(docs: DataFrame, text: str, bits: int, window: int = WINDOW, shingle:
     return [bytes(x) for x in out]
 
 
-def _candidates(sent, bits: int, window: int, shingle: int):
+def _passing(value: np.ndarray, rows: list[np.ndarray], bits: int) -> np.ndarray:
+    """Which minimisers the sketch calls repeated."""
+    hit = np.ones(len(value), dtype=bool)
+    for row, bitmap in enumerate(rows):
+        c = cells(value, row, bits)
+        hit &= (bitmap[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & np.uint8(1) == 1
+    return hit
+
+
+def _runs(least: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where a new minimiser or document begins."""
+    new = np.ones(len(least), dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    return new
+
+
+def _minimiser_rows(sent, bits: int, window: int, shingle: int):
+    """mapInArrow: the distinct minimisers of each text that the sketch lets pass."""
+
     def run(batches):
         rows = [np.frombuffer(x, dtype=np.uint8) for x in sent.value]
+        for batch in batches:
+            ids, known = np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_valid())
+            for at, data, offsets in text_slices(batch.column(1)):
+                h, first = word_hashes(data, offsets)
+                _, doc, least = minimisers(h, first, window, shingle)
+                new = _runs(least, doc)
+                value, of = least[new], doc[new]
+                keep = _passing(value, rows, bits) & known[at + of]
+                if keep.any():
+                    pairs = np.unique(np.stack([of[keep].astype(np.uint64), value[keep]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), pa.array(ids[at + pairs[0].astype(np.int64)].astype(np.int64))], names=["v", "doc_id"])
+
+    return run
+
+
+def shared_minimisers(docs: DataFrame, sent, text: str, bits: int, window: int, shingle: int) -> DataFrame:
+    """(doc_id, shared): the minimisers of each document that another document has too."""
+    rows = cut(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_minimiser_rows(sent, bits, window, shingle), "v long, doc_id long"), "minimisers")
+    twice = rows.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("v")
+    return rows.join(twice, "v", "left_semi").groupBy("doc_id").agg(F.collect_set("v").alias("shared"))
+
+
+def _candidates(sent, bits: int, window: int, shingle: int):
+    """mapInArrow over (doc_id, text), windows by the sketch, or over (doc_id, text, shared), windows by the listed minimisers."""
+
+    def run(batches):
+        rows = None if sent is None else [np.frombuffer(x, dtype=np.uint8) for x in sent.value]
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0))
             known = np.asarray(batch.column(0).is_valid())
             for at, data, offsets in text_slices(batch.column(1)):
                 h, first = word_hashes(data, offsets)
                 starts, doc, least = minimisers(h, first, window, shingle)
-                new = np.ones(len(least), dtype=bool)
-                new[1:] = least[1:] != least[:-1]
-                value, run_of = least[new], np.cumsum(new) - 1
-                hit = np.ones(len(value), dtype=bool)
-                for row, bitmap in enumerate(rows):
-                    c = cells(value, row, bits)
-                    hit &= (bitmap[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & np.uint8(1) == 1
+                new = _runs(least, doc)
+                value, of, run_of = least[new], doc[new], np.cumsum(new) - 1
+                if rows is not None:
+                    hit = _passing(value, rows, bits)
+                else:
+                    ends = np.searchsorted(of, np.arange(len(offsets)))
+                    parts = [np.isin(value[a:b], np.array(batch.column(2)[at + k].as_py(), dtype=np.int64).view(np.uint64)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+                    hit = np.concatenate(parts) if parts else np.empty(0, dtype=bool)
                 take = np.flatnonzero(hit[run_of] & known[at + doc]) if len(value) else run_of
                 if not len(take):
                     continue
@@ -185,9 +236,13 @@ def _candidates(sent, bits: int, window: int, shingle: int):
 def repeated_windows(docs: DataFrame, text: str = "text", bits: int | None = None, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, places): where windows start that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
-    bits = bits or sketch_bits(docs, text)
+    chars = corpus_chars(docs, text)
+    bits = bits or sketch_bits(chars)
     sent = spark.sparkContext.broadcast(sketch(docs, text, bits, window, shingle))
-    found = cut(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 int, doc_id long, places array<int>"), "windows")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if chars > LOAD << bits:
+        given, sent = given.join(shared_minimisers(docs, sent, text, bits, window, shingle), "doc_id").select("doc_id", "text", "shared"), None
+    found = cut(given.mapInArrow(_candidates(sent, bits, window, shingle), "h1 long, h2 int, doc_id long, places array<int>"), "windows")
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
     later = found.join(least, ["h1", "h2"]).filter("doc_id > least")
     return later.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))

@@ -89,5 +89,19 @@ def test_a_sequence_that_a_document_repeats_is_one_row(spark):
 
 
 def test_the_sketch_grows_with_the_corpus(spark):
-    sizes = [S.sketch_bits(spark.range(n).selectExpr("repeat('x', 100000) AS text")) for n in (1, 1000, 10_000)]
-    assert sizes == [20, 24, 27]
+    sizes = [S.sketch_bits(S.corpus_chars(spark.range(n).selectExpr("repeat('x', 100000) AS text"))) for n in (0, 1, 1000, 10_000)]
+    assert sizes == [20, 20, 24, 27] and S.sketch_bits(10**15) == S.MOST_BITS
+
+
+@pytest.mark.parametrize("bits", [11, 14, 20])
+def test_minimisers_are_grouped_where_the_sketch_is_full(spark, monkeypatch, bits):
+    """The same results whether windows are chosen by the sketch alone or by minimisers that documents really share."""
+    rows = random_rows(3)
+    df = spark.createDataFrame([*rows, (None, rows[7][1])], "doc_id long, text string")
+    asked = []
+    own = S.shared_minimisers
+    monkeypatch.setattr(S, "shared_minimisers", lambda *a: asked.append(1) or own(*a))
+    monkeypatch.setattr(S, "LOAD", 0)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.digests(df, bits=bits).collect()}
+    want = brute(rows)
+    assert asked and {k: got[k] for k in want} == want and got[None][1] == 0
