@@ -40,8 +40,8 @@ ESTIMATE = 0.5
 SMALL_IDS = 1_000_000
 #: Pairs that a round of the exact join looks at, at most about.
 ROUND_PAIRS = 200_000_000
-#: Rows with one set from which that set is joined apart from the others: at most a row of the table in so many, so few that they are broadcast.
-HOT = 2_000
+#: Rows with one set from which that set is joined apart from the others, and how many such sets are broadcast at most (4 MB).
+HOT, HOT_SETS = 2_000, 100_000
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -183,9 +183,10 @@ def with_classes(light: DataFrame) -> DataFrame:
     keys = ["n", "k1", "k2"]
     copies = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("size")).filter("rep < last").drop("last")
     copies = cut(copies, "copies")
-    hot = copies.filter(F.col("size") >= HOT).select(*keys, F.col("rep").alias("hot"))
+    least = max(HOT, light.count() // HOT_SETS)  # no more than HOT_SETS sets can have so many rows each
+    hot = copies.filter(F.col("size") >= least).select(*keys, F.col("rep").alias("hot"))
     marked = light.join(F.broadcast(hot), keys, "left")
-    cold = marked.filter("hot IS NULL").join(copies.filter(F.col("size") < HOT).select(*keys, "rep"), keys, "left").select("doc_id", "n", "rep")
+    cold = marked.filter("hot IS NULL").join(copies.filter(F.col("size") < least).select(*keys, "rep"), keys, "left").select("doc_id", "n", "rep")
     both = cold.unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n", F.col("hot").alias("rep")))
     return both.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
 
