@@ -3,8 +3,9 @@
 Base rules need a text's own words; the verdict on the rest is a hashed n-gram log-likelihood ratio. The
 unigrams and bigrams of whole words fall into hash buckets, whose number grows with the corpus as a vocabulary does: with
 the square root of its characters. One pass counts the buckets of all documents (the raw corpus) and of the
-trusted ones (all with label of quality 1). Either multinomial is smoothed by ``PRIOR`` pseudo-counts a bucket in the proportion of
-the raw corpus, so a bucket seen once or twice says little; the log ratio of the two is the weight of a bucket. A
+trusted ones (all with label of quality 1). Every bucket gets ``PRIOR`` trusted pseudo-counts, and as many raw ones
+as that is at the trusted share of the corpus, so that a bucket of which a few trusted ones would be expected at most says
+little, however few documents are trusted; the log ratio of the two multinomials is the weight of a bucket. A
 document's score is the mean weight of its n-grams, in nats; it is kept from ``THRESHOLD`` on. Weights are whole numbers
 of 1 / ``UNIT`` nats from -128 to 127, so scores do not depend on the order of summation, and the JVM keeps one
 object for each such number, which leaves the table small enough for the processor's caches.
@@ -29,8 +30,8 @@ from gridloom.llm.shared import WORD_BREAKS, cut, drop_cut
 #: Buckets for each square root of a character of the corpus, rounded up to a power of two; the least and the most bits.
 DENSITY = 16
 LEAST_BITS, MOST_BITS = 14, 22
-#: Pseudo-counts of each bucket, shared out as in the raw corpus.
-PRIOR = 10.0
+#: Trusted pseudo-counts of each bucket.
+PRIOR = 3.5
 THRESHOLD = -0.12
 UNIT = 16
 TASKS, TASK_CHARS = 4, 1 << 31
@@ -134,7 +135,7 @@ def weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[int
     raw, target = found.agg(F.sum("raw"), F.sum("target")).first()
     if target:
         share = target / raw
-        ratio = F.ln((F.col("target") + PRIOR * share) / ((F.col("raw") + PRIOR) * share))
+        ratio = F.ln((F.col("target") + PRIOR) / (F.col("raw") * share + PRIOR))
     else:
         ratio = F.lit(0.0)
     every = docs.sparkSession.range(buckets).join(found.select(F.col("b").cast("long").alias("id"), F.greatest(F.least(F.round(UNIT * ratio), F.lit(127)), F.lit(-128)).cast("int").alias("w")), "id", "left")

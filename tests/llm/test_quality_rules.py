@@ -47,7 +47,7 @@ def test_all_of_a_small_table_against_brute_force(spark):
     raw = collections.Counter(bucket[g] for gs in grams.values() for g in gs)
     target = collections.Counter(bucket[g] for d, gs in grams.items() if d in good for g in gs)
     share = sum(target.values()) / sum(raw.values())
-    weight = {b: max(-128, round(Q.UNIT * math.log((target[b] + Q.PRIOR * share) / (raw[b] + Q.PRIOR) / share))) for b in raw}
+    weight = {b: max(-128, round(Q.UNIT * math.log((target[b] + Q.PRIOR) / (raw[b] * share + Q.PRIOR)))) for b in raw}
     for r in rows:
         g, x = got[r.doc_id], brute_base(r.text)
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == x
@@ -80,7 +80,7 @@ def test_all_trusted_documents_count(spark, monkeypatch):
     buckets, table = Q.weights(docs, labels)
     got = list(map(int, table.split(",")))
     b, other = (docs.select(Q._bucket(buckets, F.lit(w))).first()[0] for w in ("abc", "xyz"))
-    share, w = n / (n + 1), lambda t, r: max(-128, round(Q.UNIT * math.log((t + Q.PRIOR * n / (n + 1)) / (r + Q.PRIOR) * (n + 1) / n)))
+    share, w = n / (n + 1), lambda t, r: max(-128, round(Q.UNIT * math.log((t + Q.PRIOR) / (r * n / (n + 1) + Q.PRIOR))))
     assert len(got) == buckets and got[b] == w(n, n) and got[other] == w(0, 1) < 0 < share
     assert sum(x != 0 for x in got) <= 2
     monkeypatch.setattr(Q, "SMALL_IDS", 10)
@@ -102,3 +102,13 @@ def test_words_count_whole(spark):
     score = {r.doc_id: r.score for r in both}
     pairs = [(score[r.doc_id], score[r.doc_id - 1_000_000]) for r in both if r.doc_id >= 1_000_000]
     assert pairs and all(b < g - 0.05 for b, g in pairs), pairs
+
+
+def test_clean_text_stays_where_few_documents_are_trusted(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    few = labels.filter("quality = 1 AND doc_id % 10 = 0")  # a tenth of the labels
+    rest = labels.filter("doc_id % 10 <> 0")
+    j = Q.judge(docs, few).filter("not base_failed").join(rest, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    rate = {r.quality: r.k for r in j}
+    assert rate[1] > 0.98 and rate[0] < 0.15, rate
