@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from pathlib import Path
 from typing import Any
 
-from gridloom.formula import Call, FormulaBatch, FormulaError, Literal
+from gridloom.formula import Call, FormulaBatch, FormulaError, Literal, Name, _Reader
 from gridloom.functions.calendar import DAILY, MINUTES
 from gridloom.operators import REGISTRY
 
@@ -74,6 +76,10 @@ def to_frequency(e, freq: str, delay: int = 1, delays: dict[str, int] | None = N
     return transform(e, fitted)
 
 
+#: A string, or a source by its dotted key.
+_DOTTED = re.compile(r"""("[^"]*"|'[^']*')|(?<![\w.])([A-Za-z]\w*\.\w+\.[A-Za-z_][\w.]*)""")
+
+
 @dataclass(frozen=True)
 class Definition:
     key: str
@@ -130,6 +136,21 @@ class FeatureLibrary:
         put_in = lambda c: self.expression(c.args[0].value, (*path, d.key)) if c.name == "feature" else c
         return transform(self._parse(d.key, d.text), put_in)
 
+    def formula(self, text: str):
+        """One expression without assignments, where ``asset.freq.name`` is a source and any other name a feature or alias."""
+        spelled = _DOTTED.sub(lambda m: m[0] if m[1] else f'source("{m[2]}")', text.strip())
+        try:
+            tree = ast.parse(spelled, mode="eval")
+        except SyntaxError as x:
+            raise FormulaError(f"formula:{x.lineno}:{x.offset}: {x.msg}") from None
+
+        def named(e):
+            if isinstance(e, Name):
+                return self.expression(e.name)
+            return Call(e.name, tuple(map(named, e.args)), tuple((k, named(v)) for k, v in e.kwargs), e.where) if isinstance(e, Call) else e
+
+        return named(_Reader("formula").expr(tree.body))
+
     def batch(self, names: list[str], inputs: str | None = None, sample: str | None = None, output: str | None = None) -> Bound:
         """A batch of the named features, with masks given as formula text."""
         masks = [None if m is None else self._parse("mask", f"mask = {m}") for m in (inputs, sample, output)]

@@ -1,7 +1,7 @@
 import pytest
 
 from gridloom.engine import Engine
-from gridloom.formula import FormulaBatch, FormulaError
+from gridloom.formula import Call, FormulaBatch, FormulaError, Literal
 from gridloom.plans.compiler import Domain
 from gridloom.plans.rewrites import Bound, FeatureLibrary, to_frequency
 from gridloom.sources.panel import memory_provider
@@ -87,3 +87,16 @@ def test_features_run_saved_and_kept(spark, engine, tmp_path):
     lib.define("b", 'out = feature("a")')
     with pytest.raises(FormulaError, match="circle"):
         m.execute(["a"], Domain(*DAYS))
+
+
+def test_single_expressions_with_dotted_sources(engine):
+    lib = FeatureLibrary()
+    lib.define("close", 'out = get_lf("stk", "x")', alias="c")
+    e = lib.formula('cs_corr(c, stk.1d.x, method="pearson") + c * 1.5 - stk.1d.x')
+    got = values(engine.compute(Bound((("f", e),)), Domain(*DAYS)), "f")
+    assert got[DAYS[0], 3, 0] == pytest.approx(1 + 0.5 * 4)
+    assert lib.formula("-stk.60min.p") == Call("neg", (Call("source", (Literal("stk.60min.p"),)),))
+    assert lib.formula('source("stk.1d.x")') == Call("source", (Literal("stk.1d.x"),))
+    for bad, error in (("c +", FormulaError), ("a = c", FormulaError), ("1 < c < 2", FormulaError), ("unknown + 1", KeyError), ("c.real", FormulaError)):
+        with pytest.raises(error):
+            lib.formula(bad)
