@@ -17,6 +17,13 @@ class RepositoryError(SourceError):
     """A factor that cannot be saved or is not there."""
 
 
+def _digest(rows: DataFrame) -> tuple[int, str]:
+    """Number of rows and a sum of their hashes, which does not depend on their order."""
+    h = F.xxhash64("date", "asset", "step", "value").cast("decimal(38,0)")
+    found = rows.agg(F.count("*").alias("n"), F.sum(h).alias("s")).first()
+    return found.n, str(found.s)
+
+
 class FactorRepository:
     """One folder a factor: values by date in Parquet, its coordinates in a table beside them, its shape as JSON.
 
@@ -50,13 +57,27 @@ class FactorRepository:
             axes = [saved.select(F.lit(axis).alias("axis"), F.col(axis).cast("string").alias("value")).distinct() for axis in ("date", "asset", "step")]
             coordinates = axes[0].union(axes[1]).union(axes[2])
             coordinates.coalesce(1).write.parquet(f"{staging}/axes")
-            shape = json.dumps({"asset": domain.asset, "freq": domain.freq, "steps": steps, "kind": kind, "code": dict(rows.dtypes)["asset"]})
+            n, digest = _digest(saved)
+            shape = json.dumps({"asset": domain.asset, "freq": domain.freq, "steps": steps, "kind": kind, "code": dict(rows.dtypes)["asset"], "rows": n, "digest": digest})
             self.spark.createDataFrame([(shape,)], "value string").coalesce(1).write.text(f"{staging}/shape")
             if not files.rename(there, self._path(f"{self.path}/{name}")[1]):
                 raise RepositoryError(f"{name} already exists")
         finally:
             files.delete(there, True)
 
+    def import_rows(self, rows: DataFrame, name: str, asset: str, freq: str = "1d", steps: int = 1) -> None:
+        """Save rows (date, asset, value, and step if there are several) from elsewhere as a factor; each coordinate comes once."""
+        full = rows if "step" in rows.columns else rows.withColumn("step", F.lit(0))
+        g = full.groupBy(F.regexp_replace(F.col("date").cast("string"), "[-/.]", "").alias("date"), "asset", F.col("step").cast("int").alias("step")).agg(F.count("*").alias("__n"), F.first("value").alias("value"))
+        once = F.when(F.col("__n") > 1, F.raise_error(F.lit("a coordinate comes twice"))).otherwise(F.col("value"))
+        self.save(g.select("date", "asset", "step", once.alias(name)), name, Domain("", "", asset=asset, freq=freq), steps)
+
+    def verify(self, name: str) -> None:
+        """Fail unless the values are those that were saved."""
+        shape = self.shape(name)
+        if [*_digest(self.load(name))] != [shape["rows"], shape["digest"]]:
+            raise RepositoryError(f"{name} is not as it was saved")
+
     def shape(self, name: str) -> dict:
         if not self.exists(name):
             raise RepositoryError(f"no factor {name}")

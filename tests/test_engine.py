@@ -306,3 +306,20 @@ def test_flat_positions(spark):
     for rows, text in (([(16, 1.0)], "not in the calendar"), ([(-1, 1.0)], "not in the calendar"), ([(3, 1.0), (3, 2.0)], "comes twice")):
         with pytest.raises(Exception, match=text):
             result(rows)
+
+
+def test_imported_and_verified_factors(spark, engine, tmp_path):
+    repo = FactorRepository(spark, f"file://{tmp_path}/factors")
+    rows = spark.createDataFrame([(f"{d[:4]}-{d[4:6]}-{d[6:]}", a, float(i + a)) for i, d in enumerate(DAYS) for a in (1, 2)], "date string, asset bigint, value double")
+    repo.import_rows(rows, "own", "stk")
+    repo.verify("own")
+    e = Engine(spark, RepositoryProvider(engine.provider, repo))
+    got = e.compute(FormulaBatch.from_lines("d = load_factor('own') + source('stk.1d.x')"), Domain(DAYS[0], DAYS[0])).collect()
+    assert {r.asset: r.d for r in got} == {1: 4.0, 2: 12.0}
+    with pytest.raises(Exception, match="a coordinate comes twice"):
+        repo.import_rows(rows.union(rows), "twice", "stk")
+    assert not repo.exists("twice")
+    part = next((tmp_path / "factors/own/values" / f"date={DAYS[0]}").glob("*.parquet"))
+    part.unlink()
+    with pytest.raises(RepositoryError, match="not as it was saved"):
+        repo.verify("own")
