@@ -40,10 +40,18 @@ ESTIMATE = 0.5
 SMALL_IDS = 1_000_000
 #: Pairs that a round of the exact join looks at, at most about.
 ROUND_PAIRS = 200_000_000
+#: Texts whose sets a worker holds at a time.
+ROWS = 1_000
 #: Rows with one set from which that set is joined apart from the others, and how many such sets are broadcast at most (4 MB).
 HOT, HOT_SETS = 2_000, 100_000
 
 
+def _parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def shingle_sets(column: pa.Array, width: int):
     """Sorted distinct shingle hashes (int64) of each text."""
     for _, data, offsets in text_slices(column):
@@ -68,7 +76,7 @@ def sketches(docs: DataFrame, text: str = "text", width: int = WIDTH, kept: int
     """doc_id, n (size of the set), two sums that identify the set, and the sketch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = list(shingle_sets(batch.column(1), width))
             u = [s.view(np.uint64) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -87,7 +95,7 @@ def sketches(docs: DataFrame, text: str = "text", width: int = WIDTH, kept: int
 
 def full_sets(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), width)))], names=["doc_id", "members"])
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, members array<long>")
