@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: Texts are hashed in slices of about this many bytes, so a worker's arrays stay small.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch while a table is cut.
+BATCH_ROWS = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +36,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later work starts from files.
 
     A lost executor then costs only the tasks it ran: nothing before the table is computed again. Tables that
-    ``drop_cut`` has not deleted go when the application ends.
+    ``drop_cut`` has not deleted go when the application ends. Arrow batches are of ``BATCH_ROWS`` rows meanwhile: the buffers
+    of larger ones, outside the heap on either side, are what executors run out of.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    spark.conf.set(batch, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, usual)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(schema).parquet(path)
