@@ -35,6 +35,12 @@ def clamped(v: Column, mean_square: Column, mean: Column) -> Column:
 Agg = Callable[[Column], Column]
 
 
+def stable_sum(x: Column, agg: Agg) -> Column:
+    """A sum that keeps six places whatever the order: whole 2^-20ths add up without error below 2^33, the rests apart from them."""
+    whole = F.when(F.abs(x) < 2.0**32, F.rint(x * 2.0**20) / 2.0**20).otherwise(x)
+    return agg(F.sum(whole)) + agg(F.sum(x - whole))
+
+
 def var_pop(x: Column, agg: Agg) -> Column:
     """``agg`` places an aggregate: over a window, or as it is for a group."""
     return clamped(agg(F.var_pop(x)), agg(F.avg(x * x)), agg(F.avg(x)))

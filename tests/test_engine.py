@@ -227,6 +227,16 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sums_across_assets_keep_six_places(spark):
+    """One large value among many small ones, first or last; plain sums lose what is small beside it, and more or less by its place."""
+    values = [4e9] + [1e-7] * 999 + [None]
+    rows = {"stk.1d.x": [values, values[::-1], [1e300, -3.5] + [None] * 999, [None] * 1001]}
+    p = memory_provider(spark, DAYS[:4], {"stk": list(range(1001))}, rows)
+    out = Engine(spark, p).compute(FormulaBatch.from_text('x = source("stk.1d.x")', {"s": "o = cs_sum(x)"}), Domain(DAYS[0], DAYS[3]))
+    got = {r.date: r.s for r in out.filter("asset = 0").collect()}
+    assert got == {d: v for d, v in zip(DAYS, (math.fsum(values[:-1]), math.fsum(values[:-1]), 1e300, None))}
+
+
 def test_the_date_range_reaches_the_scan(spark):
     """The scan skips by the raw date column, in its own type, history included."""
     from gridloom.queries import events_provider
