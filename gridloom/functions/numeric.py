@@ -41,6 +41,25 @@ def stable_sum(x: Column, agg: Agg) -> Column:
     return agg(F.sum(whole)) + agg(F.sum(x - whole))
 
 
+def let(f: Callable[[Column], Column], **values: Column) -> Column:
+    """``f`` of a struct of the values, each of which is worked out once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f)[0]
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c`` rounded once: what the product and the sum round off is added back."""
+
+    def high(v):
+        return v * 134217729.0 - (v * 134217729.0 - v)
+
+    def total(u):
+        low, below, z = u["a"] - u["h"], u["b"] - u["k"], u["s"] - u["c"]
+        product = ((u["h"] * u["k"] - u["p"]) + u["h"] * below + low * u["k"]) + low * below
+        return F.nanvl(u["s"] + (((u["c"] - (u["s"] - z)) + (u["p"] - z)) + product), u["s"])
+
+    return let(lambda u: let(total, a=u["a"], b=u["b"], c=u["c"], h=high(u["a"]), k=high(u["b"]), p=u["a"] * u["b"], s=u["c"] + u["a"] * u["b"]), a=a, b=b, c=c)
+
+
 def var_pop(x: Column, agg: Agg) -> Column:
     """``agg`` places an aggregate: over a window, or as it is for a group."""
     return clamped(agg(F.var_pop(x)), agg(F.avg(x * x)), agg(F.avg(x)))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.numeric import beta, clamped, corr, cov, fin, ratio, var_pop
+from gridloom.functions.numeric import clamped, corr, fin, fused, ratio, var_pop
 from gridloom.operators.spec import NUMERIC, REQUIRED, STEP, CompileError, Operator, check_axis, register
 
 _N, _NN = (NUMERIC,), (NUMERIC, NUMERIC)
@@ -139,6 +139,29 @@ def _split(stat):
     return f
 
 
+def _shared(s, pairs):
+    """Updated in the order of the window, each product added without rounding in between: n, means, shared sum, square sum of y."""
+
+    def add(a, v):
+        n = a["n"] + 1
+        x, y = a["x"] + (v["x"] - a["x"]) / n, a["y"] + (v["y"] - a["y"]) / n
+        return F.struct(n.alias("n"), x.alias("x"), y.alias("y"), fused(v["y"] - a["y"], v["x"] - x, a["xy"]).alias("xy"), (a["yy"] + (v["y"] - y) * (v["y"] - a["y"])).alias("yy"))
+
+    return s.temp(F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xy", "yy")]), add))
+
+
+def _cov(s, agg, x, y, axis):
+    m = _shared(s, _pairs(s, agg, x, y))
+    return F.when(m["n"] >= 2, fin(m["xy"] / (m["n"] - 1)))
+
+
+def _beta(s, agg, x, y, axis):
+    """Slope of y on x."""
+    m, on = _shared(s, _pairs(s, agg, y, x)), F.when(y.isNotNull(), x)
+    v = clamped(F.try_divide(m["yy"], m["n"]), agg(F.avg(on * on)), agg(F.avg(on)))
+    return F.when((m["n"] >= 2) & (v > 0), ratio(m["xy"] / m["n"], v))
+
+
 def _slope_on_time(s, agg, x, axis):
     t = F.when(x.isNotNull(), s.position(axis).cast("double"))
     return ratio(agg(F.covar_pop(t, x)), agg(F.var_pop(t)))
@@ -161,8 +184,8 @@ _rolling("ts_tbeta", _slope_on_time, least=2)
 _rolling("ts_ewm_mean", lambda s, agg, x, axis, halflife: _ewm(s, agg, x, axis, halflife, False), window=10, before={"halflife": 5})
 _rolling("ts_ewm_std", lambda s, agg, x, axis, halflife: _ewm(s, agg, x, axis, halflife, True), window=10, before={"halflife": 5})
 _rolling("ts_corr", lambda s, agg, x, y, axis: corr(x, y, agg), inputs=2, least=2)
-_rolling("ts_cov", lambda s, agg, x, y, axis: cov(x, y, agg), inputs=2, least=2)
-_rolling("ts_beta", lambda s, agg, x, y, axis: beta(x, y, agg), inputs=2, least=2)
+_rolling("ts_cov", _cov, inputs=2, least=2)
+_rolling("ts_beta", _beta, inputs=2, least=2)
 _rolling("ts_rankcorr", _rank_corr, inputs=2, least=2)
 for _name in ("mean", "std", "corr"):
     _rolling(f"ts_split_{_name}", _split(_name), inputs=2, after={"top": 1})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.engine import Engine
@@ -123,9 +123,14 @@ _PANELS = {
 }
 
 
+def sixth(c: Column) -> Column:
+    """Rounded to six places as the SQL does it: the millionfold is rounded, not the shortest decimal of the value."""
+    return F.when(F.abs(c) < 1e300, F.round(c * 1e6) / 1e6).otherwise(c)
+
+
 def rounded(df: DataFrame, names) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select("date", "asset", "step", *[(F.round(n, 6) if kinds[n] == "double" else F.col(n)).alias(n) for n in names])
+    return df.select("date", "asset", "step", *[(sixth(F.col(n)) if kinds[n] == "double" else F.col(n)).alias(n) for n in names])
 
 
 def family(name: str, panel: str, columns: dict[str, tuple[str, str]], more: str = "", output: str = "g", masks: tuple[str, ...] = (), freq: str | None = None, asset: str = "stk", select: str | None = None) -> None:

@@ -237,6 +237,31 @@ def test_sums_across_assets_keep_six_places(spark):
     assert got == {d: v for d, v in zip(DAYS, (math.fsum(values[:-1]), math.fsum(values[:-1]), 1e300, None))}
 
 
+def test_slopes_are_those_of_the_sql(spark):
+    """Products are added without rounding in between: 50.9228125 lies halfway between two sixth places, and is met to the last bit."""
+    from gridloom.queries import sixth
+
+    x, y = [146.22000000000003, 236.45, 32.99, 17.79, 195.56], [3.0, 4.0, 1.0, 1.0, 5.0]
+    p = memory_provider(spark, DAYS[:5], {"stk": [1]}, {"stk.1d.x": [[v] for v in x], "stk.1d.y": [[v] for v in y]})
+    batch = FormulaBatch.from_text('x = source("stk.1d.x")\ny = source("stk.1d.y")', {"b": "o = ts_beta(y, x, 5)", "c": "o = ts_cov(x, y, 5)"})
+    got = Engine(spark, p).compute(batch, Domain(DAYS[4], DAYS[4])).select("b", "c", sixth(F.col("b")).alias("r")).first()
+    mx = my = xy = yy = 0.0
+    for n, (u, v) in enumerate(zip(x, y), 1):
+        mx, dy = mx + (u - mx) / n, v - my
+        my += dy / n
+        xy, yy = math.fma(dy, u - mx, xy), yy + (v - my) * dy
+    assert (got.b, got.c, got.r) == ((xy / 5) / (yy / 5), xy / 4, 50.922813)
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """The millionfold of 3.8047334999999998 is halfway, its decimals are not; with 65.4790125 it is the other way round."""
+    from gridloom.queries import sixth
+
+    values = [3.8047334999999998, 65.4790125, -66.5467925, 1e302, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(sixth(F.col("v"))).collect()]
+    assert got == [3.804734, 65.479012, -66.546792, 1e302, None]
+
+
 def test_the_date_range_reaches_the_scan(spark):
     """The scan skips by the raw date column, in its own type, history included."""
     from gridloom.queries import events_provider
