@@ -262,6 +262,39 @@ def test_rounding_is_that_of_the_sql(spark):
     assert got == [3.804734, 65.479012, -66.546792, 1e302, None]
 
 
+def test_events_are_added_up_in_the_order_of_the_file(spark, tmp_path):
+    """However the file is split: 0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1."""
+    from datetime import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gridloom.queries import events_provider
+
+    n, users = 4000, 50
+    values = [(i * 7919 % 9973) / 100 for i in range(n)]
+    table = pa.table({"ts": pa.array([datetime(2024, 1, 2)] * n, pa.timestamp("us")), "user_id": pa.array([i % users for i in range(n)], pa.int64()), "value": values})
+    pq.write_table(table, tmp_path / "events.parquet", row_group_size=100)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        p = events_provider(spark, str(tmp_path))
+        out = Engine(spark, p).compute(FormulaBatch.from_lines('o = get_lf("stk", "x")'), Domain("20240102", "20240102"))
+        assert spark.read.parquet(str(tmp_path / "events.parquet")).rdd.getNumPartitions() > 8
+        assert {r.asset: r.o for r in out.collect()} == {u: sum_in_order(values[u::users]) for u in range(users)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:  # the built-in sum corrects itself
+        total += v
+    return total
+
+
 def test_the_date_range_reaches_the_scan(spark):
     """The scan skips by the raw date column, in its own type, history included."""
     from gridloom.queries import events_provider
