@@ -70,9 +70,9 @@ def both(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(ok, x), F.when(ok, y)
 
 
-def corr(x: Column, y: Column, agg: Agg, least: int = 2, clamp: bool = True) -> Column:
+def corr(x: Column, y: Column, agg: Agg, least: int = 2) -> Column:
     x, y = both(x, y)
-    vx, vy = (var_pop(c, agg) if clamp else agg(F.var_pop(c)) for c in (x, y))
+    vx, vy = var_pop(x, agg), var_pop(y, agg)
     return F.when((agg(F.count(x)) >= least) & (vx > 0) & (vy > 0), fin(F.try_divide(agg(F.covar_pop(x, y)), F.sqrt(vx) * F.sqrt(vy))))
 
 

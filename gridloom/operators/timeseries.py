@@ -139,25 +139,27 @@ def _split(stat):
     return f
 
 
-def _shared(s, pairs):
-    """Updated in the order of the window, each product added without rounding in between: n, means, shared sum, square sum of y."""
+def _shared(pairs):
+    """Updated in the order of the pairs, each product added without rounding in between: n, means, sums of products."""
 
     def add(a, v):
         n = a["n"] + 1
         x, y = a["x"] + (v["x"] - a["x"]) / n, a["y"] + (v["y"] - a["y"]) / n
-        return F.struct(n.alias("n"), x.alias("x"), y.alias("y"), fused(v["y"] - a["y"], v["x"] - x, a["xy"]).alias("xy"), (a["yy"] + (v["y"] - y) * (v["y"] - a["y"])).alias("yy"))
+        square = {c + c: a[c + c] + (v[c] - m) * (v[c] - a[c]) for c, m in (("x", x), ("y", y))}
+        got = {"n": n, "x": x, "y": y, "xy": fused(v["y"] - a["y"], v["x"] - x, a["xy"]), **square}
+        return F.struct(*[c.alias(k) for k, c in got.items()])
 
-    return s.temp(F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xy", "yy")]), add))
+    return F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xy", "xx", "yy")]), add)
 
 
 def _cov(s, agg, x, y, axis):
-    m = _shared(s, _pairs(s, agg, x, y))
+    m = s.temp(_shared(_pairs(s, agg, x, y)))
     return F.when(m["n"] >= 2, fin(m["xy"] / (m["n"] - 1)))
 
 
 def _beta(s, agg, x, y, axis):
     """Slope of y on x."""
-    m, on = _shared(s, _pairs(s, agg, y, x)), F.when(y.isNotNull(), x)
+    m, on = s.temp(_shared(_pairs(s, agg, y, x))), F.when(y.isNotNull(), x)
     v = clamped(F.try_divide(m["yy"], m["n"]), agg(F.avg(on * on)), agg(F.avg(on)))
     return F.when((m["n"] >= 2) & (v > 0), ratio(m["xy"] / m["n"], v))
 
@@ -215,7 +217,19 @@ _steps("step_min", F.min)
 _steps("step_first", lambda x: F.min_by(x, F.col(STEP)))
 _steps("step_last", lambda x: F.max_by(x, F.col(STEP)))
 _steps("step_kurtosis", _kurtosis)
-_steps("step_corr", lambda x, y: corr(x, y, _plain, clamp=False), inputs=2)
+
+
+def _step_pairs(s, x, y):
+    return {"v": F.array_sort(F.collect_list(F.when(x.isNotNull() & y.isNotNull(), F.struct(F.col(STEP).alias("at"), x.alias("x"), y.alias("y")))))}
+
+
+def _step_corr(s, got):
+    m = s.temp(_shared(got["v"]))
+    vx, vy = F.try_divide(m["xx"], m["n"]), F.try_divide(m["yy"], m["n"])
+    return F.when((vx > 0) & (vy > 0), fin(m["xy"] / m["n"] / F.sqrt(vx) / F.sqrt(vy)))
+
+
+register(Operator("step_corr", _NN, _step_pairs, shape="step", finish=_step_corr))
 
 
 def _flat(deviation):

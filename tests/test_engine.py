@@ -262,6 +262,16 @@ def test_rounding_is_that_of_the_sql(spark):
     assert got == [3.804734, 65.479012, -66.546792, 1e302, None]
 
 
+def test_correlation_of_steps_is_that_of_the_sql(spark):
+    """Sums that differ in their last bit: whether their variance is 0 depends on the order of the steps and on no other rounding."""
+    days = [[137.89000000000001, 137.89], [137.89, 137.89000000000001], [92.71000000000001, 92.71], [57.46, 57.459999999999994], [1.0, None]]
+    p = memory_provider(spark, DAYS[:5], {"stk": [1]}, {"stk.60min.x": [[d] for d in days], "stk.60min.y": [[[2.0, 1.0]]] * 5})
+    batch = FormulaBatch.from_text('x = source("stk.60min.x")\ny = source("stk.60min.y")', {"c": "o = step_corr(x, y)"})
+    out = Engine(spark, p).compute(batch, Domain(DAYS[0], DAYS[4])).collect()
+    got = {(r.date, None if r.c is None else round(r.c, 6)) for r in out}
+    assert got == set(zip(DAYS, (None, -1.414214, 1.414214, None, None)))
+
+
 def test_events_are_added_up_in_the_order_of_the_file(spark, tmp_path):
     """However the file is split: 0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1."""
     from datetime import datetime
