@@ -35,10 +35,21 @@ def clamped(v: Column, mean_square: Column, mean: Column) -> Column:
 Agg = Callable[[Column], Column]
 
 
+def _whole(x: Column) -> Column:
+    """2^-20ths, which add up without error below 2^33."""
+    return F.when(F.abs(x) < 2.0**32, F.rint(x * 2.0**20) / 2.0**20).otherwise(x)
+
+
 def stable_sum(x: Column, agg: Agg) -> Column:
     """A sum that keeps six places whatever the order: whole 2^-20ths add up without error below 2^33, the rests apart from them."""
-    whole = F.when(F.abs(x) < 2.0**32, F.rint(x * 2.0**20) / 2.0**20).otherwise(x)
-    return agg(F.sum(whole)) + agg(F.sum(x - whole))
+    return agg(F.sum(_whole(x))) + agg(F.sum(x - _whole(x)))
+
+
+def stable_mean(x: Column, agg: Agg) -> Column:
+    """The mean to its last bit whatever the order: what the division leaves is divided once more."""
+    whole, rest, n = agg(F.sum(_whole(x))), agg(F.sum(x - _whole(x))), agg(F.count(x)).cast("double")
+    mean = F.try_divide(whole + rest, n)
+    return mean + F.try_divide(fused(-mean, n, whole) + rest, n)
 
 
 def let(f: Callable[[Column], Column], **values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.numeric import beta, clamped, corr, cov, fin, ratio, stable_sum, var_pop
+from gridloom.functions.numeric import beta, clamped, corr, cov, fin, ratio, stable_mean, stable_sum, var_pop
 from gridloom.operators.spec import ASSET, CODE, KEYS, MASK, NUMERIC, CompileError, Operator, check_axis, register
 
 _N, _NN = (NUMERIC,), (NUMERIC, NUMERIC)
@@ -46,7 +46,7 @@ def _entropy(x):
     return F.when((F.min(x) >= 0) & (total > 0), F.ln(total) - ratio(part, total))
 
 
-_reduce("cs_mean", F.avg)
+_reduce("cs_mean", lambda x: stable_mean(x, _plain))
 _reduce("cs_sum", lambda x: stable_sum(x, _plain))
 _reduce("cs_std", lambda x: F.sqrt(var_pop(x, _plain)))
 _reduce("cs_var", F.var_pop)

@@ -237,6 +237,16 @@ def test_sums_across_assets_keep_six_places(spark):
     assert got == {d: v for d, v in zip(DAYS, (math.fsum(values[:-1]), math.fsum(values[:-1]), 1e300, None))}
 
 
+def test_means_across_assets_are_right_to_the_last_bit(spark):
+    """63.5948125 lies halfway between two sixth places; plain sums, and a sum divided once, end on either side of it."""
+    values = [10.17 + i / 100 for i in range(640)]
+    values[-1] += (4070068 - sum(round(v * 100) for v in values)) / 100
+    rows = {"stk.1d.x": [values, values[::-1], sorted(values, key=lambda v: v * 1e4 % 77), [1e300, -3.5] + [None] * 638, [None] * 640]}
+    p = memory_provider(spark, DAYS[:5], {"stk": list(range(640))}, rows)
+    out = Engine(spark, p).compute(FormulaBatch.from_text('x = source("stk.1d.x")', {"m": "o = cs_mean(x)"}), Domain(DAYS[0], DAYS[4]))
+    assert [r.m for r in out.filter("asset = 0").orderBy("date").collect()] == [63.5948125] * 3 + [5e299, None]
+
+
 def test_slopes_are_those_of_the_sql(spark):
     """Products are added without rounding in between: 50.9228125 lies halfway between two sixth places, and is met to the last bit."""
     from gridloom.queries import sixth
